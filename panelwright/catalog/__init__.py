@@ -6,7 +6,7 @@ from importlib import import_module
 
 from panelwright.catalog.book import BOOK, Book
 
-SECTIONS = ("commerce",)
+SECTIONS = ("commerce", "basics")
 
 
 def load() -> Book:

@@ -75,9 +75,9 @@ def global_ntile(df: DataFrame, order: list[Column], tiles: int, name: str) -> D
     )
 
 
-def running_total(df: DataFrame, value: str, order: Column) -> DataFrame:
-    """Running sum of ``value`` in the order of the unique column ``order``, plus the grand total."""
-    laid = range_layout(df, [order])
+def running_total(df: DataFrame, value: str, order: list[Column]) -> DataFrame:
+    """Running sum of ``value`` in the unique order ``order``, plus the grand total."""
+    laid = range_layout(df, order)
     offsets = _part_offsets(laid, {"v": F.sum(value)})
     local = F.sum(value).over(
         Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -147,3 +147,22 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, quantiles: dic
         low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         out.append((low + (high - low) * (rank - F.floor(rank))).alias(name))
     return stats.select(*keys, *out)
+
+
+def row_number_by_key(df: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:
+    """ROW_NUMBER per key where one key may hold a large share of the rows.
+
+    The global position minus the key's first position, so no task needs a whole key.
+    """
+    ranked = global_row_number(df, [F.col(key), *order]).drop("n_rows")
+    starts = ranked.groupBy(F.col(key).alias("_key")).agg(F.min("row_number").alias("_start"))
+    return ranked.join(starts, F.col(key).eqNullSafe(F.col("_key"))).select(
+        *df.columns, (F.col("row_number") - F.col("_start") + 1).alias(name)
+    )
+
+
+def lag_by_key(df: DataFrame, key: str, order: list[Column], value: str, name: str) -> DataFrame:
+    """LAG(value) per key where one key may hold a large share of the rows."""
+    seen = previous_row(range_layout(df, [F.col(key), *order]), [key, value], "_prev")
+    same_key = F.col("_prev").isNotNull() & F.col(f"_prev.{key}").eqNullSafe(F.col(key))
+    return seen.select(*df.columns, F.when(same_key, F.col(f"_prev.{value}")).alias(name))

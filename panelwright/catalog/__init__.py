@@ -6,7 +6,7 @@ from importlib import import_module
 
 from panelwright.catalog.book import BOOK, Book
 
-SECTIONS = ("commerce", "basics")
+SECTIONS = ("commerce", "basics", "forecast")
 
 
 def load() -> Book:

@@ -92,13 +92,13 @@ def s09(spark, folder):
         F.col("observation_date").cast("string").alias("date"),
         F.col("vintage_date").cast("string").alias("realtime_start"),
         F.col("realtime_end").cast("string").alias("realtime_end"),
-        F.when(F.month("vintage_date") == 7, ".").otherwise(F.format_string("%.2f", "value")).alias("value"),
+        F.when(F.month("vintage_date") == 7, ".").otherwise(F.format_string("%.8f", "value")).alias("value"),
     )
     # A payload holds one observation's revisions: at most one per calendar month.
     payload = history.groupBy(*key).agg(F.collect_list(observation).alias("observations"), F.count(ONE).alias("count"))
     out = fresh(spark, "revisions")
     payload.select("series_id", "count", "observations").write.json(out)
-    return S.read_revision_json(spark, out)
+    return S.read_revision_json(spark, out).withColumn("value", F.round("value", 8))
 
 
 BOOK.add("s01", s01, RAW_TEXT_ID)
@@ -121,7 +121,7 @@ BOOK.add("c58", s08, LTV)
 BOOK.add("s09", s09, with_(VINTAGES) + """
 SELECT series_id, CAST(observation_date AS VARCHAR) AS observation_date, CAST(vintage_date AS VARCHAR) AS realtime_start,
        coalesce(CAST(CAST(lead(vintage_date) OVER (PARTITION BY series_id, observation_date ORDER BY vintage_date) - 1 AS DATE) AS VARCHAR), '9999-12-31') AS realtime_end,
-       CASE WHEN month(vintage_date) = 7 THEN NULL ELSE value END AS value FROM vintage_panel""")
+       CASE WHEN month(vintage_date) = 7 THEN NULL ELSE round(value, 8) END AS value FROM vintage_panel""")
 
 # -- scalar cleaning -----------------------------------------------------------------------
 

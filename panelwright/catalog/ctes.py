@@ -162,8 +162,14 @@ vintage_added AS (
 vintage_panel AS (
   SELECT series_id, observation_date, vintage_date,
          round(sum(added) OVER (PARTITION BY series_id, observation_date ORDER BY vintage_date
-                                ROWS UNBOUNDED PRECEDING), 2) AS value
-  FROM vintage_added)
+                                ROWS UNBOUNDED PRECEDING), 2) / 1000000 AS value
+  FROM vintage_added),
+vp AS (
+  SELECT series_id, observation_date, vintage_date, value FROM vintage_panel
+  UNION ALL
+  SELECT 'U', CAST(date_trunc('month', o_orderdate) AS DATE), last_day(CAST(date_trunc('month', o_orderdate) AS DATE)),
+         CASE WHEN avg(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0::DOUBLE ELSE 0 END) >= 0.2::DOUBLE THEN 1.0::DOUBLE ELSE 0 END
+  FROM orders GROUP BY 2, 3)
 """
 
 

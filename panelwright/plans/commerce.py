@@ -7,7 +7,7 @@ customer's share of the orders is.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -19,7 +19,7 @@ from panelwright.sources.derived import Star
 ONE = F.lit(1)
 
 
-def share(condition) -> F.Column:
+def share(condition: Column) -> Column:
     return F.avg(F.when(condition, 1.0).otherwise(0.0))
 
 

@@ -6,8 +6,17 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from panelwright.functions.cleaning import half_up, pick, quarter_label
+from pyspark.sql import Window
+
+from panelwright.functions.cleaning import (
+    half_up,
+    month_end,
+    month_from_index,
+    month_index,
+    month_start,
+    pick,
+    quarter_label,
+)
 from panelwright.sources.tables import Tables
 
 # Fixed values of the commerce fixture.
@@ -379,11 +388,8 @@ def firm_year(t: Tables) -> tuple[DataFrame, DataFrame]:
 def vintage_source(t: Tables) -> DataFrame:
     """Revised monthly series: order lines become known with the month end of their shipping.
 
-    Series = return flag, observation = order month, value = revenue known by the vintage.
+    Series = return flag, observation = order month, value = revenue in millions known by the vintage.
     """
-    from panelwright.functions.cleaning import month_end, month_from_index, month_index
-    from pyspark.sql import Window
-
     orders = t.orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("ordered"))
     lines = t.lineitem.select(
         "l_orderkey", "l_returnflag", "l_extendedprice", F.col("l_shipdate").cast("date").alias("shipped")
@@ -404,5 +410,14 @@ def vintage_source(t: Tables) -> DataFrame:
         "series_id",
         month_from_index(F.col("obs_idx")).alias("observation_date"),
         month_end(month_from_index(F.col("vintage_idx"))).alias("vintage_date"),
-        F.round(F.sum("added").over(known), 2).alias("value"),
+        (F.round(F.sum("added").over(known), 2) / 1_000_000).alias("value"),
     )
+
+
+def indicator_source(t: Tables, name: str = "U") -> DataFrame:
+    """0/1 series: 1 in months where at least a fifth of the orders is urgent, known at month end."""
+    month = month_start(F.col("o_orderdate").cast("date"))
+    urgent = F.avg(F.when(F.col("o_orderpriority") == "1-URGENT", 1.0).otherwise(0.0))
+    return t.orders.groupBy(month.alias("observation_date")).agg(
+        F.when(urgent >= 0.2, 1.0).otherwise(0.0).alias("value")
+    ).select(F.lit(name).alias("series_id"), "observation_date", month_end(F.col("observation_date")).alias("vintage_date"), "value")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,8 +40,25 @@ def panel_of(spark, folder) -> DataFrame:
     return vintage.vintage_panel(vintage_source(t).unionByName(indicator_source(t)))
 
 
+class Run:
+    """One evaluation over one folder. The panel is small next to the lines it sums up and is
+    read by truth, regimes and snapshots, so it is written once."""
+
+    def __init__(self, spark, folder):
+        self.panel = stage(panel_of(spark, folder))
+
+    data = cached_property(lambda self: Supervised(self.panel, PROTOCOL))
+    forecasts = cached_property(lambda self: models.baseline_forecasts(self.data))
+    truth = cached_property(lambda self: vintage.truth_series(self.panel, PROTOCOL.targets))
+    latest = cached_property(lambda self: self.truth.where(F.col("truth_mode") == "latest"))
+    ledger = cached_property(lambda self: stage(E.score_ledger(self.forecasts, self.panel, PROTOCOL)))
+    paired = cached_property(lambda self: stage(E.paired_relative_cells(self.ledger)))
+    board = cached_property(lambda self: E.build_leaderboard(self.paired, PROTOCOL.leaderboard_truth))
+    dm = cached_property(lambda self: E.dm_table(self.ledger, max(PROTOCOL.horizons)))
+
+
 def supervised(spark, folder) -> Supervised:
-    return Supervised(panel_of(spark, folder), PROTOCOL)
+    return Run(spark, folder).data
 
 
 def dated(df: DataFrame) -> DataFrame:
@@ -59,26 +77,6 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def baselines(spark, folder) -> DataFrame:
-    return models.baseline_forecasts(supervised(spark, folder))
-
-
-def ledger_of(spark, folder) -> DataFrame:
-    return E.score_ledger(baselines(spark, folder), panel_of(spark, folder), PROTOCOL)
-
-
-def paired_of(spark, folder) -> DataFrame:
-    return stage(E.paired_relative_cells(stage(ledger_of(spark, folder))))
-
-
-def board_of(spark, folder) -> DataFrame:
-    return E.build_leaderboard(paired_of(spark, folder), PROTOCOL.leaderboard_truth)
-
-
-def dm_of(spark, folder) -> DataFrame:
-    return E.dm_table(ledger_of(spark, folder), max(PROTOCOL.horizons))
-
-
 VP = with_(VINTAGES)
 D = "CAST({0} AS VARCHAR) AS {0}".format
 
@@ -144,12 +142,7 @@ BOOK.add(
 BOOK.add("v10", lambda s, d: dated(vintage.regime_map(panel_of(s, d), "U")), layer("truth") + "SELECT CAST(obs AS VARCHAR) AS month, regime FROM cycle")
 
 
-def v11(spark, folder):
-    truth = vintage.truth_series(panel_of(spark, folder), PROTOCOL.targets)
-    return dated(vintage.volatility_regime(truth.where(F.col("truth_mode") == "latest")))
-
-
-BOOK.add("v11", v11, layer("truth") + "SELECT target, CAST(obs AS VARCHAR) AS month, vol_regime FROM vol")
+BOOK.add("v11", lambda s, d: dated(vintage.volatility_regime(Run(s, d).latest)), layer("truth") + "SELECT target, CAST(obs AS VARCHAR) AS month, vol_regime FROM vol")
 BOOK.add("v12", lambda s, d: vintage.assert_no_leakage(supervised(s, d).origins), layer("supervised") + """
 SELECT 'origin after cutoff' AS check, count(*) FILTER (WHERE origin > cutoff) = 0 AS passed, count(*) FILTER (WHERE origin > cutoff) AS n_violations FROM origins
 UNION ALL SELECT 'label not after origin', count(*) FILTER (WHERE target_date <= origin) = 0, count(*) FILTER (WHERE target_date <= origin) FROM origins
@@ -245,7 +238,7 @@ BOOK.add("m12", lambda s, d: dated(models.run_forecasts(supervised(s, d))))
 
 def m13(spark, folder):
     out = f"{stage_root(spark)}/external-{uuid.uuid4().hex}"
-    made = rounded(baselines(spark, folder).withColumn("runtime_s", F.lit(0.0)))
+    made = rounded(Run(spark, folder).forecasts.withColumn("runtime_s", F.lit(0.0)))
     for model in models.BASELINES:
         made.where(F.col("model") == model).write.option("header", True).csv(f"{out}/{model}")
     return dated(models.read_external_forecasts(spark, out))
@@ -259,9 +252,8 @@ KEYS = "truth_mode, target, horizon, model, CAST(origin AS VARCHAR) AS origin_da
 
 
 def scored_base(spark, folder) -> DataFrame:
-    panel = panel_of(spark, folder)
-    truth = vintage.truth_series(panel, PROTOCOL.targets)
-    made = E.attach_truth(baselines(spark, folder), truth)
+    run = Run(spark, folder)
+    made = E.attach_truth(run.forecasts, run.truth)
     return E.scored_density(E.intervals(E.prequential_sigma(made, PROTOCOL.horizons)))
 
 
@@ -291,16 +283,20 @@ BOOK.add(
 LEDGER_NUMBERS = ("forecast", "sigma", "actual", "error", "crps", "pit", "covered80", "covered90", "width80", "width90")
 BOOK.add(
     "e06",
-    lambda s, d: rounded(dated(ledger_of(s, d).drop("runtime_s"))),
+    lambda s, d: rounded(dated(Run(s, d).ledger.drop("runtime_s"))),
     layer("ledger") + f"SELECT truth_mode, {FORECAST_TEXT}, regime, 'ok' AS status, " + ", ".join(f"round({c}, 6) AS {c}" for c in LEDGER_NUMBERS) + " FROM ledger",
 )
+
+
+def j15(spark, folder):
+    run = Run(spark, folder)
+    made = run.forecasts.select("target", "target_idx", "horizon", "model")
+    return dated(E.attach_regime(made, vintage.regime_map(run.panel, "U"), vintage.volatility_regime(run.latest)))
+
+
 BOOK.add(
     "j15",
-    lambda s, d: dated(E.attach_regime(
-        baselines(s, d).select("target", "target_idx", "horizon", "model"),
-        vintage.regime_map(panel_of(s, d), "U"),
-        vintage.volatility_regime(vintage.truth_series(panel_of(s, d), PROTOCOL.targets).where(F.col("truth_mode") == "latest")),
-    )),
+    j15,
     with_(VINTAGES, SUPERVISED, FORECASTS, TRUTH) + """
 SELECT f.target, CAST(f.target_date AS VARCHAR) AS target_date, horizon, model, coalesce(c.regime, 'unknown') AS cycle, coalesce(v.vol_regime, 'unknown') AS vol_regime
 FROM fc f LEFT JOIN cycle c ON c.obs = f.target_date LEFT JOIN vol v ON v.target = f.target AND v.obs = f.target_date""",
@@ -308,34 +304,33 @@ FROM fc f LEFT JOIN cycle c ON c.obs = f.target_date LEFT JOIN vol v ON v.target
 CELL = "truth_mode, target, horizon, regime, model"
 BOOK.add(
     "e07",
-    lambda s, d: rounded(E.aggregate_metrics(stage(ledger_of(s, d))).drop("runtime_s", "pit_ks_p", "pit_ks_d")),
+    lambda s, d: rounded(E.aggregate_metrics(Run(s, d).ledger).drop("runtime_s", "pit_ks_p", "pit_ks_d")),
     layer("ledger") + f"""SELECT {CELL}, count(*) AS n, round(sqrt(avg(error * error)), 6) AS rmse, round(avg(abs(error)), 6) AS mae, round(avg(crps), 6) AS crps,
       round(avg(covered80), 6) AS coverage80, round(avg(covered90), 6) AS coverage90, round(avg(width80), 6) AS width80, round(avg(width90), 6) AS width90,
       round(avg(pit), 6) AS pit_mean, round(var_samp(pit), 6) AS pit_var FROM ledger GROUP BY ALL""",
 )
 BOOK.add(
     "e08",
-    lambda s, d: rounded(E.pit_ks(stage(ledger_of(s, d)), [*E.CELL, "model"]).drop("pit_ks_p")),
+    lambda s, d: rounded(E.pit_ks(Run(s, d).ledger, [*E.CELL, "model"]).drop("pit_ks_p")),
     layer("ks") + f"SELECT {CELL}, round(pit_ks_d, 6) AS pit_ks_d FROM ks",
 )
-BOOK.add("e08_pvalue", lambda s, d: E.pit_ks(stage(ledger_of(s, d)), [*E.CELL, "model"]))
+BOOK.add("e08_pvalue", lambda s, d: E.pit_ks(Run(s, d).ledger, [*E.CELL, "model"]))
 PAIRED_NUMBERS = ("rmse", "baseline_rmse", "rmse_rel", "crps", "baseline_crps", "crps_rel", "combined_rel", "coverage80", "coverage90", "width80", "width90", "pit_mean", "pit_var")
 BOOK.add(
     "e09",
-    lambda s, d: rounded(paired_of(s, d).drop("runtime_s", "pit_ks_p", "pit_ks_d")),
+    lambda s, d: rounded(Run(s, d).paired.drop("runtime_s", "pit_ks_p", "pit_ks_d")),
     layer("paired") + f"""SELECT {CELL}, 'naive_last' AS baseline, n_common, baseline_n, baseline_n - n_common AS failure_count,
       round(CAST(n_common AS DOUBLE) / baseline_n, 6) AS success_share_vs_baseline, """ + ", ".join(f"round({c}, 6) AS {c}" for c in PAIRED_NUMBERS) + " FROM paired",
 )
 BOARD_NUMBERS = ("score", "rmse_rel", "crps_rel", "coverage80", "coverage90")
 BOARD_TEXT = "model, " + ", ".join(f"round({c}, 6) AS {c}" for c in BOARD_NUMBERS) + """, cells, expected_cells, common_origins, baseline_origins, failure_count,
       round(CAST(common_origins AS DOUBLE) / baseline_origins, 6) AS success_share_vs_baseline, score < 1 AS beats_naive_last, cells = expected_cells AS complete_cell_coverage"""
-BOOK.add("e10", lambda s, d: rounded(board_of(s, d).drop("runtime_s")), layer("board") + f"SELECT CAST(rank AS INT) AS rank, {BOARD_TEXT} FROM board")
+BOOK.add("e10", lambda s, d: rounded(Run(s, d).board.drop("runtime_s")), layer("board") + f"SELECT CAST(rank AS INT) AS rank, {BOARD_TEXT} FROM board")
 
 
 def e11(spark, folder):
-    ledger = stage(ledger_of(spark, folder))
-    paired = stage(E.paired_relative_cells(ledger))
-    return rounded(E.complexity_report(paired, E.dm_table(ledger, max(PROTOCOL.horizons)), "first_release").drop("runtime_s"))
+    run = Run(spark, folder)
+    return rounded(E.complexity_report(run.paired, run.dm, "first_release").drop("runtime_s"))
 
 
 BOOK.add("e11", e11, layer("dm") + """
@@ -356,7 +351,7 @@ PARETO_SQL = """SELECT b.model, round(b.score, 6) AS score, NOT EXISTS (SELECT 1
 
 
 def e12(spark, folder):
-    board = E.pareto_frontier(board_of(spark, folder))
+    board = E.pareto_frontier(Run(spark, folder).board)
     return rounded(board.select("model", "score", "pareto_efficient", "skill_gain_vs_naive")).join(
         board.select("model", F.round("skill_gain_per_runtime_s", 0).alias("skill_gain_per_runtime_s")), "model"
     )
@@ -388,10 +383,10 @@ SELECT f.target, f.horizon, f.model, round(f.combined_rel, 6) AS score_first, ro
        f.win AS first_winner, r.win AS revised_winner, round(r.combined_rel - f.combined_rel, 6) AS score_revision_shift,
        r.rk - f.rk AS rank_shift, f.win <> r.win AS winner_flipped
 FROM sided f JOIN sided r ON f.truth_mode = 'first_release' AND r.truth_mode = 'latest' AND f.target = r.target AND f.horizon = r.horizon AND f.model = r.model"""
-BOOK.add("e13", lambda s, d: rounded(E.revision_instability(paired_of(s, d))), REVISIONS)
+BOOK.add("e13", lambda s, d: rounded(E.revision_instability(Run(s, d).paired)), REVISIONS)
 BOOK.add(
     "w03",
-    lambda s, d: E.revision_instability(paired_of(s, d)).select("target", "horizon", "model", "rank_first", "rank_revised", "rank_shift"),
+    lambda s, d: E.revision_instability(Run(s, d).paired).select("target", "horizon", "model", "rank_first", "rank_revised", "rank_shift"),
     REVISIONS.replace("SELECT f.target, f.horizon, f.model, round", "SELECT target, horizon, model, rank_first, rank_revised, rank_shift FROM (SELECT f.target, f.horizon, f.model, round") + ")",
 )
 REGIME_SQL = layer("paired") + """
@@ -401,22 +396,23 @@ SELECT model, round(er, 6) AS score_recession, round(ee, 6) AS score_expansion,
          avg(combined_rel) FILTER (WHERE regime = 'high_volatility') AS eh, avg(combined_rel) FILTER (WHERE regime = 'normal_volatility') AS en
   FROM paired WHERE truth_mode = 'first_release' GROUP BY 1)"""
 for _name in ("e14", "j13"):
-    BOOK.add(_name, lambda s, d: rounded(E.regime_comparison(paired_of(s, d), "first_release")), REGIME_SQL)
+    BOOK.add(_name, lambda s, d: rounded(E.regime_comparison(Run(s, d).paired, "first_release")), REGIME_SQL)
 BOOK.add(
     "e15",
-    lambda s, d: rounded(dm_of(s, d).drop("p_holm", "significant_5pct_holm")),
+    lambda s, d: rounded(Run(s, d).dm.drop("p_holm", "significant_5pct_holm")),
     layer("dm") + "SELECT truth_mode, target, horizon, model, 'naive_last' AS baseline, n, round(dm_stat, 6) AS dm_stat, round(mean_loss_diff, 6) AS mean_loss_diff, round(p_value, 6) AS p_value FROM dm",
 )
 BOOK.add(
     "e16",
-    lambda s, d: rounded(dm_of(s, d).select("truth_mode", "target", "horizon", "model", "p_value", "p_holm", "significant_5pct_holm")),
+    lambda s, d: rounded(Run(s, d).dm.select("truth_mode", "target", "horizon", "model", "p_value", "p_holm", "significant_5pct_holm")),
     layer("dm") + """SELECT truth_mode, target, horizon, model, round(p_value, 6) AS p_value, round(p_holm, 6) AS p_holm,
       coalesce(p_holm < 0.05, false) AS significant_5pct_holm FROM dm""",
 )
 
 
 def evaluated(spark, folder) -> dict[str, DataFrame]:
-    return E.finalize(ledger_of(spark, folder), panel_of(spark, folder), PROTOCOL)
+    run = Run(spark, folder)
+    return E.finalize(run.ledger, run.panel, PROTOCOL)
 
 
 BOOK.add("e17", lambda s, d: evaluated(s, d)["summary_facts"], layer("dm") + """,
@@ -441,9 +437,9 @@ UNION ALL SELECT 'efficient_models', (SELECT string_agg(model, ',' ORDER BY mode
 
 def e18(spark, folder):
     """Leaderboard of all models, fitted ones included, from one full run."""
-    data = Supervised(stage(panel_of(spark, folder)), PROTOCOL)
-    ledger = E.score_ledger(models.run_forecasts(data), data.panel, PROTOCOL)
-    return E.finalize(ledger, data.panel, PROTOCOL)["leaderboard"]
+    run = Run(spark, folder)
+    ledger = E.score_ledger(models.run_forecasts(run.data), run.panel, PROTOCOL)
+    return E.finalize(ledger, run.panel, PROTOCOL)["leaderboard"]
 
 
 BOOK.add("e18", e18)

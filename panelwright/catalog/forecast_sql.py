@@ -157,7 +157,7 @@ dm_g AS (
 dm_s AS (
   SELECT truth_mode, target, horizon, model, count(*) AS n, avg(d) AS dbar,
          sum(c * c) / count(*) + CASE WHEN horizon = 3 THEN 2 * (2.0::DOUBLE / 3) * sum(g1) / count(*) + 2 * (1.0::DOUBLE / 3) * sum(g2) / count(*) ELSE 0 END AS v
-  FROM dm_g GROUP BY ALL),
+  FROM dm_g GROUP BY truth_mode, target, horizon, model),
 dm_t AS (
   SELECT truth_mode, target, horizon, model, n, CASE WHEN n >= 8 THEN dbar END AS mean_loss_diff,
          CASE WHEN n >= 8 AND v > 0 THEN dbar / sqrt(v / n) * sqrt((n + 1 - 2 * horizon + horizon * (horizon - 1) / CAST(n AS DOUBLE)) / n) END AS dm_stat

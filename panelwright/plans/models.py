@@ -173,7 +173,11 @@ def _origin_fitter(models: tuple[str, ...], horizons: tuple[int, ...], seed: int
 def fitted_forecasts(data: Supervised, models: tuple[str, ...] = FITTED) -> DataFrame:
     """Models fitted per origin. A group is one target's months as seen at one cutoff."""
     fit = _origin_fitter(tuple(models), tuple(data.protocol.horizons), data.protocol.seed)
-    fitted = data.selected_rows.groupBy("target", "cutoff_idx").applyInPandas(fit, FORECAST_SCHEMA)
+    rows = data.selected_rows
+    # Groups are small but costly to fit: keep all partitions instead of merging small ones.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.repartition(tasks, "target", "cutoff_idx")
+    fitted = spread.groupBy("target", "cutoff_idx").applyInPandas(fit, FORECAST_SCHEMA)
     # pandas marks a missing number as NaN; the ledger says NULL.
     return fitted.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("forecast", "sigma")})
 

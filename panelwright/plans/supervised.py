@@ -13,6 +13,7 @@ from panelwright.functions.cleaning import month_index
 from panelwright.operators.latest import first_by
 from panelwright.operators.series import ffill_limit, label, lags, transform_series
 from panelwright.plans import vintage
+from panelwright.runtime import stage
 
 
 @dataclass(frozen=True)
@@ -113,7 +114,8 @@ class Supervised:
         )
         whole = Window.partitionBy("target", "cutoff_idx")
         origin = F.max(F.when(F.col("y").isNotNull(), F.col("month_idx"))).over(whole)
-        return (
+        # Read for the origins and again for the chosen rows, so written once.
+        return stage(
             built.withColumn("origin_idx", origin)
             .where(F.col("month_idx") <= F.col("origin_idx"))
             .withColumn("x_complete", ~F.exists("x", lambda v: v.isNull()))

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from panelwright.catalog.book import BOOK, Book
 
-SECTIONS = ("commerce", "basics", "forecast", "econometrics")
+SECTIONS = ("commerce", "basics", "forecast", "econometrics", "text")
 
 
 def load() -> Book:

@@ -241,3 +241,52 @@ def unit_moments(k: int, t: int):
         yield pd.DataFrame({"i": range(k + t), "row": list(total), "units": units, "obs": obs})
 
     return add
+
+
+def _flat(pdf):
+    """Row number, column and value of each entry of sparse rows ``idx, val``."""
+    lengths = pdf["idx"].map(len).to_numpy()
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    return row, np.concatenate(pdf["idx"].to_numpy()).astype(int), np.concatenate(pdf["val"].to_numpy()).astype(float)
+
+
+def _times(pdf, matrix):
+    """Sparse rows times a dense matrix, a slice of entries at a time."""
+    row, column, value = _flat(pdf)
+    out = np.zeros((len(pdf), matrix.shape[1]))
+    for start in range(0, len(row), 200_000):
+        part = slice(start, start + 200_000)
+        np.add.at(out, row[part], value[part, None] * matrix[column[part]])
+    return out, row, column, value
+
+
+def gram_product(shared):
+    """``mapInPandas`` body for ``A'(A Q)``: one row per term seen in the task."""
+
+    def multiply(batches):
+        basis = shared.value
+        total = np.zeros_like(basis)
+        seen = np.zeros(len(basis), dtype=bool)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            image, row, column, value = _times(pdf, basis)
+            for start in range(0, len(row), 200_000):
+                part = slice(start, start + 200_000)
+                np.add.at(total, column[part], value[part, None] * image[row[part]])
+            seen[column] = True
+        at = np.flatnonzero(seen)
+        yield pd.DataFrame({"t": at.astype("int32"), "z": list(total[at])})
+
+    return multiply
+
+
+def row_product(shared):
+    """``mapInPandas`` body that projects sparse rows on a dense matrix."""
+
+    def project(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "e": list(_times(pdf, shared.value)[0])})
+
+    return project

@@ -421,3 +421,80 @@ def indicator_source(t: Tables, name: str = "U") -> DataFrame:
     return t.orders.groupBy(month.alias("observation_date")).agg(
         F.when(urgent >= 0.2, 1.0).otherwise(0.0).alias("value")
     ).select(F.lit(name).alias("series_id"), "observation_date", month_end(F.col("observation_date")).alias("vintage_date"), "value")
+
+
+# Fixed values of the document archive.
+DOCUMENT_TYPES = ["notice", "report", "circular", "bulletin"]
+
+
+def document_pages(t: Tables) -> DataFrame:
+    """Pages as archive documents: ``page_id, url, kind, body``.
+
+    Each carries its metadata in front of the page's own HTML: as tags, as tags never closed,
+    or (every tenth) as text lines. Several pages share a document id.
+    """
+    p = F.col("page_id")
+    number = F.coalesce(F.regexp_extract("url", r"/(\d+)", 1).try_cast("bigint"), p)
+    host = F.regexp_extract("url", r"://([^/?#]+)", 1)
+    title = F.when(p % 13 == 0, "").otherwise(F.regexp_extract("html", r"(?s)<title>([^<]*)", 1))
+    day = F.make_date((2024 + number % 2).cast("int"), (1 + number % 12).cast("int"), (1 + number % 27).cast("int"))
+    spelled = pick_expr(
+        [F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "dd/MM/yyyy"), F.date_format(day, "MM-dd-yyyy")], p % 3
+    )
+    fields = t.pages.select(
+        p, "url", "html", F.format_string("GOV-%06d", number).alias("id"), title.alias("title"), host.alias("host"),
+        spelled.alias("day"), pick(DOCUMENT_TYPES, p % 4).alias("doctype"), p.cast("string").alias("rev"),
+    )
+
+    def text(*parts) -> Column:
+        return F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts])
+
+    f = {c: F.col(c) for c in ("id", "title", "host", "day", "doctype", "rev", "html")}
+    head = text("<html><head><title>", f["title"], "</title></head><body>")
+    lines = text(
+        "Document ID: ", f["id"], "\nTitle: ", f["title"], "\nDate: ", f["day"], "\nAgency: ", f["host"], "\nType: ",
+        f["doctype"], "\nRevision: ", f["rev"], "\n",
+    )
+    broken = text(head, '<div data-id="', f["id"], '"><span class="agency">', f["host"])
+    whole = text(
+        head, '<article data-id="', f["id"], '" data-revision="', f["rev"], '"><h1>', f["title"], "</h1><time>", f["day"],
+        '</time><span class="agency">', f["host"], '</span><span class="doctype">', f["doctype"], "</span>", f["html"],
+        "</article></body></html>",
+    )
+    kind = F.when(p % 10 == 0, "text").otherwise("html")
+    body = F.when(p % 10 == 0, lines).when(p % 17 == 0, broken).otherwise(whole)
+    return fields.select("page_id", text("https://archive/", F.col("page_id").cast("string")).alias("url"), kind.alias("kind"), body.alias("body"))
+
+
+def attempt_log(pages: DataFrame) -> DataFrame:
+    """Fetch attempts: 429 and 500 that recover, one redirect hop, URLs that never succeed."""
+    p = F.col("page_id")
+    first = F.when(p % 97 == 13, 503).when(p % 53 == 7, 302).when(p % 41 == 3, 429).when(p % 61 == 5, 500).otherwise(200)
+    moved = F.concat(F.lit("https://archive/moved/"), p.cast("string"))
+    coded = pages.withColumn("first", first)
+
+    def row(url: Column, attempt: int, status: Column, location: Column | None = None) -> Column:
+        return F.struct(
+            url.alias("url"), F.lit(attempt).alias("attempt"), status.cast("int").alias("status"),
+            (F.lit(None).cast("string") if location is None else location).alias("location"),
+        )
+
+    url, code = F.col("url"), F.col("first")
+    never, recovers = code == 503, code.isin(429, 500)
+    tries = (
+        F.when(never, F.array(*[row(url, i, code) for i in (1, 2, 3)]))
+        .when(code == 302, F.array(row(url, 1, code, moved), row(moved, 1, F.lit(200))))
+        .when(recovers, F.array(row(url, 1, code), row(url, 2, F.lit(200))))
+        .otherwise(F.array(row(url, 1, code)))
+    )
+    rows = coded.select(F.explode(tries).alias("r"), "kind", "body")
+    return rows.select("r.*", F.when(F.col("r.status") == 200, F.col("body")).alias("body"), "kind")
+
+
+def corpus(t: Tables) -> DataFrame:
+    """Documents with topic, second label where known, and template family."""
+    labels = t.labels.select("doc_id", F.col("quality").cast("string").alias("sentiment"))
+    family = F.regexp_extract("source", r"(\d+)", 1).cast("int")
+    return t.documents.select("doc_id", "text", F.col("lang").alias("topic"), "source", family.alias("family")).join(
+        labels, "doc_id", "left"
+    )

@@ -18,7 +18,6 @@ from panelwright.sources import tables as S
 from panelwright.sources.derived import FirmFiles, Star, event_study_panel, firm_year, raw_events, vintage_source
 from panelwright.sources.tables import Tables
 
-ONE = F.lit(1)
 
 
 def fresh(spark: SparkSession, name: str) -> str:
@@ -95,7 +94,7 @@ def s09(spark, folder):
         F.when(F.month("vintage_date") == 7, ".").otherwise(F.format_string("%.8f", "value")).alias("value"),
     )
     # A payload holds one observation's revisions: at most one per calendar month.
-    payload = history.groupBy(*key).agg(F.collect_list(observation).alias("observations"), F.count(ONE).alias("count"))
+    payload = history.groupBy(*key).agg(F.collect_list(observation).alias("observations"), F.count("*").alias("count"))
     out = fresh(spark, "revisions")
     payload.select("series_id", "count", "observations").write.json(out)
     return S.read_revision_json(spark, out).withColumn("value", F.round("value", 8))
@@ -238,7 +237,7 @@ BOOK.add(
 
 def p15(spark, folder):
     kept, dropped = joins.restrict(firm_year(Tables(spark, folder))[0], F.col("age") >= 18, "age below 18")
-    return kept.agg(F.count(ONE).alias("rows")).select(F.lit("kept").alias("reason"), "rows").unionByName(dropped)
+    return kept.agg(F.count("*").alias("rows")).select(F.lit("kept").alias("reason"), "rows").unionByName(dropped)
 
 
 BOOK.add("p15", p15, with_(FIRM_YEAR) + "SELECT CASE WHEN age >= 18 THEN 'kept' ELSE 'age below 18' END AS reason, count(*) AS rows FROM firm_year GROUP BY 1")
@@ -321,12 +320,12 @@ BOOK.add(
 )
 BOOK.add(
     "c36",
-    lambda s, d: joins.orphans(Star(s, d).audit_items, Star(s, d).orders, "order_id").agg(F.count(ONE).alias("orphan_items")),
+    lambda s, d: joins.orphans(Star(s, d).audit_items, Star(s, d).orders, "order_id").agg(F.count("*").alias("orphan_items")),
     with_(STAR) + "SELECT count(*) AS orphan_items FROM audit_item i LEFT JOIN fact_order o USING (order_id) WHERE o.order_id IS NULL",
 )
 BOOK.add(
     "c37",
-    lambda s, d: joins.orphans(Star(s, d).audit_returns, Star(s, d).orders, "order_id").agg(F.count(ONE).alias("orphan_returns")),
+    lambda s, d: joins.orphans(Star(s, d).audit_returns, Star(s, d).orders, "order_id").agg(F.count("*").alias("orphan_returns")),
     with_(STAR) + "SELECT count(*) AS orphan_returns FROM audit_return r LEFT JOIN fact_order o USING (order_id) WHERE o.order_id IS NULL",
 )
 for _name, _table, _view, _key in (
@@ -435,7 +434,7 @@ BOOK.add(
 )
 BOOK.add(
     "a07",
-    lambda s, d: Star(s, d).orders.groupBy("customer_id").agg(F.count(ONE).alias("n")).where(F.col("n") >= 12),
+    lambda s, d: Star(s, d).orders.groupBy("customer_id").agg(F.count("*").alias("n")).where(F.col("n") >= 12),
     with_(STAR) + "SELECT customer_id, count(*) AS n FROM fact_order GROUP BY 1 HAVING n >= 12",
 )
 BOOK.add(
@@ -469,10 +468,13 @@ BOOK.add(
 
 # -- windows ------------------------------------------------------------------------------------------------
 
-BY_DATE = [F.col("order_date"), F.col("order_id")]
+def by_date():
+    return [F.col("order_date"), F.col("order_id")]
+
+
 BOOK.add(
     "w01",
-    lambda s, d: ordered.row_number_by_key(Star(s, d).orders.select("customer_id", "order_id", "order_date"), "customer_id", BY_DATE, "rn"),
+    lambda s, d: ordered.row_number_by_key(Star(s, d).orders.select("customer_id", "order_id", "order_date"), "customer_id", by_date(), "rn"),
     with_(STAR) + "SELECT customer_id, order_id, CAST(order_date AS VARCHAR) AS order_date, row_number() OVER (PARTITION BY customer_id ORDER BY order_date, order_id) AS rn FROM fact_order",
 )
 BOOK.add(
@@ -491,7 +493,7 @@ BOOK.add(
 )
 BOOK.add(
     "w05",
-    lambda s, d: ordered.lag_by_key(Star(s, d).orders.select("customer_id", "order_id", "order_date"), "customer_id", BY_DATE, "order_date", "previous"),
+    lambda s, d: ordered.lag_by_key(Star(s, d).orders.select("customer_id", "order_id", "order_date"), "customer_id", by_date(), "order_date", "previous"),
     with_(STAR) + """SELECT customer_id, order_id, CAST(order_date AS VARCHAR) AS order_date,
       CAST(lag(order_date) OVER (PARTITION BY customer_id ORDER BY order_date, order_id) AS VARCHAR) AS previous FROM fact_order""",
 )
@@ -607,7 +609,7 @@ for _name, _sql in (("u02", RECURSIVE_DAYS), ("c49", RECURSIVE_DAYS), ("u03", SE
 def u04(spark, folder):
     t = Tables(spark, folder)
     month = C.month_start(F.col("o_orderdate").cast("date"))
-    sparse = t.orders.where(F.month("o_orderdate") % 5 != 0).groupBy("o_orderpriority", month.alias("month")).agg(F.count(ONE).alias("n"))
+    sparse = t.orders.where(F.month("o_orderdate") % 5 != 0).groupBy("o_orderpriority", month.alias("month")).agg(F.count("*").alias("n"))
     return calendar.month_spine(sparse, ["o_orderpriority"], "month").select("o_orderpriority", "month", "n")
 
 
@@ -668,8 +670,8 @@ BOOK.add("q04", lambda s, d: contracts.check_columns(firms(s, d).panel, ["firm_i
 
 def q05(spark, folder):
     f = firms(spark, folder)
-    firm_count = Tables(spark, folder).customer.agg(F.count(ONE)).scalar()
-    spine_count = f.spine.agg(F.count(ONE)).scalar()
+    firm_count = Tables(spark, folder).customer.agg(F.count("*")).scalar()
+    spine_count = f.spine.agg(F.count("*")).scalar()
     return contracts.report(
         contracts.check_count(f.panel, spine_count, "panel rows"),
         contracts.check_distinct(f.panel, "firm_id", firm_count, "panel firms"),
@@ -691,8 +693,8 @@ def q06(spark, folder):
     star = Star(spark, folder)
     independent = star.completed.join(star.items, "order_id")
     return contracts.report(
-        contracts.reconcile(daily, F.sum("n_events"), clean, F.count(ONE), "daily events = clean rows"),
-        contracts.reconcile(accounts, F.sum("n_events"), clean, F.count(ONE), "account events = clean rows"),
+        contracts.reconcile(daily, F.sum("n_events"), clean, F.count("*"), "daily events = clean rows"),
+        contracts.reconcile(accounts, F.sum("n_events"), clean, F.count("*"), "account events = clean rows"),
         contracts.check_rows(daily, {"net above gross": F.col("net_amount") > F.col("gross_amount")}),
         contracts.reconcile(
             star.financials.where(F.col("status") == "completed"), F.sum("gross_revenue"),

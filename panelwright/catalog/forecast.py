@@ -20,7 +20,6 @@ from panelwright.runtime import stage, stage_root
 from panelwright.sources.derived import indicator_source, vintage_source
 from panelwright.sources.tables import Tables
 
-ONE = F.lit(1)
 PROTOCOL = Protocol(
     targets={"R": "yoy_pct", "A": "level"},
     predictors=("N",),
@@ -179,12 +178,15 @@ latest AS (SELECT series_id, observation_date AS month, max_by(value, vintage_da
            WHERE month(observation_date) % 5 <> 0 GROUP BY 1, 2),
 months AS (SELECT series_id, CAST(unnest(generate_series(CAST(min(month) AS TIMESTAMP), CAST(max(month) AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS month FROM latest GROUP BY 1),
 s AS (SELECT series_id, month, value FROM months LEFT JOIN latest USING (series_id, month))"""
-MONTHLY = Window.partitionBy("series_id").orderBy("month_idx")
+
+
+def monthly():
+    return Window.partitionBy("series_id").orderBy("month_idx")
 
 
 def w11(spark, folder):
     spine = _latest_spine(spark, folder)
-    return rounded(dated(spine.select("series_id", "month_idx", *[series.transformed("value", MONTHLY, k).alias(k) for k in series.TRANSFORMS])))
+    return rounded(dated(spine.select("series_id", "month_idx", *[series.transformed("value", monthly(), k).alias(k) for k in series.TRANSFORMS])))
 
 
 BOOK.add("w11", w11, with_(VINTAGES, SPINE) + """
@@ -203,22 +205,22 @@ def _select_on_spine(build, sql):
 
 
 BOOK.add("w12", *_select_on_spine(
-    lambda: [series.ffill_limit("value", MONTHLY, 1).alias("filled")],
+    lambda: [series.ffill_limit("value", monthly(), 1).alias("filled")],
     """SELECT series_id, CAST(month AS VARCHAR) AS month, round(last_value(value IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY month
        ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 6) AS filled FROM s""",
 ))
 BOOK.add("w13", *_select_on_spine(
-    lambda: [series.rolling_sd("value", MONTHLY, 24, 12).alias("sd")],
+    lambda: [series.rolling_sd("value", monthly(), 24, 12).alias("sd")],
     """SELECT series_id, CAST(month AS VARCHAR) AS month, round(CASE WHEN count(value) OVER w >= 12 THEN stddev_samp(value) OVER w END, 6) AS sd
        FROM s WINDOW w AS (PARTITION BY series_id ORDER BY month ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)""",
 ))
 BOOK.add("w14", *_select_on_spine(
-    lambda: [c.alias(f"lag{k}") for k, c in enumerate(series.lags("value", MONTHLY, 0, 3))],
+    lambda: [c.alias(f"lag{k}") for k, c in enumerate(series.lags("value", monthly(), 0, 3))],
     "SELECT series_id, CAST(month AS VARCHAR) AS month, " + ", ".join(f"round(lag(value, {k}) OVER w, 6) AS lag{k}" for k in range(4))
     + " FROM s WINDOW w AS (PARTITION BY series_id ORDER BY month)",
 ))
 BOOK.add("w15", *_select_on_spine(
-    lambda: [series.label("value", MONTHLY, h).alias(f"label_{h}") for h in (1, 3)],
+    lambda: [series.label("value", monthly(), h).alias(f"label_{h}") for h in (1, 3)],
     "SELECT series_id, CAST(month AS VARCHAR) AS month, round(lead(value, 1) OVER w, 6) AS label_1, round(lead(value, 3) OVER w, 6) AS label_3 FROM s WINDOW w AS (PARTITION BY series_id ORDER BY month)",
 ))
 

@@ -14,7 +14,6 @@ from panelwright.plans import text as X
 from panelwright.sources.derived import attempt_log, corpus, document_pages
 from panelwright.sources.tables import Tables
 
-ONE = F.lit(1)
 TERMS = """
 corpus AS (
   SELECT d.doc_id, d.text, d.lang AS topic, d.source, CAST(quality AS VARCHAR) AS sentiment,
@@ -51,7 +50,7 @@ BOOK.add(
 def x02(spark, folder):
     counts = X.term_counts(Tables(spark, folder).documents, "doc_id", "text")
     return counts.groupBy("doc_id").agg(
-        F.sum("tf").alias("n_terms"), F.count(ONE).alias("n_distinct"), F.sum(F.length("term") * F.col("tf")).alias("n_chars"),
+        F.sum("tf").alias("n_terms"), F.count("*").alias("n_distinct"), F.sum(F.length("term") * F.col("tf")).alias("n_chars"),
         F.min("term").alias("first_term"), F.max("tf").alias("top_count"),
     )
 

@@ -243,21 +243,31 @@ def unit_moments(k: int, t: int):
     return add
 
 
+_SLICE = 50_000  # entries handled at once, so scratch memory does not grow with the batch
+
+
 def _flat(pdf):
-    """Row number, column and value of each entry of sparse rows ``idx, val``."""
+    """Row number, column and value of each entry of sparse rows ``idx, val``; rows are contiguous."""
     lengths = pdf["idx"].map(len).to_numpy()
     row = np.repeat(np.arange(len(lengths)), lengths)
     return row, np.concatenate(pdf["idx"].to_numpy()).astype(int), np.concatenate(pdf["val"].to_numpy()).astype(float)
 
 
-def _times(pdf, matrix):
-    """Sparse rows times a dense matrix, a slice of entries at a time."""
-    row, column, value = _flat(pdf)
-    out = np.zeros((len(pdf), matrix.shape[1]))
-    for start in range(0, len(row), 200_000):
-        part = slice(start, start + 200_000)
-        np.add.at(out, row[part], value[part, None] * matrix[column[part]])
-    return out, row, column, value
+def _add_sorted(out, target, source, value, matrix):
+    """``out[target] += value * matrix[source]`` for entries sorted by ``target``."""
+    for start in range(0, len(target), _SLICE):
+        part = slice(start, start + _SLICE)
+        at = target[part]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        out[at[first]] += np.add.reduceat(value[part, None] * matrix[source[part]], first, axis=0)
+
+
+def _times(entries, n_rows, matrix):
+    """Sparse rows times a dense matrix."""
+    row, column, value = entries
+    out = np.zeros((n_rows, matrix.shape[1]))
+    _add_sorted(out, row, column, value, matrix)
+    return out
 
 
 def gram_product(shared):
@@ -270,10 +280,10 @@ def gram_product(shared):
         for pdf in batches:
             if not len(pdf):
                 continue
-            image, row, column, value = _times(pdf, basis)
-            for start in range(0, len(row), 200_000):
-                part = slice(start, start + 200_000)
-                np.add.at(total, column[part], value[part, None] * image[row[part]])
+            row, column, value = entries = _flat(pdf)
+            image = _times(entries, len(pdf), basis)
+            by_column = np.argsort(column, kind="stable")
+            _add_sorted(total, column[by_column], row[by_column], value[by_column], image)
             seen[column] = True
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"t": at.astype("int32"), "z": list(total[at])})
@@ -287,6 +297,6 @@ def row_product(shared):
     def project(batches):
         for pdf in batches:
             if len(pdf):
-                yield pd.DataFrame({"doc_id": pdf["doc_id"], "e": list(_times(pdf, shared.value)[0])})
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "e": list(_times(_flat(pdf), len(pdf), shared.value))})
 
     return project

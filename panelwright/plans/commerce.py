@@ -16,7 +16,6 @@ from panelwright.operators.latest import top_n_per_group
 from panelwright.operators.ordered import exact_percentiles, global_ntile, running_total
 from panelwright.sources.derived import Star
 
-ONE = F.lit(1)
 
 
 def share(condition: Column) -> Column:
@@ -70,7 +69,7 @@ def monthly_category_trend(star: Star) -> DataFrame:
 def customer_revenue(star: Star) -> DataFrame:
     return star.financials.groupBy("customer_id").agg(
         F.round(F.sum("net_revenue"), 2).alias("revenue"),
-        F.count(ONE).alias("orders"),
+        F.count("*").alias("orders"),
         F.sum("returned").alias("returned"),
     )
 
@@ -101,7 +100,7 @@ def top_decile(star: Star) -> DataFrame:
 
 def pareto_share(star: Star, limit: float = 0.8) -> DataFrame:
     """Share of customers whose running revenue share (peers included) stays within ``limit``."""
-    by_value = customer_revenue(star).groupBy("revenue").agg(F.count(ONE).alias("customers"))
+    by_value = customer_revenue(star).groupBy("revenue").agg(F.count("*").alias("customers"))
     steps = running_total(by_value.withColumn("amount", F.col("revenue") * F.col("customers")), "amount", [F.col("revenue").desc()])
     inside = F.col("running") / F.col("total") <= limit
     return steps.agg(
@@ -113,7 +112,7 @@ def pareto_share(star: Star, limit: float = 0.8) -> DataFrame:
 
 def completed_per_customer(star: Star) -> DataFrame:
     return star.completed.groupBy("customer_id").agg(
-        F.count(ONE).alias("orders"), F.min("order_date").alias("first_order"), F.max("order_date").alias("last_order")
+        F.count("*").alias("orders"), F.min("order_date").alias("first_order"), F.max("order_date").alias("last_order")
     )
 
 
@@ -123,7 +122,7 @@ def repeat_rate(star: Star) -> DataFrame:
 
 def cohort_sizes(star: Star) -> DataFrame:
     return completed_per_customer(star).groupBy(month_key(F.col("first_order")).alias("cohort_month")).agg(
-        F.count(ONE).alias("customers")
+        F.count("*").alias("customers")
     )
 
 
@@ -149,7 +148,7 @@ def active_span(star: Star) -> DataFrame:
 def _customer_days(star: Star) -> DataFrame:
     """One row per customer and order day with the day before it. Bounded by the calendar per customer."""
     days = star.completed.groupBy("customer_id", "order_date").agg(
-        F.count(ONE).alias("n"), F.min("order_id").alias("first_order_id")
+        F.count("*").alias("n"), F.min("order_id").alias("first_order_id")
     )
     previous = F.lag("order_date").over(Window.partitionBy("customer_id").orderBy("order_date"))
     return days.withColumn("gap", days_between(F.col("order_date"), previous))
@@ -181,7 +180,7 @@ def longest_gaps(star: Star, n: int = 25) -> DataFrame:
 
 def new_customer_share(star: Star) -> DataFrame:
     """Monthly share of completed orders that are the customer's first."""
-    orders = star.completed.groupBy(month_key(F.col("order_date")).alias("month")).agg(F.count(ONE).alias("orders"))
+    orders = star.completed.groupBy(month_key(F.col("order_date")).alias("month")).agg(F.count("*").alias("orders"))
     first = cohort_sizes(star).withColumnRenamed("cohort_month", "month")
     return orders.join(first, "month", "left").select(
         "month", F.round(F.coalesce("customers", F.lit(0)) / F.col("orders"), 6).alias("new_share")
@@ -232,7 +231,7 @@ def high_return_customers(star: Star) -> DataFrame:
     return (
         orders.join(returned, "order_id", "left")
         .groupBy("customer_id")
-        .agg(F.count(ONE).alias("orders"), F.count("hit").alias("returned_orders"))
+        .agg(F.count("*").alias("orders"), F.count("hit").alias("returned_orders"))
         .where(F.col("returned_orders") >= 2)
     )
 
@@ -263,7 +262,7 @@ def channel_economics(star: Star) -> DataFrame:
     return (
         with_customer(star, customer_revenue(star))
         .groupBy("acquisition_channel")
-        .agg(F.count(ONE).alias("customers"), F.round(F.sum("revenue"), 2).alias("revenue"))
+        .agg(F.count("*").alias("customers"), F.round(F.sum("revenue"), 2).alias("revenue"))
         .withColumn("revenue_per_customer", F.round(F.col("revenue") / F.col("customers"), 6))
     )
 
@@ -283,7 +282,7 @@ def channel_growth(star: Star) -> DataFrame:
 
 def channel_discount(star: Star) -> DataFrame:
     per_customer = star.orders.groupBy("customer_id").agg(
-        F.sum("discount_pct").alias("discount"), F.count(ONE).alias("orders")
+        F.sum("discount_pct").alias("discount"), F.count("*").alias("orders")
     )
     return (
         with_customer(star, per_customer)
@@ -293,7 +292,7 @@ def channel_discount(star: Star) -> DataFrame:
 
 
 def country_segments(star: Star) -> DataFrame:
-    return star.customers.groupBy("country", "customer_segment").agg(F.count(ONE).alias("customers"))
+    return star.customers.groupBy("country", "customer_segment").agg(F.count("*").alias("customers"))
 
 
 def high_value_share(star: Star) -> DataFrame:
@@ -308,12 +307,12 @@ def high_value_share(star: Star) -> DataFrame:
 def discount_buckets(star: Star) -> DataFrame:
     band = bucket(F.col("discount_pct"), [(0.0, "0%"), (0.10, "1-10%"), (0.20, "11-20%")], "21%+")
     return star.financials.groupBy(band.alias("bucket")).agg(
-        F.count(ONE).alias("orders"), F.round(F.avg("net_revenue"), 6).alias("avg_revenue")
+        F.count("*").alias("orders"), F.round(F.avg("net_revenue"), 6).alias("avg_revenue")
     )
 
 
 def discount_penetration(star: Star) -> DataFrame:
-    counts = star.orders.groupBy("discount_pct").agg(F.count(ONE).alias("orders"))
+    counts = star.orders.groupBy("discount_pct").agg(F.count("*").alias("orders"))
     # One row per discount level.
     total = F.sum("orders").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return counts.withColumn("share", F.round(F.col("orders").cast("double") / total, 6))
@@ -337,14 +336,14 @@ def median_order_revenue(star: Star) -> DataFrame:
 
 def return_severity(star: Star) -> DataFrame:
     return star.returns.groupBy("return_reason").agg(
-        F.count(ONE).alias("returns"),
+        F.count("*").alias("returns"),
         F.round(F.sum("refund_amount"), 2).alias("refunds"),
         F.round(F.avg("refund_amount"), 6).alias("avg_refund"),
     )
 
 
 def return_reason_rank(star: Star) -> DataFrame:
-    counts = star.returns.groupBy("return_reason").agg(F.count(ONE).alias("n"))
+    counts = star.returns.groupBy("return_reason").agg(F.count("*").alias("n"))
     return counts.withColumn("rank", F.dense_rank().over(Window.orderBy(F.col("n").desc())))  # one row per reason
 
 
@@ -353,7 +352,7 @@ def monthly_return_rate(star: Star) -> DataFrame:
     return (
         star.orders.join(returned, "order_id", "left")
         .groupBy(month_key(F.col("order_date")).alias("month"))
-        .agg(F.round(F.count("hit") / F.count(ONE), 6).alias("return_rate"))
+        .agg(F.round(F.count("hit") / F.count("*"), 6).alias("return_rate"))
     )
 
 
@@ -388,7 +387,7 @@ def return_rate_by_category(star: Star) -> DataFrame:
     per_product = (
         star.items.join(returned, "order_id", "left")
         .groupBy("product_id")
-        .agg(F.count("hit").alias("hits"), F.count(ONE).alias("lines"))
+        .agg(F.count("hit").alias("hits"), F.count("*").alias("lines"))
     )
     return (
         per_product.join(star.products.select("product_id", "category"), "product_id")
@@ -433,4 +432,4 @@ def attach_rate(star: Star) -> DataFrame:
 
 
 def json_counts(star: Star, path: str = "$.k") -> DataFrame:
-    return star.tables.events.groupBy(json_field(F.col("props"), path).alias("campaign")).agg(F.count(ONE).alias("n"))
+    return star.tables.events.groupBy(json_field(F.col("props"), path).alias("campaign")).agg(F.count("*").alias("n"))

@@ -18,7 +18,6 @@ from panelwright.functions.estimators import unit_moments
 from panelwright.operators.joins import join_one_to_one, merge_covariates, restrict
 from panelwright.runtime import stage
 
-ONE = F.lit(1)
 MAX_PERIODS = 2000
 
 
@@ -70,7 +69,7 @@ def _sweep_units(df: DataFrame, columns: list[str], unit: str, period: str) -> t
     k, t = len(columns), len(periods)
 
     cells = df.groupBy(unit, period).agg(
-        F.count(ONE).alias("_n"), F.array(*[F.sum(c) for c in columns]).alias("_s")
+        F.count("*").alias("_n"), F.array(*[F.sum(c) for c in columns]).alias("_s")
     )
     # At most one entry per period and unit.
     units = cells.groupBy(unit).agg(
@@ -88,7 +87,7 @@ def _sweep_units(df: DataFrame, columns: list[str], unit: str, period: str) -> t
     squares = [F.sum(F.col(a) * F.col(b)).alias(f"x{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if j <= i]
     inner = df.agg(*squares).first()
     by_period = {r[period]: r for r in df.groupBy(period).agg(
-        F.count(ONE).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)]
+        F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)]
     ).collect()}  # one row per period
     raw = np.zeros((k + t, k + t))
     for i in range(k):
@@ -105,7 +104,7 @@ def _sandwich(scores: DataFrame, cluster: list[str], k: int) -> tuple[np.ndarray
     """Outer products of score sums per cluster."""
     sums = scores.groupBy(*cluster).agg(*[F.sum(f"_g{i}").alias(f"_g{i}") for i in range(k)])
     products = [F.sum(F.col(f"_g{i}") * F.col(f"_g{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(i + 1)]
-    row = sums.agg(F.count(ONE).alias("g"), *products).first()
+    row = sums.agg(F.count("*").alias("g"), *products).first()
     meat = np.zeros((k, k))
     for i in range(k):
         for j in range(i + 1):

@@ -14,7 +14,6 @@ from panelwright.operators.latest import first_by, latest_by
 from panelwright.operators.ordered import exact_percentiles
 
 KEY = ["firm_id", "quarter"]
-ONE = F.lit(1)
 
 
 class FirmPanel:
@@ -96,7 +95,7 @@ class FirmPanel:
 
     @staticmethod
     def _superseded(df: DataFrame, reason: str) -> DataFrame:
-        per_key = df.groupBy(*KEY).agg(F.count(ONE).alias("n"))
+        per_key = df.groupBy(*KEY).agg(F.count("*").alias("n"))
         return per_key.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("rows")).select(F.lit(reason).alias("reason"), "rows")
 
     @cached_property
@@ -105,7 +104,7 @@ class FirmPanel:
 
         def tagged(df: DataFrame, reason: Column) -> DataFrame:
             named = df.select(reason.alias("reason")).where(F.col("reason").isNotNull())
-            return named.groupBy("reason").agg(F.count(ONE).alias("rows"))
+            return named.groupBy("reason").agg(F.count("*").alias("rows"))
 
         def keyed_reason(source: str) -> Column:
             return F.when(F.col("firm_id").isNull(), f"{source}: no firm id").when(
@@ -119,7 +118,7 @@ class FirmPanel:
             .when(F.col("adoption_date").isNull(), "adoption: bad date")
             .when(F.col("known").isNull(), "adoption: unknown firm")
         )
-        master_rows = self.files.firm_master.groupBy("firm_id").agg(F.count(ONE).alias("n"))
+        master_rows = self.files.firm_master.groupBy("firm_id").agg(F.count("*").alias("n"))
         parts = [
             tagged(self.employment_keyed, keyed_reason("employment")),
             tagged(self.financials_keyed, keyed_reason("financials")),
@@ -135,7 +134,7 @@ class FirmPanel:
     @cached_property
     def quality(self) -> DataFrame:
         """One row: panel size, duplicate keys, keys without a master record."""
-        per_key = self.panel.groupBy(*KEY).agg(F.count(ONE).alias("n"))
+        per_key = self.panel.groupBy(*KEY).agg(F.count("*").alias("n"))
         sizes = per_key.agg(
             F.sum("n").alias("final_rows"),
             F.sum(F.col("n") - 1).alias("duplicate_keys"),
@@ -145,7 +144,7 @@ class FirmPanel:
 
         def unmatched(df: DataFrame) -> Column:
             strangers = df.select("firm_id").distinct().join(self.master.select("firm_id"), "firm_id", "left_anti")
-            return strangers.agg(F.count(ONE)).scalar()
+            return strangers.agg(F.count("*")).scalar()
 
         return sizes.select(
             "*",

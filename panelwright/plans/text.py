@@ -20,26 +20,27 @@ MIN_DOCS = 2
 MAX_TERMS = 12_000
 DIMENSIONS = 64
 SEED = 50505
-ONE = F.lit(1)
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def terms(text: Column) -> Column:
-    """Words and pairs of neighbouring words."""
-    w = words(text)
+def with_terms(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``terms``: words and pairs of neighbouring words, in two steps so words are found once."""
+    w = F.col("_words")
     pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(w, F.filter(pairs, lambda p: p.isNotNull()))
+    spoken = df.withColumn("_words", words(F.col(text)))
+    return spoken.withColumn("terms", F.concat(w, F.filter(pairs, lambda p: p.isNotNull()))).drop("_words")
 
 
 def term_counts(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    """``id, term, tf``. Counted per document before anything is shuffled by term."""
+    """``id, term, tf`` of every term."""
     return (
-        df.select(id_column, F.explode(terms(F.col(text))).alias("term"))
+        with_terms(df, text)
+        .select(id_column, F.explode("terms").alias("term"))
         .groupBy(id_column, "term")
-        .agg(F.count(ONE).alias("tf"))
+        .agg(F.count("*").alias("tf"))
     )
 
 
@@ -55,32 +56,49 @@ def check_split(df: DataFrame, group: str) -> DataFrame:
     return sides.agg((leaks == 0).alias("passed"), leaks.alias("n_violations"))
 
 
-def vocabulary(train_counts: DataFrame, min_docs: int = MIN_DOCS, max_terms: int = MAX_TERMS) -> DataFrame:
+def vocabulary(train: DataFrame, text: str, min_docs: int = MIN_DOCS, max_terms: int = MAX_TERMS) -> DataFrame:
     """``term, df, total``: terms of at least ``min_docs`` training documents, the most frequent ones.
 
-    ``max_terms`` is the feature limit of the method and bounds everything built on the vocabulary.
+    A document counts its distinct terms within its own row, so the only shuffle carries
+    per-task sums by term. ``max_terms`` is the feature limit of the method and bounds
+    everything built on the vocabulary.
     """
-    stats = train_counts.groupBy("term").agg(F.count(ONE).alias("df"), F.sum("tf").alias("total"))
+    found = with_terms(train, text).select("terms")
+    both = F.concat(
+        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("doc"), F.lit(1).alias("use"))),
+        F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("doc"), F.lit(0).alias("use"))),
+    )
+    stats = found.select(F.inline(both)).groupBy("term").agg(F.sum("doc").alias("df"), F.sum("use").alias("total"))
     return stats.where(F.col("df") >= min_docs).orderBy(F.col("total").desc(), "term").limit(max_terms)
 
 
-def tfidf(counts: DataFrame, vocab: DataFrame, n_train: Column, id_column: str) -> DataFrame:
-    """``id, term, weight``: smoothed idf, rows of length one.
+def tfidf_rows(df: DataFrame, text: str, vocab: DataFrame, n_train: Column, id_column: str) -> DataFrame:
+    """Sparse rows ``id, idx, val`` with smoothed idf and length one, entries in order of ``idx``.
 
-    The vocabulary has at most ``MAX_TERMS`` rows, so it is broadcast and a document has at
-    most that many rows.
+    The vocabulary has at most ``MAX_TERMS`` rows: it is broadcast, and drops all other terms
+    before anything is shuffled. A row has at most that many entries.
     """
     idf = F.log((1 + n_train) / (1 + F.col("df"))) + 1
-    raw = counts.join(F.broadcast(vocab.select("term", "df")), "term").select(
-        id_column, "term", (F.col("tf") * idf).alias("raw")
+    known = vocab.select("term", "idx", idf.alias("idf"))
+    counts = (
+        with_terms(df, text)
+        .select(id_column, F.explode("terms").alias("term"))
+        .join(F.broadcast(known), "term")
+        .groupBy(id_column, "idx", "idf")
+        .agg(F.count("*").alias("tf"))
+    )
+    packed = counts.groupBy(id_column).agg(
+        F.sort_array(F.collect_list(F.struct("idx", (F.col("tf") * F.col("idf")).alias("raw")))).alias("e")
     )
-    norms = raw.groupBy(F.col(id_column).alias("_id")).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("_norm"))
-    return raw.join(norms, F.col(id_column) == F.col("_id")).select(
-        id_column, "term", (F.col("raw") / F.col("_norm")).alias("weight")
+    length = F.sqrt(F.aggregate("e", F.lit(0.0), lambda acc, e: acc + e["raw"] * e["raw"]))
+    return packed.withColumn("_length", length).select(
+        id_column,
+        F.transform("e", lambda e: e["idx"]).alias("idx"),
+        F.transform("e", lambda e: e["raw"] / F.col("_length")).alias("val"),
     )
 
 
-def svd_basis(rows: DataFrame, n_terms: int, k: int, seed: int = SEED, passes: int = 7, extra: int = 10) -> tuple[np.ndarray, np.ndarray]:
+def svd_basis(rows: DataFrame, n_terms: int, k: int, seed: int = SEED, passes: int = 6, extra: int = 10) -> tuple[np.ndarray, np.ndarray]:
     """Leading right singular vectors of sparse rows ``idx, val`` by randomized subspace iteration.
 
     Every pass is one job that adds up ``A'(A Q)``; the driver keeps ``n_terms`` x (k + extra)
@@ -94,9 +112,9 @@ def svd_basis(rows: DataFrame, n_terms: int, k: int, seed: int = SEED, passes: i
         shared = spark.sparkContext.broadcast(basis)
         partial = rows.mapInPandas(gram_product(shared), "t int, z array<double>")
         added = partial.groupBy("t").agg(F.array(*[F.sum(F.col("z")[j]) for j in range(width)]).alias("z"))
+        table = added.toArrow()  # at most one row per vocabulary term
         image = np.zeros_like(basis)
-        for r in added.toLocalIterator():  # at most one row per vocabulary term
-            image[r["t"]] = r["z"]
+        image[table["t"].to_numpy()] = table["z"].combine_chunks().values.to_numpy().reshape(-1, width)
         shared.unpersist()
         if i < passes - 1:
             basis = np.linalg.qr(image)[0]
@@ -118,37 +136,29 @@ class TextModel:
         self.dimensions = dimensions
 
     @cached_property
-    def counts(self) -> DataFrame:
-        return stage(term_counts(self.corpus, "doc_id", "text"))
-
-    @cached_property
-    def train_ids(self) -> DataFrame:
-        return self.corpus.where(F.col("split") == "train").select("doc_id")
+    def train(self) -> DataFrame:
+        return self.corpus.where(F.col("split") == "train")
 
     @cached_property
     def vocab(self) -> DataFrame:
         """Vocabulary with a position per term, in order of the term."""
-        chosen = stage(vocabulary(self.counts.join(self.train_ids, "doc_id", "left_semi")))
         position = F.row_number().over(Window.orderBy("term")) - 1  # at most MAX_TERMS rows
-        return stage(chosen.withColumn("idx", position))
+        return stage(vocabulary(self.train, "text").withColumn("idx", position))
 
     @cached_property
-    def weights(self) -> DataFrame:
-        n_train = self.train_ids.agg(F.count(ONE)).scalar()
-        return tfidf(self.counts, self.vocab, n_train, "doc_id")
+    def rows(self) -> DataFrame:
+        n_train = self.train.agg(F.count("*")).scalar()
+        return stage(tfidf_rows(self.corpus, "text", self.vocab, n_train, "doc_id"))
 
     @cached_property
-    def rows(self) -> DataFrame:
-        """Sparse rows ``doc_id, idx, val``; a row is bounded by the vocabulary."""
-        placed = self.weights.join(F.broadcast(self.vocab.select("term", "idx")), "term")
-        packed = placed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("e"))
-        return stage(
-            packed.select("doc_id", F.transform("e", lambda e: e["idx"]).alias("idx"), F.transform("e", lambda e: e["weight"]).alias("val"))
-        )
+    def weights(self) -> DataFrame:
+        """``doc_id, term, weight``."""
+        entries = self.rows.select("doc_id", F.inline(F.arrays_zip("idx", F.col("val").alias("weight"))))
+        return entries.join(F.broadcast(self.vocab.select("term", "idx")), "idx").select("doc_id", "term", "weight")
 
     @cached_property
     def components(self) -> np.ndarray:
-        train = self.rows.join(self.train_ids, "doc_id", "left_semi").select("idx", "val")
+        train = self.rows.join(self.train.select("doc_id"), "doc_id", "left_semi").select("idx", "val")
         n_terms = self.vocab.count()
         return svd_basis(train, n_terms, min(self.dimensions, n_terms))[0]
 
@@ -183,10 +193,10 @@ def train_classifier(embedded: DataFrame, label: str, max_iter: int = 500) -> Da
 
 def classification_metrics(predictions: DataFrame, actual: str, predicted: str) -> DataFrame:
     """Accuracy and macro-F1; a class that is never predicted or never true scores 0."""
-    confusion = predictions.groupBy(F.col(actual).alias("a"), F.col(predicted).alias("p")).agg(F.count(ONE).alias("n"))
+    confusion = predictions.groupBy(F.col(actual).alias("a"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
     sides = confusion.select("n", F.explode(F.array(
-        F.struct(F.col("a").alias("class"), ONE.alias("is_actual"), F.lit(0).alias("is_pred")),
-        F.struct(F.col("p").alias("class"), F.lit(0).alias("is_actual"), ONE.alias("is_pred")),
+        F.struct(F.col("a").alias("class"), F.lit(1).alias("is_actual"), F.lit(0).alias("is_pred")),
+        F.struct(F.col("p").alias("class"), F.lit(0).alias("is_actual"), F.lit(1).alias("is_pred")),
     )).alias("s"), (F.col("a") == F.col("p")).alias("hit"))
     per_class = sides.groupBy("s.class").agg(
         F.sum(F.when(F.col("hit") & (F.col("s.is_actual") == 1), F.col("n")).otherwise(0)).alias("tp"),

@@ -14,7 +14,6 @@ from panelwright.operators.series import rolling_sd, transform_series
 
 PANEL_COLUMNS = ["series_id", "observation_date", "vintage_date", "value"]
 TRUTH_MODES = ("first_release", "latest")
-ONE = F.lit(1)
 
 
 def vintage_panel(df: DataFrame) -> DataFrame:
@@ -157,7 +156,7 @@ def volatility_regime(latest: DataFrame, length: int = 24) -> DataFrame:
 
 def data_audit(panel: DataFrame) -> DataFrame:
     """Coverage per series. Rows are first reduced to (series, observation, vintage)."""
-    cells = panel.groupBy("series_id", "observation_date", "vintage_date").agg(F.count(ONE).alias("n"))
+    cells = panel.groupBy("series_id", "observation_date", "vintage_date").agg(F.count("*").alias("n"))
     return cells.groupBy("series_id").agg(
         F.sum("n").alias("rows"),
         F.countDistinct("observation_date").alias("observations"),

@@ -17,6 +17,7 @@ from panelwright.functions.cleaning import (
     pick,
     quarter_label,
 )
+from panelwright.runtime import stage
 from panelwright.sources.tables import Tables
 
 # Fixed values of the commerce fixture.
@@ -244,7 +245,8 @@ class FirmFiles:
     @cached_property
     def _quarterly(self) -> DataFrame:
         day = F.col("o_orderdate").cast("date")
-        return (
+        # Both files come from this table, so it is landed once.
+        return stage(
             self.tables.orders.groupBy(F.col("o_custkey").alias("k"), quarter_label(day).alias("label"))
             .agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
             .withColumns(

@@ -178,7 +178,14 @@ def train_classifier(embedded: DataFrame, label: str, max_iter: int = 500) -> Da
     ``embedded``: ``doc_id, e, split, <label>``; rows without a label are neither fitted nor scored.
     Penalty 1/n corresponds to a unit cost per training row.
     """
-    known = embedded.where(F.col(label).isNotNull()).withColumn("features", array_to_vector("e"))
+    labelled = embedded.where(F.col(label).isNotNull())
+    train = labelled.where(F.col("split") == "train")
+    # A constant dimension is what the free intercept already is. Left in, its tiny spread
+    # would blow up the solver's internal scaling.
+    width = train.agg(F.max(F.size("e"))).first()[0]
+    spread = train.agg(*[F.stddev_pop(F.col("e")[i]) for i in range(width)]).first()
+    varying = [F.col("e")[i] for i in range(width) if spread[i] > 1e-9]
+    known = labelled.withColumn("features", array_to_vector(F.array(*varying)))
     classes = [r[0] for r in known.where(F.col("split") == "train").select(label).distinct().orderBy(label).collect()]
     codes = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, float(i))])
     fit_rows = known.where(F.col("split") == "train").withColumn("code", codes[F.col(label)])

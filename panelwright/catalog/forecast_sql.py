@@ -132,7 +132,7 @@ ks AS (
 PAIRED = """
 paired AS (
   SELECT truth_mode, target, horizon, regime, model, n AS n_common, rmse, baseline_rmse, rmse / baseline_rmse AS rmse_rel, crps, baseline_crps,
-         crps / baseline_crps AS crps_rel, 0.6::DOUBLE * rmse / baseline_rmse + 0.4::DOUBLE * crps / baseline_crps AS combined_rel,
+         crps / baseline_crps AS crps_rel, 0.6::DOUBLE * (rmse / baseline_rmse) + 0.4::DOUBLE * (crps / baseline_crps) AS combined_rel,
          coverage80, coverage90, width80, width90, pit_mean, pit_var, baseline_n
   FROM (SELECT m.truth_mode, m.target, m.horizon, m.regime, m.model, count(*) AS n, sqrt(avg(m.error * m.error)) AS rmse,
                sqrt(avg(b.error * b.error)) AS baseline_rmse, avg(m.crps) AS crps, avg(b.crps) AS baseline_crps,

@@ -65,15 +65,13 @@ class Supervised:
         """Wide monthly panel per cutoff; predictors are carried forward for a few months."""
         p = self.protocol
         series = sorted({*p.targets, *p.predictors})
-        snap = vintage.snapshots(self.panel, p.vintage_start, p.vintage_end)
-        snap = snap.withColumn("month_idx", month_index(F.col("observation_date")))
-        # The snapshot of the whole panel sets the month range, as all its series share one index.
-        span = snap.groupBy("cutoff_idx").agg(F.min("month_idx").alias("lo"), F.max("month_idx").alias("hi"))
+        used = self.panel.where(F.col("series_id").isin(series))
+        snap = vintage.snapshots(used, p.vintage_start, p.vintage_end)
+        # All series of the panel set the month range of a snapshot, the used ones fill it.
+        span = vintage.observation_spans(self.panel, p.vintage_start, p.vintage_end)
         spine = span.select("cutoff_idx", F.explode(F.sequence("lo", "hi")).alias("month_idx"))
-        wide = (
-            snap.where(F.col("series_id").isin(series))
-            .groupBy("cutoff_idx", "month_idx")
-            .agg(*[F.max(F.when(F.col("series_id") == s, F.col("value"))).alias(s) for s in series])
+        wide = snap.groupBy("cutoff_idx", month_index(F.col("observation_date")).alias("month_idx")).agg(
+            *[F.max(F.when(F.col("series_id") == s, F.col("value"))).alias(s) for s in series]
         )
         window = Window.partitionBy("cutoff_idx").orderBy("month_idx")
         whole = Window.partitionBy("cutoff_idx")

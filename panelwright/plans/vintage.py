@@ -60,6 +60,29 @@ def snapshots(panel: DataFrame, first: str, last: str) -> DataFrame:
     )
 
 
+def observation_spans(panel: DataFrame, first: str, last: str) -> DataFrame:
+    """First and last observed month of all series per cutoff: ``cutoff_idx, lo, hi``.
+
+    The panel is reduced to one row per vintage month before the running bounds are taken.
+    """
+    start, end = _cutoff_bounds(first, last)
+    observed = month_index(F.col("observation_date"))
+    per_month = (
+        panel.groupBy(F.greatest(month_index(F.col("vintage_date")), start).alias("_from"))
+        .agg(F.min(observed).alias("lo"), F.max(observed).alias("hi"))
+        .where(F.col("_from") <= end)
+    )
+    order = Window.orderBy("_from")  # one row per calendar month
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    steps = per_month.select(
+        "_from",
+        F.coalesce(F.lead("_from").over(order) - 1, end).alias("_to"),
+        F.min("lo").over(so_far).alias("lo"),
+        F.max("hi").over(so_far).alias("hi"),
+    )
+    return steps.select(F.explode(F.sequence("_from", "_to")).alias("cutoff_idx"), "lo", "hi")
+
+
 def truths(panel: DataFrame) -> DataFrame:
     """First release and latest value of every observation: ``series_id, observation_date, truth_mode, value``."""
     both = panel.groupBy("series_id", "observation_date").agg(

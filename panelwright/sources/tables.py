@@ -43,6 +43,9 @@ EVENT_SCHEMA = T.StructType(
 )
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 class Tables:
     """Lazy readers for the Parquet tables of one folder."""
 
@@ -51,7 +54,11 @@ class Tables:
         self.folder = folder.rstrip("/")
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """The table with its footer schema, which is looked up once per path."""
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     customer = cached_property(lambda self: self.read("customer"))
     documents = cached_property(lambda self: self.read("documents"))
@@ -71,14 +78,20 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str, schema: T.StructType = EVENT_SCHEMA) -> DataFrame:
-    """Compressed event CSV. One gzip file is one task, so spread the rows right after the scan."""
-    return read_csv(spark, path, schema).repartition(F.col("event_id"))
+    """Compressed event CSV. One gzip file is one task, so the rows are spread evenly right after
+    the scan; by number rather than by key, as one event id may hold many copies."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return read_csv(spark, path, schema).repartition(tasks)
 
 
 def write_parquet(df: DataFrame, path: str, sort_by: list[str]) -> None:
-    """Key-sorted, zstd-compressed Parquet: range partitions keep min/max statistics selective."""
+    """Key-sorted, zstd-compressed Parquet: range partitions keep min/max statistics selective.
+
+    A row hash behind the keys lets the rows of one hot key spread over several files, which
+    stay in key order.
+    """
     (
-        df.repartitionByRange(*sort_by)
+        df.repartitionByRange(*sort_by, F.xxhash64(*df.columns))
         .sortWithinPartitions(*sort_by)
         .write.mode("errorifexists")
         .option("compression", "zstd")

@@ -11,7 +11,7 @@ from panelwright.functions.cleaning import normalize_text
 from panelwright.operators import contracts, latest
 from panelwright.plans import documents as H
 from panelwright.plans import text as X
-from panelwright.sources.derived import attempt_log, corpus, document_pages
+from panelwright.sources.derived import attempt_log, corpus, document_pages, sentiments
 from panelwright.sources.tables import Tables
 
 TERMS = """
@@ -73,13 +73,19 @@ BOOK.add(
 )
 
 
+def labelled(spark, folder, m):
+    """Embeddings with split and both labels."""
+    rows = m.corpus.select("doc_id", "split", "topic").join(m.embedding, "doc_id")
+    return rows.join(sentiments(Tables(spark, folder)), "doc_id", "left")
+
+
 def x08(spark, folder):
     """Held-out accuracy and macro-F1 of both classifiers."""
-    m = model(spark, folder)
+    rows = labelled(spark, folder, model(spark, folder))
     out = None
     for label in ("topic", "sentiment"):
-        made = X.train_classifier(m.corpus.select("doc_id", "split", label).join(m.embedding, "doc_id"), label)
-        row = X.classification_metrics(made.where(F.col("split") == "test"), "actual", "pred").withColumn("label", F.lit(label))
+        made = X.train_classifier(rows, label).where(F.col("split") == "test")
+        row = X.classification_metrics(made, "actual", "pred").withColumn("label", F.lit(label))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -92,8 +98,8 @@ def x09(spark, folder):
 
 def x10(spark, folder):
     m = model(spark, folder)
-    labelled = m.corpus.select("doc_id", "split", "topic", "sentiment").join(m.embedding, "doc_id")
-    made = X.predictions(X.train_classifier(labelled, "topic"), X.train_classifier(labelled, "sentiment"))
+    rows = labelled(spark, folder, m)
+    made = X.predictions(X.train_classifier(rows, "topic"), X.train_classifier(rows, "sentiment"))
     return made.join(X.embeddings_wide(m.embedding, m.components.shape[1]), "doc_id")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.estimators import gram_product, row_product
-from panelwright.runtime import stage
+from panelwright.runtime import spread, stage
 
 # Words are runs of at least two letters, digits or underscores.
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -128,16 +128,17 @@ def svd_basis(rows: DataFrame, n_terms: int, k: int, seed: int = SEED, passes: i
 class TextModel:
     """Embedding fitted on the training side and applied to all documents.
 
-    ``corpus``: ``doc_id, text, split`` and label columns.
+    ``corpus``: ``doc_id, text, split`` and further columns that are left alone.
     """
 
     def __init__(self, corpus: DataFrame, dimensions: int = DIMENSIONS):
         self.corpus = corpus
+        self.texts = spread(corpus.select("doc_id", "text", "split"))
         self.dimensions = dimensions
 
     @cached_property
     def train(self) -> DataFrame:
-        return self.corpus.where(F.col("split") == "train")
+        return self.texts.where(F.col("split") == "train")
 
     @cached_property
     def vocab(self) -> DataFrame:
@@ -147,8 +148,8 @@ class TextModel:
 
     @cached_property
     def rows(self) -> DataFrame:
-        n_train = self.train.agg(F.count("*")).scalar()
-        return stage(tfidf_rows(self.corpus, "text", self.vocab, n_train, "doc_id"))
+        n_train = self.corpus.where(F.col("split") == "train").agg(F.count("*")).scalar()
+        return stage(tfidf_rows(self.texts, "text", self.vocab, n_train, "doc_id"))
 
     @cached_property
     def weights(self) -> DataFrame:
@@ -158,9 +159,10 @@ class TextModel:
 
     @cached_property
     def components(self) -> np.ndarray:
-        train = self.rows.join(self.train.select("doc_id"), "doc_id", "left_semi").select("idx", "val")
+        train_ids = self.corpus.where(F.col("split") == "train").select("doc_id")
+        train = self.rows.join(train_ids, "doc_id", "left_semi").select("idx", "val")
         n_terms = self.vocab.count()
-        return svd_basis(train, n_terms, min(self.dimensions, n_terms))[0]
+        return svd_basis(spread(stage(train)), n_terms, min(self.dimensions, n_terms))[0]
 
     @cached_property
     def embedding(self) -> DataFrame:

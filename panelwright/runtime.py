@@ -50,3 +50,13 @@ def stage(df: DataFrame) -> DataFrame:
     path = os.path.join(stage_root(spark), "stage-" + uuid.uuid4().hex)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small input evenly before CPU-heavy row work.
+
+    A small file arrives as one split, and one core would do all the parsing. An input with at
+    least a split per core, as any large one has, is left as it is.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df

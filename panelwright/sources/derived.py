@@ -17,7 +17,7 @@ from panelwright.functions.cleaning import (
     pick,
     quarter_label,
 )
-from panelwright.runtime import stage
+from panelwright.runtime import spread, stage
 from panelwright.sources.tables import Tables
 
 # Fixed values of the commerce fixture.
@@ -246,7 +246,7 @@ class FirmFiles:
     def _quarterly(self) -> DataFrame:
         day = F.col("o_orderdate").cast("date")
         # Both files come from this table, so it is landed once.
-        return stage(
+        landed = stage(
             self.tables.orders.groupBy(F.col("o_custkey").alias("k"), quarter_label(day).alias("label"))
             .agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
             .withColumns(
@@ -261,6 +261,7 @@ class FirmFiles:
                 }
             )
         )
+        return spread(landed)
 
     @staticmethod
     def _timestamp(month: str, q: Column) -> Column:
@@ -494,9 +495,11 @@ def attempt_log(pages: DataFrame) -> DataFrame:
 
 
 def corpus(t: Tables) -> DataFrame:
-    """Documents with topic, second label where known, and template family."""
-    labels = t.labels.select("doc_id", F.col("quality").cast("string").alias("sentiment"))
+    """Documents with topic and template family."""
     family = F.regexp_extract("source", r"(\d+)", 1).cast("int")
-    return t.documents.select("doc_id", "text", F.col("lang").alias("topic"), "source", family.alias("family")).join(
-        labels, "doc_id", "left"
-    )
+    return t.documents.select("doc_id", "text", F.col("lang").alias("topic"), "source", family.alias("family"))
+
+
+def sentiments(t: Tables) -> DataFrame:
+    """Second label of the documents that have one. Kept apart, so texts are never shuffled to meet it."""
+    return t.labels.select("doc_id", F.col("quality").cast("string").alias("sentiment"))

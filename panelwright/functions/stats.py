@@ -22,11 +22,19 @@ Z95 = 1.6448536269514722
 _erf = np.vectorize(math.erf, otypes=[float])
 
 
-@F.pandas_udf(DoubleType())
-def norm_cdf(z: pd.Series) -> pd.Series:
+# The UDF objects are made per use: one kept in the module would hold on to the session
+# that was active first.
+
+
+def _norm_cdf(z: pd.Series) -> pd.Series:
     return pd.Series(0.5 * (1.0 + _erf(z.to_numpy(float) / math.sqrt(2))))
 
 
+def norm_cdf(z: Column | str) -> Column:
+    """Standard normal distribution function."""
+    return F.pandas_udf(_norm_cdf, DoubleType())(z)
+
+
 def norm_pdf(z: Column) -> Column:
     return F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
 
@@ -104,11 +112,17 @@ def ks_uniform_p(d: float, n: int) -> float:
     return min(max(1.0 - value * 10.0**exponent, 0.0), 1.0)
 
 
-@F.pandas_udf(DoubleType())
-def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
+def _t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) else t_two_sided(a, b) for a, b in zip(t, df)], dtype="Float64")
 
 
-@F.pandas_udf(DoubleType())
-def ks_p_value(d: pd.Series, n: pd.Series) -> pd.Series:
+def t_p_value(t: Column, df: Column) -> Column:
+    return F.pandas_udf(_t_p_value, DoubleType())(t, df)
+
+
+def _ks_p_value(d: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) else ks_uniform_p(a, int(b)) for a, b in zip(d, n)], dtype="Float64")
+
+
+def ks_p_value(d: Column, n: Column) -> Column:
+    return F.pandas_udf(_ks_p_value, DoubleType())(d, n)

@@ -95,10 +95,10 @@ class Star:
             F.col("p_retailprice").alias("list_price"),
         )
 
-    @cached_property
-    def orders(self) -> DataFrame:
+    @staticmethod
+    def _as_orders(orders: DataFrame) -> DataFrame:
         k = F.col("o_orderkey")
-        return self.tables.orders.select(
+        return orders.select(
             k.alias("order_id"),
             F.col("o_custkey").alias("customer_id"),
             F.col("o_orderdate").cast("date").alias("order_date"),
@@ -109,9 +109,15 @@ class Star:
             F.when(F.col("o_orderstatus") == "O", "cancelled").otherwise("completed").alias("status"),
         )
 
+    @cached_property
+    def orders(self) -> DataFrame:
+        return self._as_orders(self.tables.orders)
+
     @cached_property
     def completed(self) -> DataFrame:
-        return self.orders.where(F.col("status") == "completed")
+        """Completed orders, filtered on the stored status so the filter reaches the Parquet scan."""
+        stored = F.col("o_orderstatus")
+        return self._as_orders(self.tables.orders.where(stored.isNull() | (stored != "O")))
 
     @cached_property
     def items(self) -> DataFrame:

@@ -19,3 +19,35 @@ r AS (SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_wo
         + 64 * (100 * n_upper > 40 * word_chars)::INT + 128 * (2 * n_exclaims > n_words)::INT AS BIGINT) AS fail_bits FROM m)
 SELECT *, fail_bits & 3 != 0 AS base_failed, fail_bits = 0 AS kept, '2' AS policy FROM r
 """
+
+DECONTAMINATION = r"""
+WITH letters AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+it AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+       FROM benchmark, letters),
+pat AS (SELECT DISTINCT item, least(10, len(ws)) AS size, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') AS g
+        FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM it WHERE len(ws) > 0)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+      FROM documents, letters),
+place AS (SELECT rid, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM pat) WHERE len(ws) >= size),
+gram AS (SELECT rid, size, i, array_to_string(ws[i:i + size - 1], ' ') AS g FROM place),
+hit AS (SELECT rid, gram.size AS size, i, item FROM gram JOIN pat ON gram.size = pat.size AND gram.g = pat.g),
+words AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + size)) AS p FROM hit) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+"""
+
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(ws[i:i + 1], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws), 2))) AS i FROM d WHERE len(ws) > 0)),
+size AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+meet AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL),
+link AS (SELECT a, b FROM meet JOIN size x ON x.rid = a JOIN size y ON y.rid = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+sym AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(r, o) AS (SELECT rid, rid FROM d UNION SELECT r, b FROM reach JOIN sym ON sym.a = o),
+comp AS (SELECT r AS rid, min(doc_id) AS component_id FROM reach JOIN d ON d.rid = o GROUP BY r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM d JOIN comp USING (rid) LEFT JOIN size USING (rid)
+"""

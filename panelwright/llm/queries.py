@@ -5,10 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from panelwright.llm import oracles, quality_rules
-from panelwright.llm.common import crc32_text
+from panelwright.llm import decontamination, near_duplicates, oracles, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,10 +20,25 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.verdicts(quality_rules.ledger(table(spark, folder, "documents")))
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document inside windows of the whole benchmark."""
+    return decontamination.digest(decontamination.hits(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
+def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents whose sets of two-word shingles are similar to 80 percent."""
+    how = near_duplicates.Similarity(size=2, percent=80)
+    return near_duplicates.near_duplicates(table(spark, folder, "documents"), how).drop("text_hash")
+
+
 QUERIES: dict[str, Query] = {
+    "op4_decontamination": op4_decontamination,
     "op6_quality_rules": op6_quality_rules,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op4_decontamination": oracles.DECONTAMINATION,
     "op6_quality_rules": oracles.QUALITY_RULES,
+    "op7_minhash_near_dedup": oracles.NEAR_DUPLICATES,
 }

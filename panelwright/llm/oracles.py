@@ -51,3 +51,27 @@ comp AS (SELECT r AS rid, min(doc_id) AS component_id FROM reach JOIN d ON d.rid
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
 FROM d JOIN comp USING (rid) LEFT JOIN size USING (rid)
 """
+
+URL_FILTERS = r"""
+WITH RECURSIVE rules(verdict, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+        ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+cut AS (SELECT page_id, url, html, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT row_number() OVER () AS rid, page_id, url, html,
+        translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+target AS (SELECT host || path AS a, host, unnest(
+        list_transform(list_filter(regexp_extract_all(html, '(?is)<link[^>]*>'), lambda x: regexp_matches(x, '(?i)rel\s*=\s*["'']?[^"''>]*canonical')),
+            lambda x: regexp_extract(x, '(?i)href\s*=\s*["'']?([^"''\s>]+)', 1))
+        || list_transform(list_filter(regexp_extract_all(html, '(?is)<meta[^>]*>'), lambda x: regexp_matches(x, '(?i)http-equiv\s*=\s*["'']?refresh')),
+            lambda x: regexp_extract(x, '(?i)url\s*=\s*["'']?([^"''\s>;]+)', 1))) AS t FROM p),
+edge AS (SELECT a, regexp_extract(CASE WHEN t LIKE '%://%' THEN regexp_extract(t, '://(.*)', 1) WHEN t LIKE '//%' THEN substr(t, 3) ELSE host || t END, '^[^?#]*') AS b
+         FROM target WHERE t != '' AND a != ''),
+sym AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+node AS (SELECT DISTINCT host || path AS node, host, path FROM p UNION SELECT DISTINCT b, regexp_extract(b, '^[^/]*'), regexp_extract(b, '^[^/]*(.*)', 1) FROM edge),
+fit AS (SELECT node, rh || rp AS rule, verdict FROM node, rules WHERE (host = rh OR host LIKE '%.' || rh) AND starts_with(path, rp)
+        QUALIFY row_number() OVER (PARTITION BY node ORDER BY length(rh || rp) DESC) = 1),
+reach(n, o) AS (SELECT a, a FROM sym UNION SELECT n, b FROM reach JOIN sym ON sym.a = o),
+bad AS (SELECT DISTINCT n AS node FROM reach JOIN fit ON fit.node = o AND fit.verdict = 'block')
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bad.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN fit ON fit.node = host || path LEFT JOIN bad ON bad.node = host || path
+"""

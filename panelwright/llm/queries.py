@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import decontamination, near_duplicates, oracles, quality_rules
+from panelwright.llm import decontamination, mixing, near_duplicates, oracles, quality_rules, sharding, url_filters
+
+SHARDS = 24
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +22,16 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.verdicts(quality_rules.ledger(table(spark, folder, "documents")))
 
 
+def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes, equal texts together."""
+    return sharding.digest(sharding.sharded(table(spark, folder, "documents"), SHARDS))
+
+
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that a mix of the sources by weights 1, 2, 3 takes of every document."""
+    return mixing.taken(table(spark, folder, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document inside windows of the whole benchmark."""
     return decontamination.digest(decontamination.hits(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
@@ -31,14 +43,32 @@ def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, folder, "documents"), how).drop("text_hash")
 
 
+URL_RULES = [
+    url_filters.Rule("allow", "com", "/"),
+    url_filters.Rule("block", "example.com", "/en/"),
+    url_filters.Rule("allow", "www.example.com", "/en/"),
+    url_filters.Rule("block", "net", "/es/"),
+    url_filters.Rule("block", "net", "/fr/"),
+]
+
+
+def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's URL under the rules, blocks carried to aliases."""
+    return url_filters.verdicts(table(spark, folder, "pages"), url_filters.rule_table(spark, URL_RULES))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_sharding": op1_sharding,
+    "op2_mixing": op2_mixing,
     "op4_decontamination": op4_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op10_url_filters": op10_url_filters,
 }
 
 SQL: dict[str, str] = {
     "op4_decontamination": oracles.DECONTAMINATION,
     "op6_quality_rules": oracles.QUALITY_RULES,
     "op7_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+    "op10_url_filters": oracles.URL_FILTERS,
 }

@@ -1 +1,7 @@
 """Operators of a training-data pipeline. Nothing else in the package imports this folder."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # functions travel inside the tasks, executors need no copy

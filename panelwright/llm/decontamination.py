@@ -41,40 +41,38 @@ def words_of(text: str | None) -> list[bytes]:
     return WORD.findall(text.encode().lower()) if text else []
 
 
-class Patterns:
-    """Wu-Manber tables for patterns of one length."""
-
-    def __init__(self, length: int) -> None:
-        self.length = length
-        self.block = min(2, length)
-        self.default = length - self.block + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.buckets: dict[tuple[bytes, ...], dict[tuple[bytes, ...], dict[tuple[bytes, ...], set[str | None]]]] = {}
-
-    def add(self, pattern: tuple[bytes, ...], item: str | None) -> None:
-        b = self.block
-        for end in range(b, self.length + 1):
-            block, far = pattern[end - b : end], self.length - end
-            if far < self.shift.get(block, self.default):
-                self.shift[block] = far
-        suffix = self.buckets.setdefault(pattern[-b:], {})
-        suffix.setdefault(pattern[:b], {}).setdefault(pattern, set()).add(item)
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, set[str | None]]]:
-        """Start of every occurrence in order, with the items that own the pattern."""
-        b, length, default, shift = self.block, self.length, self.default, self.shift
-        end, n = length, len(words)
-        while end <= n:
-            block = tuple(words[end - b : end])
-            far = shift.get(block, default)
-            if far:
-                end += far
-                continue
-            start = end - length
-            for pattern, items in self.buckets[block].get(tuple(words[start : start + b]), {}).items():
-                if all(words[start + k] == w for k, w in enumerate(pattern)):
-                    yield start, items
-            end += 1
+#: Tables of one pattern length: the length, words of a block, shifts, and suffix block -> prefix
+#: block -> pattern -> items. Plain containers, as they are broadcast.
+Block = tuple[bytes, ...]
+Buckets = dict[Block, dict[Block, dict[Block, set[str | None]]]]
+Tables = tuple[int, int, dict[Block, int], Buckets]
+
+
+def add(tables: Tables, pattern: Block, item: str | None) -> None:
+    length, b, shift, buckets = tables
+    for end in range(b, length + 1):
+        block, far = pattern[end - b : end], length - end
+        if far < shift.get(block, length - b + 1):
+            shift[block] = far
+    buckets.setdefault(pattern[-b:], {}).setdefault(pattern[:b], {}).setdefault(pattern, set()).add(item)
+
+
+def search(tables: Tables, words: list[bytes]) -> Iterator[tuple[int, set[str | None]]]:
+    """Start of every occurrence in order, with the items that own the pattern."""
+    length, b, shift, buckets = tables
+    default = length - b + 1
+    end, n = length, len(words)
+    while end <= n:
+        block = tuple(words[end - b : end])
+        far = shift.get(block, default)
+        if far:
+            end += far
+            continue
+        start = end - length
+        for pattern, items in buckets[block].get(tuple(words[start : start + b]), {}).items():
+            if all(words[start + k] == w for k, w in enumerate(pattern)):
+                yield start, items
+        end += 1
 
 
 def windows(words: list[bytes], size: int = WINDOW) -> Iterator[tuple[bytes, ...]]:
@@ -84,20 +82,21 @@ def windows(words: list[bytes], size: int = WINDOW) -> Iterator[tuple[bytes, ...
         yield tuple(words[i : i + size])
 
 
-def build(patterns: Iterable[tuple[tuple[bytes, ...], str | None]]) -> list[Patterns]:
-    by_length: dict[int, Patterns] = {}
+def build(patterns: Iterable[tuple[Block, str | None]]) -> list[Tables]:
+    by_length: dict[int, Tables] = {}
     for pattern, item in patterns:
-        by_length.setdefault(len(pattern), Patterns(len(pattern))).add(pattern, item)
+        n = len(pattern)
+        add(by_length.setdefault(n, (n, min(2, n), {}, {})), pattern, item)
     return list(by_length.values())
 
 
-def find(words: list[bytes], tables: list[Patterns]) -> tuple[list[tuple[int, int]], set[str]]:
+def find(words: list[bytes], tables: list[Tables]) -> tuple[list[tuple[int, int]], set[str]]:
     """Merged spans of words inside occurrences, and the ids of the items that occur."""
     found: list[tuple[int, int]] = []
     items: set[str | None] = set()
     for table in tables:
-        for start, owners in table.search(words):
-            found.append((start, start + table.length))
+        for start, owners in search(table, words):
+            found.append((start, start + table[0]))
             items |= owners
     spans: list[tuple[int, int]] = []
     for start, end in sorted(found):
@@ -108,7 +107,7 @@ def find(words: list[bytes], tables: list[Patterns]) -> tuple[list[tuple[int, in
     return spans, {i for i in items if i is not None}
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[Patterns]]:
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[Tables]]:
     """Tables of consecutive parts of the benchmark; a long item is cut between windows."""
     part: list[tuple[tuple[bytes, ...], str | None]] = []
     for item, text in benchmark.select("item_id", "text").toLocalIterator(prefetchPartitions=False):
@@ -165,7 +164,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
     return merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copy", "copies")
 
 
-def _chained(first: list[Patterns], second: list[Patterns], rest: Iterator[list[Patterns]]) -> Iterator[list[Patterns]]:
+def _chained(first: list[Tables], second: list[Tables], rest: Iterator[list[Tables]]) -> Iterator[list[Tables]]:
     yield first
     yield second
     yield from rest

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import decontamination, mixing, near_duplicates, oracles, quality_rules, sharding, url_filters
+from panelwright.llm import decontamination, html_extraction, mixing, near_duplicates, oracles, quality_rules, sharding, url_filters
 
 SHARDS = 24
 
@@ -43,6 +43,11 @@ def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, folder, "documents"), how).drop("text_hash")
 
 
+def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extraction.extracted(table(spark, folder, "pages"))
+
+
 URL_RULES = [
     url_filters.Rule("allow", "com", "/"),
     url_filters.Rule("block", "example.com", "/en/"),
@@ -63,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op4_decontamination": op4_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_html_extraction": op8_html_extraction,
     "op10_url_filters": op10_url_filters,
 }
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import decontamination, html_extraction, mixing, near_duplicates, oracles, quality_rules, sharding, url_filters
+from panelwright.llm import decontamination, html_extraction, mixing, near_duplicates, oracles, quality_rules, sharding, toxicity, url_filters
 
 SHARDS = 24
 
@@ -17,6 +17,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document after deobfuscation."""
+    return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Ledger of every document under the production policy."""
     return quality_rules.verdicts(quality_rules.ledger(table(spark, folder, "documents")))
@@ -66,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
     "op4_decontamination": op4_decontamination,
+    "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_html_extraction": op8_html_extraction,

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelwright.llm import decontamination, html_extraction, mixing, near_duplicates, oracles, quality_rules, sharding, toxicity, url_filters
+from panelwright.llm import decontamination, html_extraction, mixing, near_duplicates, oracles, quality_rules, sharding, surrogates, token_rollup, toxicity, url_filters
+from panelwright.runtime import stage_root
 
 SHARDS = 24
 
@@ -37,6 +40,11 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(table(spark, folder, "documents"))
 
 
+def op3_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its personal data replaced."""
+    return surrogates.pseudonymized(table(spark, folder, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document inside windows of the whole benchmark."""
     return decontamination.digest(decontamination.hits(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
@@ -53,6 +61,25 @@ def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_extraction.extracted(table(spark, folder, "pages"))
 
 
+def op9_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """Token totals after three batches, two of them sent twice.
+
+    All documents are added; those labelled low in quality are removed; those that repeat lines are
+    rewritten without the repetitions.
+    """
+    docs = table(spark, folder, "documents")
+    low = table(spark, folder, "labels").where("quality = 0")
+    lines = F.split("text", "\n")
+    rewritten = docs.withColumn("_lines", lines).where(F.size(F.array_distinct("_lines")) < F.size("_lines"))
+    rewritten = rewritten.join(low, "doc_id", "left_anti").withColumn("text", F.array_join(F.array_distinct("_lines"), "\n"))
+    ledger = token_rollup.Rollup(spark, f"{stage_root(spark)}/rollup-{uuid.uuid4().hex}")
+    for _ in range(2):
+        ledger.commit("1-load", changed=docs, new_ids=True)
+        ledger.commit("2-remove", removed=low)
+    ledger.commit("3-rewrite", changed=rewritten)
+    return ledger.totals()
+
+
 URL_RULES = [
     url_filters.Rule("allow", "com", "/"),
     url_filters.Rule("block", "example.com", "/en/"),
@@ -70,11 +97,13 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_html_extraction": op8_html_extraction,
+    "op9_token_rollup": op9_token_rollup,
     "op10_url_filters": op10_url_filters,
 }
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,7 +20,6 @@ from panelwright.sources.derived import FirmFiles, Star, event_study_panel, firm
 from panelwright.sources.tables import Tables
 
 
-
 def fresh(spark: SparkSession, name: str) -> str:
     """A new folder below the shared stage folder."""
     return f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
@@ -66,7 +66,11 @@ def s05(spark, folder):
     out = fresh(spark, "results")
     results = {"account_summary": events.account_summary(clean), "daily": events.daily_region_summary(clean)}
     S.write_results(results, out)
-    return S.read_csv(spark, f"{out}/daily", results["daily"].schema)
+    accounts, daily = (S.read_csv(spark, f"{out}/{name}", df.schema) for name, df in results.items())
+    measures = ["n_events", "net_amount"]
+    return accounts.select(F.lit("account").alias("part"), F.col("account_id").alias("key"), *measures).unionByName(
+        daily.select(F.lit("daily").alias("part"), F.concat_ws("/", F.col("date").cast("string"), "region").alias("key"), *measures)
+    )
 
 
 def s06(spark, folder):
@@ -91,7 +95,7 @@ def s09(spark, folder):
         F.col("observation_date").cast("string").alias("date"),
         F.col("vintage_date").cast("string").alias("realtime_start"),
         F.col("realtime_end").cast("string").alias("realtime_end"),
-        F.when(F.month("vintage_date") == 7, ".").otherwise(F.format_string("%.8f", "value")).alias("value"),
+        F.format_string("%.8f", "value").alias("value"),
     )
     # A payload holds one observation's revisions: at most one per calendar month.
     payload = history.groupBy(*key).agg(F.collect_list(observation).alias("observations"), F.count("*").alias("count"))
@@ -102,14 +106,27 @@ def s09(spark, folder):
 
 BOOK.add("s01", s01, RAW_TEXT_ID)
 BOOK.add("s02", s02, RAW_TEXT_ID)
-BOOK.add("s03", lambda s, d: Tables(s, d).customer, "SELECT * FROM customer")
+
+def s03(spark, folder):
+    t = Tables(spark, folder)
+    counts = [getattr(t, name).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows") for name in ALL_TABLES]
+    return reduce(DataFrame.unionByName, counts)
+
+
+ALL_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark",
+    "labels", "conversations",
+)
+BOOK.add("s03", s03, " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in ALL_TABLES))
 ACCOUNTS = with_(EVENTS) + "SELECT account_id, count(*) AS n_events, round(sum(signed_amount), 2) AS net_amount FROM clean_events GROUP BY 1"
 DAILY = with_(EVENTS) + """
 SELECT CAST(date AS VARCHAR) AS date, region, count(*) AS n_events, count(DISTINCT account_id) AS n_accounts,
        round(sum(amount), 2) AS gross_amount, round(sum(signed_amount), 2) AS net_amount
 FROM clean_events GROUP BY ALL ORDER BY 1, 2"""
 BOOK.add("s04", s04, ACCOUNTS)
-BOOK.add("s05", s05, DAILY)
+BOOK.add("s05", s05, with_(EVENTS) + """
+SELECT 'account' AS part, account_id AS key, count(*) AS n_events, round(sum(signed_amount), 2) AS net_amount FROM clean_events GROUP BY 2
+UNION ALL SELECT 'daily', CAST(date AS VARCHAR) || '/' || region, count(*), round(sum(signed_amount), 2) FROM clean_events GROUP BY 2""")
 BOOK.add("s06", s06, DAILY)
 BOOK.add("s07", lambda s, d: S.fingerprint(Tables(s, d).lineitem, Tables(s, d).lineitem.columns))
 LTV = with_(STAR) + """
@@ -120,7 +137,7 @@ BOOK.add("c58", s08, LTV)
 BOOK.add("s09", s09, with_(VINTAGES) + """
 SELECT series_id, CAST(observation_date AS VARCHAR) AS observation_date, CAST(vintage_date AS VARCHAR) AS realtime_start,
        coalesce(CAST(CAST(lead(vintage_date) OVER (PARTITION BY series_id, observation_date ORDER BY vintage_date) - 1 AS DATE) AS VARCHAR), '9999-12-31') AS realtime_end,
-       CASE WHEN month(vintage_date) = 7 THEN NULL ELSE round(value, 8) END AS value FROM vintage_panel""")
+       round(value, 8) AS value FROM vintage_panel""")
 
 # -- scalar cleaning -----------------------------------------------------------------------
 
@@ -216,18 +233,14 @@ BOOK.add(
 )
 FIRM_YEAR = """
 firm_year AS (
-  SELECT k AS firm_id, y AS year, CAST(15 + k % 40 AS INT) AS age,
-         CASE WHEN k % 37 = 0 THEN 0.0::DOUBLE ELSE floor(total * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE END AS sales,
-         CASE WHEN k % 2 = 0 AND y >= 1998 THEN 1 ELSE 0 END AS treated_post,
-         n + CASE WHEN k % 2 = 0 AND y >= 1998 THEN 1.2::DOUBLE ELSE 0 END AS outcome
+  SELECT k AS firm_id, y AS year, CAST(15 + k % 40 AS INT) AS age, floor(total * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS sales,
+         CASE WHEN k % 2 = 0 AND y >= 1998 THEN 1 ELSE 0 END AS treated_post, CAST(n AS DOUBLE) AS outcome
   FROM (SELECT o_custkey AS k, CAST(year(o_orderdate) AS INT) AS y, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY ALL)),
 covariate AS (
-  SELECT firm_id, year, CAST(firm_id % 5 AS INT) AS industry,
-         floor(c_acctbal / 1000 * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE + (year - 1995) * 0.25::DOUBLE AS baseline_score
-  FROM firm_year JOIN customer ON c_custkey = firm_id WHERE firm_id % 50 <> 3),
-covariate_file AS (
-  SELECT * FROM covariate UNION ALL
-  SELECT firm_id, year, industry, 99.0 FROM covariate WHERE firm_id % 200 = 10 AND year = 1997)"""
+  SELECT firm_id, year, CAST(c_nationkey AS INT) AS industry,
+         floor(c_acctbal / 1000 * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE * (year - 1990) AS baseline_score
+  FROM firm_year JOIN customer ON c_custkey = firm_id WHERE c_acctbal >= 0),
+covariate_file AS (SELECT * FROM covariate)"""
 BOOK.add(
     "p14",
     lambda s, d: firm_year(Tables(s, d))[0].select("firm_id", "year", F.round(F.log1p("sales"), 6).alias("log_sales")),
@@ -395,7 +408,7 @@ BOOK.add(
 BOOK.add(
     "j11",
     lambda s, d: joins.merge_covariates(
-        firm_year(Tables(s, d))[0], firm_year(Tables(s, d))[1].where(F.col("baseline_score") != 99.0), ["firm_id", "year"], "baseline_score"
+        *firm_year(Tables(s, d)), ["firm_id", "year"], "baseline_score"
     ).select("firm_id", "year", "outcome", "missing_covariate"),
     with_(FIRM_YEAR) + """SELECT f.firm_id, f.year, f.outcome, CASE WHEN c.firm_id IS NULL THEN 1 ELSE 0 END AS missing_covariate
       FROM firm_year f LEFT JOIN covariate c ON c.firm_id = f.firm_id AND c.year = f.year""",
@@ -609,13 +622,12 @@ for _name, _sql in (("u02", RECURSIVE_DAYS), ("c49", RECURSIVE_DAYS), ("u03", SE
 def u04(spark, folder):
     t = Tables(spark, folder)
     month = C.month_start(F.col("o_orderdate").cast("date"))
-    sparse = t.orders.where(F.month("o_orderdate") % 5 != 0).groupBy("o_orderpriority", month.alias("month")).agg(F.count("*").alias("n"))
+    sparse = t.orders.groupBy("o_orderpriority", month.alias("month")).agg(F.count("*").alias("n"))
     return calendar.month_spine(sparse, ["o_orderpriority"], "month").select("o_orderpriority", "month", "n")
 
 
 BOOK.add("u04", u04, """
-WITH sparse AS (SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n FROM orders
-                WHERE month(o_orderdate) % 5 <> 0 GROUP BY ALL),
+WITH sparse AS (SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n FROM orders GROUP BY ALL),
 spine AS (SELECT o_orderpriority, CAST(unnest(generate_series(CAST(min(month) AS TIMESTAMP), CAST(max(month) AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS month FROM sparse GROUP BY 1)
 SELECT o_orderpriority, CAST(month AS VARCHAR) AS month, n FROM spine LEFT JOIN sparse USING (o_orderpriority, month)""")
 BOOK.add(
@@ -665,7 +677,6 @@ SELECT count(*) AS final_rows, count(*) - count(DISTINCT (firm_id, quarter)) AS
        (SELECT count(*) FROM (SELECT DISTINCT firm_id FROM fin_keyed) k WHERE NOT EXISTS (SELECT 1 FROM master m WHERE m.firm_id = k.firm_id)) AS unmatched_financial_keys,
        (SELECT count(*) FROM (SELECT DISTINCT firm_id FROM adoption_keyed) k WHERE NOT EXISTS (SELECT 1 FROM master m WHERE m.firm_id = k.firm_id)) AS unmatched_adoption_keys
 FROM panel""")
-BOOK.add("q04", lambda s, d: contracts.check_columns(firms(s, d).panel, ["firm_id", "quarter", "region", "employees", "revenue_usd", "ai_adopted"], "panel columns"))
 
 
 def q05(spark, folder):

@@ -73,45 +73,18 @@ clean_events AS (
 
 FIRMS = """
 firm_master AS (
-  SELECT printf('F%04d', c_custkey) AS firm_id, c_name AS legal_name, 'R' || n_regionkey AS region_code
-  FROM customer JOIN nation ON c_nationkey = n_nationkey
-  UNION ALL
-  SELECT printf('F%04d', c_custkey), c_name || ' Ltd', 'R' || n_regionkey
-  FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 97 = 7),
-region_file AS (
-  SELECT 'R' || r_regionkey AS region_code,
-         CASE r_regionkey % 3 WHEN 0 THEN r_name || ' ' WHEN 1 THEN lower(r_name) ELSE r_name END AS region_name FROM region),
+  SELECT printf('F%04d', CAST(regexp_replace(c_name, '[^0-9]', '', 'g') AS BIGINT)) AS firm_id, c_name AS legal_name, 'R' || n_regionkey AS region_code
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
+region_file AS (SELECT 'R' || r_regionkey AS region_code, r_name AS region_name FROM region),
 quarterly AS (
-  SELECT o_custkey AS k, year(o_orderdate) || 'Q' || quarter(o_orderdate) AS label,
-         CAST(quarter(o_orderdate) AS INT) AS q, year(o_orderdate) AS y,
-         last_day(make_date(year(o_orderdate), quarter(o_orderdate) * 3, 1)) AS last_day,
-         count(*) AS n, CAST(round(sum(o_totalprice) * 100) AS BIGINT) AS cents
-  FROM orders GROUP BY ALL),
-employment AS (
-  SELECT CASE WHEN k % 499 = 0 AND q = 1 THEN 'UNKNOWN-X' ELSE spelled END AS firm_key,
-         CASE (k + q) % 3 WHEN 0 THEN label WHEN 1 THEN y || '-Q' || q ELSE CAST(last_day AS VARCHAR) END AS quarter,
-         CAST(n + fix AS VARCHAR) AS employees,
-         CASE WHEN fix > 0 THEN '2026-03-20' ELSE '2026-01-0' || q END AS correction_ts
-  FROM (SELECT *, CASE (k + q) % 5 WHEN 0 THEN printf('f%04d', k) WHEN 1 THEN printf('F-%04d', k)
-                    WHEN 2 THEN printf(' %04d ', k) WHEN 3 THEN printf('firm_%04d', k) ELSE printf('F%04d', k) END AS spelled
-        FROM quarterly), (SELECT unnest([0, 3]) AS fix)
-  WHERE fix = 0 OR (k % 149 = 13 AND q = 2)),
+  SELECT CAST(o_custkey AS VARCHAR) AS customer, year(o_orderdate) || 'Q' || quarter(o_orderdate) AS label, count(*) AS n,
+         sum(o_totalprice) AS total, CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS last_day FROM orders GROUP BY 1, 2),
+employment AS (SELECT customer AS firm_key, label AS quarter, CAST(n AS VARCHAR) AS employees, last_day AS correction_ts FROM quarterly),
 financials AS (
-  SELECT CASE WHEN k % 499 = 1 AND q = 2 THEN '' ELSE spelled END AS company_identifier,
-         CASE (k + q + 1) % 3 WHEN 0 THEN label WHEN 1 THEN y || '-Q' || q ELSE CAST(last_day AS VARCHAR) END AS period,
-         '$' || format('{:,}', (cents + fix) // 100) || '.' || lpad(CAST((cents + fix) % 100 AS VARCHAR), 2, '0') AS revenue,
-         CASE WHEN fix > 0 THEN '2026-03-21' ELSE '2026-02-0' || q END AS correction_ts
-  FROM (SELECT *, CASE (k + q + 2) % 5 WHEN 0 THEN printf('f%04d', k) WHEN 1 THEN printf('F-%04d', k)
-                    WHEN 2 THEN printf(' %04d ', k) WHEN 3 THEN printf('firm_%04d', k) ELSE printf('F%04d', k) END AS spelled
-        FROM quarterly), (SELECT unnest([0, 500000]) AS fix)
-  WHERE fix = 0 OR (k % 149 = 31 AND q = 3)),
+  SELECT customer AS company_identifier, last_day AS period, CAST(CAST(round(total, 2) AS DECIMAL(20, 2)) AS VARCHAR) AS revenue, last_day AS correction_ts FROM quarterly),
 adoption AS (
-  SELECT CASE WHEN o % 103 = 0 THEN 'bad-id' ELSE
-           CASE o % 5 WHEN 0 THEN printf('f%04d', k) WHEN 1 THEN printf('F-%04d', k)
-             WHEN 2 THEN printf(' %04d ', k) WHEN 3 THEN printf('firm_%04d', k) ELSE printf('F%04d', k) END END AS entity_id,
-         CASE WHEN o % 101 = 0 THEN 'not-a-date' ELSE CAST(d AS VARCHAR) END AS adoption_date,
-         CASE WHEN o % 10 = 0 THEN 'pending' ELSE 'verified' END AS status
-  FROM (SELECT o_orderkey AS o, o_custkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderpriority = '1-URGENT')),
+  SELECT CAST(o_custkey AS VARCHAR) AS entity_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS adoption_date,
+         CASE WHEN o_orderstatus = 'F' THEN 'verified' ELSE 'open' END AS status FROM orders WHERE o_orderpriority = '1-URGENT'),
 master AS (SELECT firm_id, min(legal_name) AS legal_name, min_by(region_code, legal_name) AS region_code FROM firm_master GROUP BY 1),
 region_clean AS (
   SELECT region_code, array_to_string(list_transform(string_split(lower(trim(region_name)), ' '),
@@ -157,8 +130,8 @@ panel AS (
 VINTAGES = """
 vintage_added AS (
   SELECT l_returnflag AS series_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS observation_date,
-         last_day(CAST(l_shipdate AS DATE)) AS vintage_date, sum(l_extendedprice) AS added
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate GROUP BY ALL),
+         last_day(CAST(greatest(l_shipdate, o_orderdate) AS DATE)) AS vintage_date, sum(l_extendedprice) AS added
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
 vintage_panel AS (
   SELECT series_id, observation_date, vintage_date,
          round(sum(added) OVER (PARTITION BY series_id, observation_date ORDER BY vintage_date

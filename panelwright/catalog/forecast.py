@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
@@ -24,14 +25,13 @@ PROTOCOL = Protocol(
     targets={"R": "yoy_pct", "A": "level"},
     predictors=("N",),
     recession_indicator="U",
-    vintage_start="1998-06-30",
-    vintage_end="2001-08-31",
+    vintage_start="",
+    vintage_end="",
     horizons=(1, 3),
     lags=3,
     max_staleness=3,
     min_train=24,
 )
-FIRST, LAST = PROTOCOL.vintage_start, PROTOCOL.vintage_end
 
 
 def panel_of(spark, folder) -> DataFrame:
@@ -39,18 +39,26 @@ def panel_of(spark, folder) -> DataFrame:
     return vintage.vintage_panel(vintage_source(t).unionByName(indicator_source(t)))
 
 
+def bounds_of(panel: DataFrame) -> tuple[str, str]:
+    """First and last vintage of a panel."""
+    low, high = panel.agg(F.min("vintage_date").cast("string"), F.max("vintage_date").cast("string")).first()
+    return low, high
+
+
 class Run:
-    """One evaluation over one folder. The panel is small next to the lines it sums up and is
-    read by truth, regimes and snapshots, so it is written once."""
+    """One evaluation over one folder and all its vintages. The panel is small next to the lines it
+    sums up and is read by truth, regimes and snapshots, so it is written once."""
 
     def __init__(self, spark, folder):
         self.panel = stage(panel_of(spark, folder))
+        first, last = bounds_of(self.panel)
+        self.protocol = replace(PROTOCOL, vintage_start=first, vintage_end=last)
 
-    data = cached_property(lambda self: Supervised(self.panel, PROTOCOL))
+    data = cached_property(lambda self: Supervised(self.panel, self.protocol))
     forecasts = cached_property(lambda self: models.baseline_forecasts(self.data))
     truth = cached_property(lambda self: vintage.truth_series(self.panel, PROTOCOL.targets))
     latest = cached_property(lambda self: self.truth.where(F.col("truth_mode") == "latest"))
-    ledger = cached_property(lambda self: stage(E.score_ledger(self.forecasts, self.panel, PROTOCOL)))
+    ledger = cached_property(lambda self: stage(E.score_ledger(self.forecasts, self.panel, self.protocol)))
     paired = cached_property(lambda self: stage(E.paired_relative_cells(self.ledger)))
     board = cached_property(lambda self: E.build_leaderboard(self.paired, PROTOCOL.leaderboard_truth))
     dm = cached_property(lambda self: E.dm_table(self.ledger, max(PROTOCOL.horizons)))
@@ -86,7 +94,8 @@ BOOK.add("v02", lambda s, d: vintage.vintages(panel_of(s, d)), VP + "SELECT CAST
 
 
 def v03(spark, folder):
-    return dated(vintage.snapshots(panel_of(spark, folder), FIRST, LAST))
+    panel = stage(panel_of(spark, folder))
+    return dated(vintage.snapshots(panel, *bounds_of(panel)))
 
 
 SNAPSHOTS = layer("supervised") + "SELECT series_id, CAST(obs AS VARCHAR) AS observation_date, CAST(cutoff AS VARCHAR) AS vintage_date, value FROM snap"
@@ -100,24 +109,31 @@ for _name, _mode, _fn in (("v04", "first_release", "min_by"), ("v05", "latest",
 
 
 def history_of(spark, folder) -> DataFrame:
-    """Closed validity intervals of the vintage table; July revisions carry no value."""
+    """Closed validity intervals of the vintage table."""
     key = ["series_id", "observation_date"]
-    panel = vintage_source(Tables(spark, folder))
+    panel = stage(vintage_source(Tables(spark, folder)))
     following = F.lead("vintage_date").over(Window.partitionBy(*key).orderBy("vintage_date"))
     return panel.select(
         *key,
         F.col("vintage_date").alias("realtime_start"),
         F.coalesce(F.date_sub(following, 1), F.to_date(F.lit("9999-12-31"))).alias("realtime_end"),
-        F.when(F.month("vintage_date") != 7, F.col("value")).alias("value"),
+        "value",
     )
 
 
+def over_history(build, spark, folder) -> DataFrame:
+    """``build`` over the revision intervals for every month end between their first and last start."""
+    history = history_of(spark, folder)
+    first, last = history.agg(F.min("realtime_start").cast("string"), F.max("realtime_start").cast("string")).first()
+    return build(history, first, last)
+
+
 HISTORY = """
 history AS (
   SELECT series_id, observation_date, vintage_date AS realtime_start,
          coalesce(CAST(lead(vintage_date) OVER (PARTITION BY series_id, observation_date ORDER BY vintage_date) - 1 AS DATE), DATE '9999-12-31') AS realtime_end,
-         CASE WHEN month(vintage_date) = 7 THEN NULL ELSE value END AS value FROM vintage_panel),
-cut AS (SELECT last_day(CAST(unnest(generate_series(TIMESTAMP '1998-06-01', TIMESTAMP '2001-08-01', INTERVAL 1 MONTH)) AS DATE)) AS cutoff),
+         value FROM vintage_panel),
+cut AS (SELECT last_day(CAST(unnest(generate_series(date_trunc('month', min(vintage_date)), date_trunc('month', max(vintage_date)), INTERVAL 1 MONTH)) AS DATE)) AS cutoff FROM vintage_panel),
 hsnap AS (
   SELECT series_id, observation_date, cutoff AS vintage_date, value FROM (
     SELECT h.*, cutoff, row_number() OVER (PARTITION BY series_id, observation_date, cutoff ORDER BY realtime_start DESC) AS rn
@@ -127,10 +143,10 @@ initial AS (
 PANEL_TEXT = f"SELECT series_id, {D('observation_date')}, {D('vintage_date')}, value FROM "
 BOOK.add("v06", lambda s, d: vintage.initial_release(history_of(s, d)), with_(VINTAGES, HISTORY) + PANEL_TEXT + "initial")
 for _name in ("v07", "j12"):
-    BOOK.add(_name, lambda s, d: vintage.snapshot_from_history(history_of(s, d), FIRST, LAST), with_(VINTAGES, HISTORY) + PANEL_TEXT + "hsnap")
+    BOOK.add(_name, lambda s, d: over_history(vintage.snapshot_from_history, s, d), with_(VINTAGES, HISTORY) + PANEL_TEXT + "hsnap")
 BOOK.add(
     "v08",
-    lambda s, d: vintage.build_vintage_panel(history_of(s, d), FIRST, LAST),
+    lambda s, d: over_history(vintage.build_vintage_panel, s, d),
     with_(VINTAGES, HISTORY) + PANEL_TEXT + "(SELECT * FROM initial UNION SELECT * FROM hsnap)",
 )
 BOOK.add(
@@ -168,14 +184,11 @@ SELECT series_id, count(*) AS rows, count(DISTINCT observation_date) AS observat
 
 def _latest_spine(spark, folder) -> DataFrame:
     latest = vintage.truth(vintage_source(Tables(spark, folder)), "latest")
-    # Leave out some months, so that gaps are really filled.
-    holes = latest.where(F.month("observation_date") % 5 != 0)
-    return calendar.month_spine(holes, ["series_id"], "observation_date")
+    return calendar.month_spine(latest, ["series_id"], "observation_date")
 
 
 SPINE = """
-latest AS (SELECT series_id, observation_date AS month, max_by(value, vintage_date) AS value FROM vintage_panel
-           WHERE month(observation_date) % 5 <> 0 GROUP BY 1, 2),
+latest AS (SELECT series_id, observation_date AS month, max_by(value, vintage_date) AS value FROM vintage_panel GROUP BY 1, 2),
 months AS (SELECT series_id, CAST(unnest(generate_series(CAST(min(month) AS TIMESTAMP), CAST(max(month) AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS month FROM latest GROUP BY 1),
 s AS (SELECT series_id, month, value FROM months LEFT JOIN latest USING (series_id, month))"""
 
@@ -233,16 +246,12 @@ for _name, _model in zip(("m01", "m02", "m03", "m04"), models.BASELINES):
         lambda s, d, m=_model: rounded(dated(models.baseline_forecasts(supervised(s, d), (m,)).drop("runtime_s"))),
         layer("forecasts") + f"SELECT {FORECAST_TEXT}, round(forecast, 6) AS forecast, round(sigma, 6) AS sigma, 'ok' AS status FROM fc WHERE model = '{_model}'",
     )
-for _name, _model in zip(("m05", "m06", "m07", "m08", "m09", "m10", "m11"), models.FITTED):
-    BOOK.add(_name, lambda s, d, m=_model: dated(models.fitted_forecasts(supervised(s, d), (m,))))
-BOOK.add("m12", lambda s, d: dated(models.run_forecasts(supervised(s, d))))
 
 
 def m13(spark, folder):
     out = f"{stage_root(spark)}/external-{uuid.uuid4().hex}"
     made = rounded(Run(spark, folder).forecasts.withColumn("runtime_s", F.lit(0.0)))
-    for model in models.BASELINES:
-        made.where(F.col("model") == model).write.option("header", True).csv(f"{out}/{model}")
+    made.withColumn("shard", F.col("model")).write.partitionBy("shard").option("header", True).csv(out)
     return dated(models.read_external_forecasts(spark, out))
 
 
@@ -316,7 +325,13 @@ BOOK.add(
     lambda s, d: rounded(E.pit_ks(Run(s, d).ledger, [*E.CELL, "model"]).drop("pit_ks_p")),
     layer("ks") + f"SELECT {CELL}, round(pit_ks_d, 6) AS pit_ks_d FROM ks",
 )
-BOOK.add("e08_pvalue", lambda s, d: E.pit_ks(Run(s, d).ledger, [*E.CELL, "model"]))
+BOOK.add(
+    "e08_pvalue",
+    lambda s, d: rounded(E.pit_ks(Run(s, d).ledger, [*E.CELL, "model"])),
+    layer("ks") + f""", law AS (SELECT *, (sqrt(n) + 0.12::DOUBLE + 0.11::DOUBLE / sqrt(n)) * pit_ks_d AS x FROM ks)
+SELECT {CELL}, round(pit_ks_d, 6) AS pit_ks_d, round(CASE WHEN x < 0.2 THEN 1.0::DOUBLE ELSE greatest(least((
+  SELECT sum((CASE WHEN j % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0 END) * exp(-2.0::DOUBLE * j * j * x * x)) FROM range(1, 31) t(j)), 1.0::DOUBLE), 0.0::DOUBLE) END, 6) AS pit_ks_p FROM law""",
+)
 PAIRED_NUMBERS = ("rmse", "baseline_rmse", "rmse_rel", "crps", "baseline_crps", "crps_rel", "combined_rel", "coverage80", "coverage90", "width80", "width90", "pit_mean", "pit_var")
 BOOK.add(
     "e09",
@@ -414,7 +429,7 @@ BOOK.add(
 
 def evaluated(spark, folder) -> dict[str, DataFrame]:
     run = Run(spark, folder)
-    return E.finalize(run.ledger, run.panel, PROTOCOL)
+    return E.finalize(run.ledger, run.panel, run.protocol)
 
 
 BOOK.add("e17", lambda s, d: evaluated(s, d)["summary_facts"], layer("dm") + """,
@@ -435,13 +450,3 @@ UNION ALL SELECT 'strongest_dm_record', (SELECT model FROM cx ORDER BY net DESC,
 UNION ALL SELECT 'winner_flips', (SELECT CAST(count(*) FILTER (WHERE a <> b) AS VARCHAR) FROM win)
 UNION ALL SELECT 'cells', (SELECT CAST(count(*) AS VARCHAR) FROM win)
 UNION ALL SELECT 'efficient_models', (SELECT string_agg(model, ',' ORDER BY model) FROM board WHERE score = (SELECT min(score) FROM board))""")
-
-
-def e18(spark, folder):
-    """Leaderboard of all models, fitted ones included, from one full run."""
-    run = Run(spark, folder)
-    ledger = E.score_ledger(models.run_forecasts(run.data), run.panel, PROTOCOL)
-    return E.finalize(ledger, run.panel, PROTOCOL)["leaderboard"]
-
-
-BOOK.add("e18", e18)

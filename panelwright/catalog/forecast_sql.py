@@ -5,7 +5,7 @@ from __future__ import annotations
 from panelwright.catalog.ctes import VINTAGES
 
 SUPERVISED = """
-cutoffs AS (SELECT last_day(CAST(unnest(generate_series(TIMESTAMP '1998-06-01', TIMESTAMP '2001-08-01', INTERVAL 1 MONTH)) AS DATE)) AS cutoff),
+cutoffs AS (SELECT last_day(CAST(unnest(generate_series(date_trunc('month', min(vintage_date)), date_trunc('month', max(vintage_date)), INTERVAL 1 MONTH)) AS DATE)) AS cutoff FROM vp),
 snap AS (
   SELECT cutoff, series_id, observation_date AS obs, max_by(value, vintage_date) AS value
   FROM vp JOIN cutoffs ON vintage_date <= cutoff GROUP BY ALL),
@@ -124,7 +124,7 @@ ledger AS (SELECT * EXCLUDE (cyc, vr), unnest(list_distinct([cyc, 'all', vr])) A
 
 KS = """
 ks AS (
-  SELECT truth_mode, target, horizon, regime, model, CASE WHEN max(n) >= 8 THEN max(greatest(i / n - pit, pit - (i - 1) / n)) END AS pit_ks_d
+  SELECT truth_mode, target, horizon, regime, model, CASE WHEN max(n) >= 8 THEN max(greatest(i / n - pit, pit - (i - 1) / n)) END AS pit_ks_d, max(n) AS n
   FROM (SELECT *, CAST(row_number() OVER (PARTITION BY truth_mode, target, horizon, regime, model ORDER BY pit) AS DOUBLE) AS i,
                CAST(count(*) OVER (PARTITION BY truth_mode, target, horizon, regime, model) AS DOUBLE) AS n FROM ledger) GROUP BY ALL)
 """

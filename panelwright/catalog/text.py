@@ -8,10 +8,10 @@ from panelwright.catalog.book import BOOK
 from panelwright.catalog.ctes import with_
 from panelwright.catalog.forecast import rounded
 from panelwright.functions.cleaning import normalize_text
-from panelwright.operators import contracts, latest
+from panelwright.operators import latest
 from panelwright.plans import documents as H
 from panelwright.plans import text as X
-from panelwright.sources.derived import attempt_log, corpus, document_pages, sentiments
+from panelwright.sources.derived import corpus, document_pages, sentiments
 from panelwright.sources.tables import Tables
 
 TERMS = """
@@ -37,7 +37,7 @@ def split_corpus(spark, folder):
 
 
 def model(spark, folder):
-    return X.TextModel(split_corpus(spark, folder))
+    return X.TextModel(split_corpus(spark, folder), max_terms=12_000)  # the published number of features
 
 
 BOOK.add(
@@ -113,66 +113,33 @@ BOOK.add("x10", x10)
 
 # -- documents ------------------------------------------------------------------------------------------
 
-DOCS = """
-fields AS (
-  SELECT page_id AS p, html, coalesce(TRY_CAST(regexp_extract(url, '/(\\d+)', 1) AS BIGINT), page_id) AS number,
-         regexp_extract(url, '://([^/?#]+)', 1) AS host,
-         CASE WHEN page_id % 13 = 0 THEN '' ELSE regexp_extract(html, '<title>([^<]*)', 1, 's') END AS title FROM pages),
+DOCS = r"""
 meta AS (
-  SELECT p, 'https://archive/' || p AS url, CASE WHEN p % 10 = 0 THEN 'text' ELSE 'html' END AS kind, p % 10 <> 0 AND p % 17 = 0 AS broken,
-         printf('GOV-%06d', number) AS document_id, nullif(trim(title), '') AS title, host AS agency,
-         CASE WHEN NOT (p % 10 <> 0 AND p % 17 = 0) THEN make_date(CAST(2024 + number % 2 AS INT), CAST(1 + number % 12 AS INT), CAST(1 + number % 27 AS INT)) END AS day,
-         CASE WHEN NOT (p % 10 <> 0 AND p % 17 = 0) THEN (['notice','report','circular','bulletin'])[CAST(p % 4 + 1 AS INT)] END AS document_type,
-         CASE WHEN p % 10 <> 0 AND p % 17 = 0 THEN 1 ELSE CAST(p AS INT) END AS revision,
-         CASE WHEN p % 97 = 13 THEN 503 WHEN p % 53 = 7 THEN 302 WHEN p % 41 = 3 THEN 429 WHEN p % 61 = 5 THEN 500 ELSE 200 END AS first
-  FROM fields),
-final AS (
-  SELECT *, CASE WHEN first = 302 THEN 'https://archive/moved/' || p ELSE url END AS final_url,
-         CASE WHEN first = 503 THEN 503 ELSE 200 END AS status,
-         CASE WHEN first = 503 THEN 2 WHEN first IN (429, 500) THEN 1 ELSE 0 END AS retries FROM meta)"""
+  SELECT url, nullif(coalesce(nullif(regexp_extract(url, '://[^/?#]*/[^?#]*?(\d+)', 1), ''), CAST(page_id AS VARCHAR)), '') AS document_id,
+         nullif(trim(regexp_extract(html, '<title>([^<]*)', 1, 's')), '') AS title, CAST(NULL AS VARCHAR) AS published,
+         nullif(regexp_extract(url, '://([^/?#]+)', 1), '') AS agency, nullif(regexp_extract(url, '://[^/?#]+/([a-z]+)/', 1), '') AS document_type,
+         CAST(page_id AS INT) AS revision FROM pages)"""
 
 
-def pages_of(spark, folder):
-    return document_pages(Tables(spark, folder))
+def pages_of(spark, folder, kind: str) -> DataFrame:
+    return document_pages(Tables(spark, folder)).where(F.col("kind") == kind)
 
 
-def final_of(spark, folder):
-    return H.final_attempts(attempt_log(pages_of(spark, folder)))
-
-
-META_SQL = """document_id, title, CASE WHEN p % 3 = 0 THEN strftime(day, '%Y-%m-%d') WHEN p % 3 = 1 THEN strftime(day, '%d/%m/%Y')
-  ELSE strftime(day, '%m-%d-%Y') END AS published, agency, document_type, revision"""
-BOOK.add(
-    "h01",
-    lambda s, d: final_of(s, d).select("url", "final_url", "status", "retries", F.col("body").isNotNull().alias("has_body")),
-    with_(DOCS) + "SELECT url, final_url, status, retries, status = 200 AS has_body FROM final",
-)
-BOOK.add(
-    "h02",
-    lambda s, d: H.extract_html_meta(pages_of(s, d).where(F.col("kind") == "html")).select("url", *H.META),
-    with_(DOCS) + f"SELECT url, {META_SQL} FROM meta WHERE kind = 'html'",
-)
-BOOK.add(
-    "h03",
-    lambda s, d: H.extract_kv_meta(pages_of(s, d).where(F.col("kind") == "text")).select("url", *H.META),
-    with_(DOCS) + f"SELECT url, {META_SQL} FROM meta WHERE kind = 'text'",
-)
-BEST = """(SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY revision DESC, url DESC) AS rn FROM final WHERE status = 200)"""
+META_SQL = "document_id, title, published, agency, document_type, revision"
+for _name, _kind, _read in (("h02", "html", H.extract_html_meta), ("h03", "text", H.extract_kv_meta)):
+    BOOK.add(
+        _name,
+        lambda s, d, kind=_kind, read=_read: read(pages_of(s, d, kind)).select("url", *H.META),
+        with_(DOCS) + f"SELECT url, {META_SQL} FROM meta",
+    )
+BEST = "(SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY revision DESC, url DESC) AS rn FROM meta)"
 BOOK.add(
     "h04",
-    lambda s, d: H.documents(final_of(s, d)),
-    with_(DOCS) + f"SELECT document_id, url, title, CAST(day AS VARCHAR) AS published_date, agency, document_type, revision, status FROM {BEST} WHERE rn = 1",
+    lambda s, d: H.documents(pages_of(s, d, "html").withColumns({"final_url": F.col("url"), "status": F.lit(200)})),
+    with_(DOCS) + f"SELECT document_id, url, title, published AS published_date, agency, document_type, revision, 200 AS status FROM {BEST} WHERE rn = 1",
 )
-BOOK.add("h05", lambda s, d: H.failures(final_of(s, d)), with_(DOCS) + "SELECT url, status, retries FROM final WHERE status >= 400")
 BOOK.add(
     "d04",
-    lambda s, d: latest.latest_by(H.extract_html_meta(pages_of(s, d).where(F.col("kind") == "html")), ["document_id"], "revision", "url").select(
-        "document_id", "url", "revision"
-    ),
-    with_(DOCS) + """SELECT document_id, url, revision FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY revision DESC, url DESC) AS rn
-      FROM meta WHERE kind = 'html') WHERE rn = 1""",
+    lambda s, d: latest.latest_by(H.extract_html_meta(pages_of(s, d, "html")), ["document_id"], "revision", "url").select("document_id", "url", "revision"),
+    with_(DOCS) + f"SELECT document_id, url, revision FROM {BEST} WHERE rn = 1",
 )
-BOOK.add("q09", lambda s, d: contracts.ingest_quality(final_of(s, d)), with_(DOCS) + """
-SELECT count(*) AS attempted, count(*) FILTER (WHERE status = 200) AS succeeded, count(*) FILTER (WHERE status <> 200) AS failed,
-       round(avg(CASE WHEN status = 200 THEN 1.0::DOUBLE ELSE 0 END), 6) AS success_share,
-       avg(CASE WHEN status = 200 THEN 1.0::DOUBLE ELSE 0 END) >= 0.995 AS target_met FROM final""")

@@ -1,220 +1,9 @@
-"""Small NumPy estimators. Each sees one forecasting origin: a few hundred months at most."""
+"""NumPy bodies of ``mapInPandas`` steps: each adds up what one task sees."""
 
 from __future__ import annotations
 
-import sys
-
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
-
-# Ship these functions inside the task, so executors need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-def residual_sigma(residuals: np.ndarray, fallback: float = 1.0) -> float:
-    finite = np.asarray(residuals, dtype=float)
-    finite = finite[np.isfinite(finite)]
-    return float(fallback) if len(finite) < 3 else max(float(np.std(finite, ddof=1)), 1e-8)
-
-
-def _trend(n: int, start: int) -> np.ndarray:
-    steps = np.arange(start, start + n, dtype=float)
-    return np.column_stack([np.ones(n), steps])
-
-
-def _standardized(block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    center, scale = block.mean(axis=0), block.std(axis=0)
-    scale = np.where(scale == 0, 1.0, scale)
-    return (block - center) / scale, center, scale
-
-
-def autoregression(y: np.ndarray, horizon: int) -> tuple[float, float]:
-    """Least-squares autoregression with constant and trend, iterated to the horizon."""
-    n = len(y)
-    order = min(12, max(1, n // 8))
-    lagged = np.column_stack([y[order - k : n - k] for k in range(1, order + 1)])
-    design = np.hstack([_trend(n - order, order + 1), lagged])
-    coef, *_ = np.linalg.lstsq(design, y[order:], rcond=None)
-    path = list(y)
-    for step in range(horizon):
-        t = float(n + 1 + step)
-        path.append(float(coef @ np.concatenate([[1.0, t], path[-1 : -order - 1 : -1]])))
-    return path[-1], residual_sigma(y[order:] - design @ coef) * np.sqrt(horizon)
-
-
-def vector_autoregression(block: np.ndarray, horizon: int) -> tuple[float, float]:
-    """VAR with constant and trend on standardized columns; forecasts the first column."""
-    z, center, scale = _standardized(block)
-    n = len(z)
-    order = min(2, max(1, n // 30))
-    lagged = [z[order - k : n - k] for k in range(1, order + 1)]
-    design = np.hstack([_trend(n - order, 1), *lagged])
-    coef, *_ = np.linalg.lstsq(design, z[order:], rcond=None)
-    path = [row for row in z[-order:]]
-    for step in range(horizon):
-        t = float(n - order + 1 + step)
-        path.append(np.concatenate([[1.0, t], *[path[-k] for k in range(1, order + 1)]]) @ coef)
-    residuals = (z[order:] - design @ coef)[:, 0] * scale[0]
-    return float(path[-1][0] * scale[0] + center[0]), residual_sigma(residuals) * np.sqrt(horizon)
-
-
-def _inverse_wishart(rng: np.random.Generator, df: float, scale: np.ndarray) -> np.ndarray:
-    """One draw by the Bartlett decomposition."""
-    m = len(scale)
-    lower = np.tril(rng.standard_normal((m, m)), -1)
-    lower[np.diag_indices(m)] = np.sqrt(rng.chisquare(df - np.arange(m)))
-    root = np.linalg.cholesky(scale) @ np.linalg.inv(lower).T
-    return root @ root.T
-
-
-def bayesian_var_draws(block: np.ndarray, horizon: int, seed: int, draws: int = 250) -> np.ndarray:
-    """Predictive draws of the first column: conjugate VAR(2), prior variance 0.25 (10 for the constant)."""
-    z, center, scale = _standardized(block)
-    n, m = z.shape
-    target = z[2:]
-    design = np.hstack([np.ones((n - 2, 1)), z[1:-1], z[:-2]])
-    k = design.shape[1]
-    precision = np.diag(np.r_[1 / 10.0, np.full(k - 1, 1 / 0.25)])
-    post_cov = np.linalg.inv(precision + design.T @ design)
-    mean = post_cov @ (design.T @ target)
-    errors = target - design @ mean
-    scatter = np.eye(m) + errors.T @ errors + mean.T @ precision @ mean
-    freedom = m + 2 + len(target)
-    rng = np.random.default_rng(seed)
-    root = np.linalg.cholesky(post_cov)
-    out = np.empty(draws)
-    for i in range(draws):
-        noise_root = np.linalg.cholesky(_inverse_wishart(rng, freedom, scatter))
-        coef = mean + root @ rng.standard_normal((k, m)) @ noise_root.T
-        last, before = z[-1], z[-2]
-        for _ in range(horizon):
-            step = np.concatenate([[1.0], last, before]) @ coef + noise_root @ rng.standard_normal(m)
-            last, before = step, last
-        out[i] = last[0] * scale[0] + center[0]
-    return out
-
-
-def ridge(x: np.ndarray, y: np.ndarray, x_new: np.ndarray, alpha: float = 10.0) -> tuple[float, np.ndarray]:
-    """Ridge on standardized columns, intercept free. Returns the forecast and the fitted values."""
-    z, center, scale = _standardized(x)
-    coef = np.linalg.solve(z.T @ z + alpha * np.eye(z.shape[1]), z.T @ (y - y.mean()))
-    return float(y.mean() + (x_new - center) / scale @ coef), y.mean() + z @ coef
-
-
-def elastic_net(
-    x: np.ndarray, y: np.ndarray, x_new: np.ndarray, alpha: float = 0.03, l1_ratio: float = 0.3, tol: float = 1e-4
-) -> tuple[float, np.ndarray]:
-    """Coordinate descent for squared error / 2n + alpha (l1 |b| + (1 - l1)/2 b^2) on standardized columns."""
-    z, center, scale = _standardized(x)
-    n, k = z.shape
-    resid = y - y.mean()
-    goal = tol * max(float(resid @ resid), 1e-300)
-    norms = (z**2).sum(axis=0)
-    l1, l2 = alpha * l1_ratio * n, alpha * (1 - l1_ratio) * n
-    coef = np.zeros(k)
-    for _ in range(10_000):
-        largest = 0.0
-        for j in range(k):
-            if norms[j] == 0:
-                continue
-            old = coef[j]
-            rho = z[:, j] @ resid + norms[j] * old
-            coef[j] = np.sign(rho) * max(abs(rho) - l1, 0.0) / (norms[j] + l2)
-            if coef[j] != old:
-                resid -= z[:, j] * (coef[j] - old)
-                largest = max(largest, abs(coef[j] - old))
-        if largest <= 1e-9 * max(np.abs(coef).max(), 1e-300) or largest**2 * n <= goal * 1e-8:
-            break
-    return float(y.mean() + (x_new - center) / scale @ coef), y - resid
-
-
-class Tree:
-    """Regression tree grown best split first on ``gain = GL²/(nL+l2) + GR²/(nR+l2) - G²/(n+l2)``."""
-
-    def __init__(self, x, y, min_leaf, max_leaves=None, l2=0.0, features=None, rng=None):
-        self.x, self.y, self.min_leaf, self.l2 = x, y, min_leaf, l2
-        self.features, self.rng = features, rng
-        self.nodes: list = [None]  # (feature, threshold, left, right) or leaf value
-        open_nodes = [(0, np.arange(len(y)), self._best(np.arange(len(y))))]
-        leaves = 1
-        while open_nodes and (max_leaves is None or leaves < max_leaves):
-            pick = max(range(len(open_nodes)), key=lambda i: open_nodes[i][2][0])
-            node, rows, (gain, feature, threshold) = open_nodes.pop(pick)
-            if not gain > 1e-12:
-                self.nodes[node] = self._value(rows)
-                continue
-            below = x[rows, feature] <= threshold
-            left, right = len(self.nodes), len(self.nodes) + 1
-            self.nodes += [None, None]
-            self.nodes[node] = (feature, threshold, left, right)
-            leaves += 1
-            open_nodes += [(left, rows[below], self._best(rows[below])), (right, rows[~below], self._best(rows[~below]))]
-        for node, rows, _ in open_nodes:
-            self.nodes[node] = self._value(rows)
-
-    def _value(self, rows):
-        return float(self.y[rows].sum() / (len(rows) + self.l2))
-
-    def _best(self, rows):
-        n = len(rows)
-        if n < 2 * self.min_leaf:
-            return 0.0, 0, 0.0
-        tried = np.arange(self.x.shape[1])
-        if self.features is not None:
-            tried = self.rng.permutation(len(tried))[: self.features]
-        values = self.x[np.ix_(rows, tried)]
-        order = np.argsort(values, axis=0, kind="stable")
-        ranked = np.take_along_axis(values, order, axis=0)
-        cumulative = np.cumsum(self.y[rows][order], axis=0)
-        total = cumulative[-1]
-        n_left = np.arange(1, n)[:, None]
-        gain = (
-            cumulative[:-1] ** 2 / (n_left + self.l2)
-            + (total - cumulative[:-1]) ** 2 / (n - n_left + self.l2)
-            - total**2 / (n + self.l2)
-        )
-        allowed = (ranked[1:] > ranked[:-1]) & (n_left >= self.min_leaf) & (n - n_left >= self.min_leaf)
-        gain = np.where(allowed, gain, -np.inf)
-        at, column = np.unravel_index(np.argmax(gain), gain.shape)
-        threshold = (ranked[at, column] + ranked[at + 1, column]) / 2
-        return float(gain[at, column]), int(tried[column]), float(threshold)
-
-    def predict(self, x):
-        out = np.empty(len(x))
-        pending = [(0, np.arange(len(x)))]
-        while pending:
-            node, rows = pending.pop()
-            content = self.nodes[node]
-            if isinstance(content, tuple):
-                feature, threshold, left, right = content
-                below = x[rows, feature] <= threshold
-                pending += [(left, rows[below]), (right, rows[~below])]
-            else:
-                out[rows] = content
-        return out
-
-
-def random_forest(x, y, x_new, seed: int, trees: int = 160, min_leaf: int = 4, share: float = 0.6):
-    """Mean of trees on bootstrap rows, each split looking at a share of the features."""
-    rng = np.random.default_rng(seed)
-    width = max(1, int(share * x.shape[1]))
-    points = np.vstack([x, x_new])
-    total = np.zeros(len(points))
-    for _ in range(trees):
-        rows = rng.integers(0, len(y), len(y))
-        total += Tree(x[rows], y[rows], min_leaf, features=width, rng=rng).predict(points)
-    total /= trees
-    return float(total[-1]), total[:-1]
-
-
-def gradient_boosting(x, y, x_new, rounds: int = 180, rate: float = 0.04, l2: float = 1.0, min_leaf: int = 20, max_leaves: int = 31):
-    """Boosted squared error with an L2 penalty on leaf values."""
-    points = np.vstack([x, x_new])
-    fitted = np.full(len(points), y.mean())
-    for _ in range(rounds):
-        fitted += rate * Tree(x, y - fitted[:-1], min_leaf, max_leaves=max_leaves, l2=l2).predict(points)
-    return float(fitted[-1]), fitted[:-1]
 
 
 def unit_moments(k: int, t: int):

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import sys
 
-import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -19,20 +18,26 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 Z90 = 1.2815515655446004
 Z95 = 1.6448536269514722
 
-_erf = np.vectorize(math.erf, otypes=[float])
+# The rational approximation of the normal distribution function by Hart (1968), highest power first.
+HART_UPPER = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+HART_LOWER = (
+    8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752,
+)
 
 
-# The UDF objects are made per use: one kept in the module would hold on to the session
-# that was active first.
-
+def norm_cdf(z: Column | str) -> Column:
+    """Standard normal distribution function, to about 14 digits within 7 standard deviations of 0; 0 or 1 beyond."""
+    z = F.col(z) if isinstance(z, str) else z
+    far = F.abs(z)
 
-def _norm_cdf(z: pd.Series) -> pd.Series:
-    return pd.Series(0.5 * (1.0 + _erf(z.to_numpy(float) / math.sqrt(2))))
+    def polynomial(coefficients: tuple[float, ...]) -> Column:
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * far + c
+        return out
 
-
-def norm_cdf(z: Column | str) -> Column:
-    """Standard normal distribution function."""
-    return F.pandas_udf(_norm_cdf, DoubleType())(z)
+    tail = F.when(far < 7.07, F.exp(-far * far / 2) * polynomial(HART_UPPER) / polynomial(HART_LOWER)).when(far.isNotNull(), 0.0)
+    return F.when(z > 0, 1 - tail).otherwise(tail)
 
 
 def norm_pdf(z: Column) -> Column:
@@ -72,46 +77,6 @@ def t_two_sided(t: float, df: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1 - x) / b
 
 
-def ks_uniform_p(d: float, n: int) -> float:
-    """P(D_n >= d): the exact matrix-power law for small n, the limiting series beyond."""
-    if n > 1000:
-        lam = d * math.sqrt(n)
-        total = 2 * sum((-1) ** (j - 1) * math.exp(-2 * j * j * lam * lam) for j in range(1, 101))
-        return min(max(total, 0.0), 1.0)
-    if n * d * d > 18:  # below double precision
-        return 0.0
-    k = int(math.ceil(n * d))
-    if k <= 0:
-        return 1.0
-    h = k - n * d
-    m = 2 * k - 1
-    i, j = np.indices((m, m))
-    matrix = (i - j + 1 >= 0).astype(float)
-    powers = h ** np.arange(1, m + 1)
-    matrix[:, 0] -= powers
-    matrix[-1, :] -= powers[::-1]
-    matrix[-1, 0] += (2 * h - 1) ** m if 2 * h > 1 else 0.0
-    steps = np.maximum(i - j + 1, 0)
-    factorials = np.array([math.factorial(s) if s <= 170 else math.inf for s in range(m + 1)], dtype=float)
-    matrix /= factorials[steps]
-    result, exponent, base, base_exp, left = np.eye(m), 0, matrix, 0, n
-    while left:
-        if left & 1:
-            result, exponent = result @ base, exponent + base_exp
-            if abs(result[k - 1, k - 1]) > 1e140:
-                result, exponent = result * 1e-140, exponent + 140
-        base, base_exp = base @ base, 2 * base_exp
-        if abs(base[k - 1, k - 1]) > 1e140:
-            base, base_exp = base * 1e-140, base_exp + 140
-        left >>= 1
-    value = result[k - 1, k - 1]
-    for step in range(1, n + 1):
-        value *= step / n
-        if value < 1e-140:
-            value, exponent = value * 1e140, exponent - 140
-    return min(max(1.0 - value * 10.0**exponent, 0.0), 1.0)
-
-
 def _t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) else t_two_sided(a, b) for a, b in zip(t, df)], dtype="Float64")
 
@@ -120,9 +85,14 @@ def t_p_value(t: Column, df: Column) -> Column:
     return F.pandas_udf(_t_p_value, DoubleType())(t, df)
 
 
-def _ks_p_value(d: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(a) or pd.isna(b) else ks_uniform_p(a, int(b)) for a, b in zip(d, n)], dtype="Float64")
-
-
 def ks_p_value(d: Column, n: Column) -> Column:
-    return F.pandas_udf(_ks_p_value, DoubleType())(d, n)
+    """P(D_n >= d) by Kolmogorov's series with Stephens' finite-sample correction, for every n alike.
+
+    From n = 8 on it is within five percent of the exact law in the tail (p of 0.01 to 0.05).
+    """
+    root = F.sqrt(n.cast("double"))
+    x = (root + 0.12 + 0.11 / root) * d
+    series = F.lit(0.0)
+    for j in range(1, 31):
+        series = series + (2.0 if j % 2 else -2.0) * F.exp(-2.0 * j * j * x * x)
+    return F.when(x < 0.2, 1.0).when(x.isNotNull(), F.greatest(F.least(series, F.lit(1.0)), F.lit(0.0)))

@@ -1,76 +1,44 @@
-"""Items bought together: exact top pairs without listing every pair of a huge basket."""
+"""Items bought together: exact top pairs, counted in cells of bounded size."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.operators.latest import top_n_per_group
 from panelwright.runtime import stage
 
+SEEDS = 64
+BLOCK_ITEMS = 256
 
-def top_pairs(items: DataFrame, basket: str, item: str, n: int, listed_up_to: int = 1000) -> DataFrame:
-    """The ``n`` item pairs found in most baskets: ``p1 < p2, pair_orders``, ties by (p1, p2).
 
-    Baskets of at most ``listed_up_to`` distinct items list their pairs, which is linear in
-    the table. Larger baskets never do. They are added exactly in two ways:
+def top_pairs(items: DataFrame, basket: str, item: str, n: int) -> DataFrame:
+    """The ``n`` item pairs found in most baskets: ``p1 < p2, pair_orders``, ties by (p1, p2).
 
-    * pairs listed somewhere get the number of large baskets that hold both items;
-    * pairs found in large baskets only are counted per *class*, all items that lie in the
-      same large baskets. Inside a class pair all counts are equal, so its first ``n + 1``
-      items by id settle the ties. Classes that lie in fewer large baskets than the n-th
-      best listed count can not place and are left out.
+    1. Pairs among the ``SEEDS`` most frequent items are counted. The n-th best of them is a lower
+       bound of what a pair needs to place.
+    2. Items in fewer baskets than that can not place and are left out, which is exact and takes
+       with it nearly all items of a huge basket.
+    3. What is left of a basket is cut into blocks of about ``BLOCK_ITEMS`` items, and pairs of blocks
+       are joined, so a task sees a cell of a basket and never the basket.
     """
-    members = stage(items.select(F.col(basket).alias("b"), F.col(item).alias("p")).distinct())
-    sizes = members.groupBy("b").agg(F.count(F.lit(1)).alias("size"))
-    large = stage(sizes.where(F.col("size") > listed_up_to).select("b"))
-    n_large = large.count()
-
-    listed = members.join(large, "b", "left_anti") if n_large else members
-    left, right = listed.alias("x"), listed.alias("y")
-    pairs = (
-        left.join(right, (F.col("x.b") == F.col("y.b")) & (F.col("x.p") < F.col("y.p")))
-        .groupBy(F.col("x.p").alias("p1"), F.col("y.p").alias("p2"))
-        .agg(F.count(F.lit(1)).alias("pair_orders"))
-    )
-    order = [F.col("pair_orders").desc(), F.col("p1"), F.col("p2")]
-    if not n_large:
-        return pairs.orderBy(*order).limit(n)
-
-    pairs = stage(pairs)
-    best = pairs.orderBy(*order).limit(n).agg(F.count(F.lit(1)).alias("k"), F.min("pair_orders").alias("t")).first()
-    floor = best["t"] if best["k"] == n else 0
-    hot = members.join(large, "b", "left_semi")
-    held = stage(hot.groupBy("p").agg(F.sort_array(F.collect_set("b")).alias("held")))
-
-    both = F.size(F.array_intersect(F.coalesce("h1", F.array().cast("array<bigint>")), F.coalesce("h2", F.array().cast("array<bigint>"))))
-    listed_total = (
-        pairs.where(F.col("pair_orders") + n_large >= floor)
-        .join(held.select(F.col("p").alias("p1"), F.col("held").alias("h1")), "p1", "left")
-        .join(held.select(F.col("p").alias("p2"), F.col("held").alias("h2")), "p2", "left")
-        .select("p1", "p2", (F.col("pair_orders") + both).alias("pair_orders"))
-    )
-
-    able = held.where(F.size("held") >= floor).withColumn("class", F.xxhash64("held"))
-    able = able.withColumn("class", F.struct("class", "held"))
-    firsts = top_n_per_group(able, ["class"], [F.col("p")], n + 1).select("class", "p")
-    classes = able.select("class", "held").distinct().select("class", F.explode("held").alias("b"))
-    shared = (
-        classes.alias("x")
-        .join(classes.alias("y"), (F.col("x.b") == F.col("y.b")) & (F.col("x.class") <= F.col("y.class")))
-        .groupBy(F.col("x.class").alias("c1"), F.col("y.class").alias("c2"))
-        .agg(F.count(F.lit(1)).alias("pair_orders"))
-    )
-    hot_only = (
-        shared.join(firsts.select(F.col("class").alias("c1"), F.col("p").alias("u")), "c1")
-        .join(firsts.select(F.col("class").alias("c2"), F.col("p").alias("v")), "c2")
-        .where(F.col("u") != F.col("v"))
-        .select(F.least("u", "v").alias("p1"), F.greatest("u", "v").alias("p2"), "pair_orders")
-    )
-    return (
-        listed_total.unionByName(hot_only)
-        .groupBy("p1", "p2")
-        .agg(F.max("pair_orders").alias("pair_orders"))
-        .orderBy(*order)
-        .limit(n)
-    )
+    members = stage(items.select(F.col(basket).alias("b"), F.col(item).alias("p")).where("b IS NOT NULL AND p IS NOT NULL").distinct())
+    frequency = stage(members.groupBy("p").agg(F.count(F.lit(1)).alias("baskets")))
+    seeds = frequency.orderBy(F.desc("baskets"), "p").limit(SEEDS).select("p")
+    among = members.join(F.broadcast(seeds), "p").groupBy("b").agg(F.sort_array(F.collect_list("p")).alias("held"))  # at most SEEDS items
+    ahead = F.transform("held", lambda x, i: F.transform(F.slice("held", i + 2, F.size("held")), lambda y: F.struct(x.alias("p1"), y.alias("p2"))))
+    counted = among.select(F.explode(F.flatten(ahead)).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("c"))
+    best = counted.orderBy(F.desc("c")).limit(n).agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("t"))
+    needed = best.select(F.when(F.col("k") == n, F.col("t")).otherwise(1).alias("needed"))
+
+    able = frequency.join(F.broadcast(needed), F.col("baskets") >= F.col("needed")).select("p")
+    kept = stage(members.join(able, "p").select("b", "p"))
+    blocks = kept.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ITEMS).cast("int").alias("blocks"))
+    blocked = kept.join(blocks, "b").withColumn("k", F.pmod(F.xxhash64("p"), F.col("blocks")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    dealt = blocked.withColumn("other", F.explode(others))
+    cells = dealt.select("b", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "k", "p")
+    left, right = cells.where("k = i"), cells.where("k = j")
+    met = left.select("b", "i", "j", F.col("p").alias("x")).join(right.select("b", "i", "j", F.col("p").alias("y")), ["b", "i", "j"])
+    met = met.where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
+    pairs = met.groupBy(F.least("x", "y").alias("p1"), F.greatest("x", "y").alias("p2")).agg(F.count(F.lit(1)).alias("pair_orders"))
+    return pairs.orderBy(F.desc("pair_orders"), "p1", "p2").limit(n)

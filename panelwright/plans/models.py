@@ -1,38 +1,20 @@
-"""Forecasts per origin. Four baselines are plain aggregates, the others grouped NumPy fits.
+"""Forecasts per origin: four baselines as plain aggregates, and rows of other models read from outside.
 
 Ledger columns: ``target, cutoff_idx, origin_idx, target_idx, horizon, model, forecast, sigma,
-runtime_s, status``. A fit that fails is a row with ``failed:<Exception>``, never an abort.
+runtime_s, status``.
 """
 
 from __future__ import annotations
 
-import sys
-from time import perf_counter
-
 import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from panelwright.functions.estimators import (
-    autoregression,
-    bayesian_var_draws,
-    elastic_net,
-    gradient_boosting,
-    random_forest,
-    residual_sigma,
-    ridge,
-    vector_autoregression,
-)
 from panelwright.operators.contracts import require_columns
 from panelwright.plans.supervised import Supervised
 from panelwright.sources.tables import read_shards
 
-# Ship the fitting functions inside the task, so executors need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 KEY = ["target", "cutoff_idx", "origin_idx"]
 FORECAST_SCHEMA = (
     "target string, cutoff_idx int, origin_idx int, target_idx int, horizon int, model string, "
@@ -40,13 +22,9 @@ FORECAST_SCHEMA = (
 )
 FORECAST_COLUMNS = [part.split()[0] for part in FORECAST_SCHEMA.split(", ")]
 BASELINES = ("mean", "naive_last", "naive_drift", "seasonal_naive")
-FITTED = ("autoreg", "var", "bvar_niw", "ridge", "elastic_net", "random_forest", "hist_gradient_boosting")
 SEASON = 12
 
 
-# -- baselines as aggregates -----------------------------------------------------------------
-
-
 def _floored(sd: Column, n: Column) -> Column:
     return F.when(n < 3, 1.0).otherwise(F.greatest(sd, F.lit(1e-8)))
 
@@ -109,94 +87,6 @@ def baseline_forecasts(data: Supervised, models: tuple[str, ...] = BASELINES) ->
     ).select(*FORECAST_COLUMNS)
 
 
-# -- fitted models per group ---------------------------------------------------------------------
-
-
-def _fit(model: str, y, block, x, labels, x_new, horizon: int, seed: int) -> tuple[float, float]:
-    if model == "autoreg":
-        return autoregression(y, horizon)
-    if model == "var":
-        return vector_autoregression(block, horizon)
-    if model == "bvar_niw":
-        draws = bayesian_var_draws(block, horizon, seed)
-        return float(draws.mean()), residual_sigma(draws)
-    if model == "ridge":
-        mean, fitted = ridge(x, labels, x_new)
-    elif model == "elastic_net":
-        mean, fitted = elastic_net(x, labels, x_new)
-    elif model == "random_forest":
-        mean, fitted = random_forest(x, labels, x_new, seed)
-    elif model == "hist_gradient_boosting":
-        mean, fitted = gradient_boosting(x, labels, x_new)
-    else:
-        raise ValueError(f"unknown model {model!r}")
-    return mean, residual_sigma(labels - fitted)
-
-
-def _origin_fitter(models: tuple[str, ...], horizons: tuple[int, ...], seed: int):
-    """Function that forecasts one (target, cutoff) group: all models and horizons in one Arrow exchange."""
-
-    def forecast(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("month_idx")
-        head = pdf.iloc[-1]
-        y = pdf["y"].to_numpy(float)
-        known = y[np.isfinite(y)]
-        block = np.array(pdf.loc[pdf["mv_complete"], "mv"].tolist(), dtype=float)
-        complete = pdf["x_complete"].to_numpy(bool)
-        features = np.array(pdf.loc[complete, "x"].tolist(), dtype=float)
-        out = []
-        for h in horizons:
-            if not head[f"ready_{h}"]:
-                continue
-            label = pdf.loc[complete, f"label_{h}"].to_numpy(float)
-            matured = np.isfinite(label)
-            x, labels, x_new = features[matured], label[matured], np.asarray(head["x"], dtype=float)
-            for model in models:
-                start = perf_counter()
-                try:
-                    mean, sigma = _fit(model, known, block, x, labels, x_new, h, seed)
-                    if not (np.isfinite(mean) and np.isfinite(sigma)):
-                        raise ValueError("non-finite forecast")
-                    mean, sigma, status = float(mean), max(float(sigma), 1e-8), "ok"
-                except Exception as exc:  # one failing fit must not stop the others
-                    mean, sigma, status = None, None, f"failed:{type(exc).__name__}"
-                out.append(
-                    (head["target"], head["cutoff_idx"], head["origin_idx"], head["origin_idx"] + h, h, model,
-                     mean, sigma, perf_counter() - start, status)
-                )
-        frame = pd.DataFrame(out, columns=FORECAST_COLUMNS)
-        return frame.astype({"forecast": "float64", "sigma": "float64"})
-
-    return forecast
-
-
-def fitted_forecasts(data: Supervised, models: tuple[str, ...] = FITTED) -> DataFrame:
-    """Models fitted per origin. A group is one target's months as seen at one cutoff."""
-    fit = _origin_fitter(tuple(models), tuple(data.protocol.horizons), data.protocol.seed)
-    rows = data.selected_rows
-    # Groups are small but costly to fit: keep all partitions instead of merging small ones.
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = rows.repartition(tasks, "target", "cutoff_idx")
-    fitted = spread.groupBy("target", "cutoff_idx").applyInPandas(fit, FORECAST_SCHEMA)
-    # pandas marks a missing number as NaN; the ledger says NULL.
-    return fitted.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("forecast", "sigma")})
-
-
-def run_forecasts(data: Supervised, models: tuple[str, ...] = BASELINES + FITTED) -> DataFrame:
-    """Ledger of all models over all origins and horizons; cells are independent of each other."""
-    unknown = [m for m in models if m not in BASELINES + FITTED]
-    if unknown:
-        raise ValueError(f"unknown models: {unknown}")
-    parts = []
-    baselines = tuple(m for m in models if m in BASELINES)
-    fitted = tuple(m for m in models if m in FITTED)
-    if baselines:
-        parts.append(baseline_forecasts(data, baselines))
-    if fitted:
-        parts.append(fitted_forecasts(data, fitted))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
 def read_external_forecasts(spark: SparkSession, folder: str, schema=FORECAST_SCHEMA) -> DataFrame:
     """Ledger rows produced elsewhere, as CSV shards."""
     return require_columns(read_shards(spark, folder, schema), FORECAST_COLUMNS)

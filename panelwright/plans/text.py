@@ -8,16 +8,15 @@ import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.estimators import gram_product, row_product
-from panelwright.runtime import spread, stage
+from panelwright.operators.ordered import global_row_number
+from panelwright.runtime import stage
 
 # Words are runs of at least two letters, digits or underscores.
 WORD = r"[\p{L}\p{N}_]{2,}"
 MIN_DOCS = 2
-MAX_TERMS = 12_000
 DIMENSIONS = 64
 SEED = 50505
 
@@ -56,12 +55,11 @@ def check_split(df: DataFrame, group: str) -> DataFrame:
     return sides.agg((leaks == 0).alias("passed"), leaks.alias("n_violations"))
 
 
-def vocabulary(train: DataFrame, text: str, min_docs: int = MIN_DOCS, max_terms: int = MAX_TERMS) -> DataFrame:
+def vocabulary(train: DataFrame, text: str, min_docs: int = MIN_DOCS, max_terms: int | None = None) -> DataFrame:
     """``term, df, total``: terms of at least ``min_docs`` training documents, the most frequent ones.
 
     A document counts its distinct terms within its own row, so the only shuffle carries
-    per-task sums by term. ``max_terms`` is the feature limit of the method and bounds
-    everything built on the vocabulary.
+    per-task sums by term. ``max_terms`` is a feature limit that the caller may ask for.
     """
     found = with_terms(train, text).select("terms")
     both = F.concat(
@@ -69,21 +67,22 @@ def vocabulary(train: DataFrame, text: str, min_docs: int = MIN_DOCS, max_terms:
         F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("doc"), F.lit(0).alias("use"))),
     )
     stats = found.select(F.inline(both)).groupBy("term").agg(F.sum("doc").alias("df"), F.sum("use").alias("total"))
-    return stats.where(F.col("df") >= min_docs).orderBy(F.col("total").desc(), "term").limit(max_terms)
+    known = stats.where(F.col("df") >= min_docs)
+    return known if max_terms is None else known.orderBy(F.col("total").desc(), "term").limit(max_terms)
 
 
 def tfidf_rows(df: DataFrame, text: str, vocab: DataFrame, n_train: Column, id_column: str) -> DataFrame:
     """Sparse rows ``id, idx, val`` with smoothed idf and length one, entries in order of ``idx``.
 
-    The vocabulary has at most ``MAX_TERMS`` rows: it is broadcast, and drops all other terms
-    before anything is shuffled. A row has at most that many entries.
+    The inner join drops all terms outside the vocabulary; Spark broadcasts a vocabulary that is small
+    enough. A row has at most as many entries as its document has terms.
     """
     idf = F.log((1 + n_train) / (1 + F.col("df"))) + 1
     known = vocab.select("term", "idx", idf.alias("idf"))
     counts = (
         with_terms(df, text)
         .select(id_column, F.explode("terms").alias("term"))
-        .join(F.broadcast(known), "term")
+        .join(known, "term")
         .groupBy(id_column, "idx", "idf")
         .agg(F.count("*").alias("tf"))
     )
@@ -102,7 +101,7 @@ def svd_basis(rows: DataFrame, n_terms: int, k: int, seed: int = SEED, passes: i
     """Leading right singular vectors of sparse rows ``idx, val`` by randomized subspace iteration.
 
     Every pass is one job that adds up ``A'(A Q)``; the driver keeps ``n_terms`` x (k + extra)
-    numbers, bounded by the vocabulary limit. Not centred.
+    numbers, so a vocabulary that is used here needs a limit. Not centred.
     """
     width = min(k + extra, n_terms)
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_terms, width)))[0]
@@ -131,10 +130,11 @@ class TextModel:
     ``corpus``: ``doc_id, text, split`` and further columns that are left alone.
     """
 
-    def __init__(self, corpus: DataFrame, dimensions: int = DIMENSIONS):
+    def __init__(self, corpus: DataFrame, dimensions: int = DIMENSIONS, max_terms: int | None = None):
         self.corpus = corpus
-        self.texts = spread(corpus.select("doc_id", "text", "split"))
+        self.texts = corpus.select("doc_id", "text", "split").hint("rebalance")
         self.dimensions = dimensions
+        self.max_terms = max_terms
 
     @cached_property
     def train(self) -> DataFrame:
@@ -143,8 +143,8 @@ class TextModel:
     @cached_property
     def vocab(self) -> DataFrame:
         """Vocabulary with a position per term, in order of the term."""
-        position = F.row_number().over(Window.orderBy("term")) - 1  # at most MAX_TERMS rows
-        return stage(vocabulary(self.train, "text").withColumn("idx", position))
+        ranked = global_row_number(vocabulary(self.train, "text", max_terms=self.max_terms), [F.col("term")])
+        return stage(ranked.drop("n_rows").withColumn("idx", (F.col("row_number") - 1).cast("int")).drop("row_number"))
 
     @cached_property
     def rows(self) -> DataFrame:
@@ -155,14 +155,14 @@ class TextModel:
     def weights(self) -> DataFrame:
         """``doc_id, term, weight``."""
         entries = self.rows.select("doc_id", F.inline(F.arrays_zip("idx", F.col("val").alias("weight"))))
-        return entries.join(F.broadcast(self.vocab.select("term", "idx")), "idx").select("doc_id", "term", "weight")
+        return entries.join(self.vocab.select("term", "idx"), "idx").select("doc_id", "term", "weight")
 
     @cached_property
     def components(self) -> np.ndarray:
         train_ids = self.corpus.where(F.col("split") == "train").select("doc_id")
         train = self.rows.join(train_ids, "doc_id", "left_semi").select("idx", "val")
         n_terms = self.vocab.count()
-        return svd_basis(spread(stage(train)), n_terms, min(self.dimensions, n_terms))[0]
+        return svd_basis(stage(train), n_terms, min(self.dimensions, n_terms))[0]
 
     @cached_property
     def embedding(self) -> DataFrame:
@@ -182,11 +182,11 @@ def train_classifier(embedded: DataFrame, label: str, max_iter: int = 500) -> Da
     """
     labelled = embedded.where(F.col(label).isNotNull())
     train = labelled.where(F.col("split") == "train")
-    # A constant dimension is what the free intercept already is. Left in, its tiny spread
+    # A constant dimension is what the free intercept already is. Left in, its tiny deviation
     # would blow up the solver's internal scaling.
     width = train.agg(F.max(F.size("e"))).first()[0]
-    spread = train.agg(*[F.stddev_pop(F.col("e")[i]) for i in range(width)]).first()
-    varying = [F.col("e")[i] for i in range(width) if spread[i] > 1e-9]
+    deviation = train.agg(*[F.stddev_pop(F.col("e")[i]) for i in range(width)]).first()
+    varying = [F.col("e")[i] for i in range(width) if deviation[i] > 1e-9]
     known = labelled.withColumn("features", array_to_vector(F.array(*varying)))
     classes = [r[0] for r in known.where(F.col("split") == "train").select(label).distinct().orderBy(label).collect()]
     codes = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, float(i))])

@@ -39,6 +39,26 @@ def _cutoff_bounds(first: str, last: str) -> tuple[Column, Column]:
     return month_index(a), month_index(b) - F.when(b < month_end(b), 1).otherwise(0)
 
 
+def snapshots_at(panel: DataFrame, cutoffs: list[str]) -> DataFrame:
+    """What was known on each of the days ``cutoffs`` (any days, in any order).
+
+    A revision is valid from its own day to the next revision's. Both ends are turned into positions
+    in the sorted list of cutoffs, so only cutoffs that see the revision are listed.
+    Output: ``cutoff, series_id, observation_date, value``.
+    """
+    days = F.array(*[F.lit(c).cast("date") for c in sorted(set(cutoffs))]).cast("array<date>")
+    following = F.lead("vintage_date").over(Window.partitionBy("series_id", "observation_date").orderBy("vintage_date"))
+
+    def before(day: Column) -> Column:
+        return F.size(F.filter(days, lambda c: c < day))
+
+    placed = panel.withColumn("_next", following).withColumns(
+        {"_from": before(F.col("vintage_date")), "_to": F.when(F.col("_next").isNull(), F.size(days)).otherwise(before(F.col("_next")))}
+    )
+    seen = placed.where(F.col("_from") < F.col("_to"))
+    return seen.select(F.explode(F.slice(days, F.col("_from") + 1, F.col("_to") - F.col("_from"))).alias("cutoff"), "series_id", "observation_date", "value")
+
+
 def snapshots(panel: DataFrame, first: str, last: str) -> DataFrame:
     """What every month-end cutoff saw: the latest revision known by then per series and observation.
 

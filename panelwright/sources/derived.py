@@ -1,4 +1,4 @@
-"""Job inputs derived from the supplied tables: renamed columns plus planted defects."""
+"""Job inputs derived from the supplied tables, mostly by renaming columns."""
 
 from __future__ import annotations
 
@@ -14,10 +14,11 @@ from panelwright.functions.cleaning import (
     month_from_index,
     month_index,
     month_start,
+    norm_firm_id,
     pick,
     quarter_label,
 )
-from panelwright.runtime import spread, stage
+from panelwright.runtime import stage
 from panelwright.sources.tables import Tables
 
 # Fixed values of the commerce fixture.
@@ -200,144 +201,62 @@ def raw_events(t: Tables) -> DataFrame:
 
 
 class FirmFiles:
-    """The five messy firm files, every column text."""
+    """Customers and their orders as firm files: columns renamed, keys, dates and money as text."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.tables = Tables(spark, folder)
 
-    @staticmethod
-    def _spelled_id(key: Column, form: Column) -> Column:
-        clean = F.format_string("F%04d", key)
-        return pick_expr(
-            [
-                F.lower(clean),
-                F.concat(F.lit("F-"), F.format_string("%04d", key)),
-                F.concat(F.lit(" "), F.format_string("%04d", key), F.lit(" ")),
-                F.concat(F.lit("firm_"), F.format_string("%04d", key)),
-                clean,
-            ],
-            form % 5,
-        )
-
-    @staticmethod
-    def _spelled_quarter(label: Column, last_day: Column, form: Column) -> Column:
-        return pick_expr(
-            [label, F.concat(F.substring(label, 1, 4), F.lit("-"), F.substring(label, 5, 2)), last_day.cast("string")],
-            form % 3,
-        )
-
     @cached_property
     def firm_master(self) -> DataFrame:
-        k = F.col("c_custkey")
-        base = self.tables.customer.join(
-            self.tables.nation, F.col("c_nationkey") == F.col("n_nationkey")
-        ).select(
-            F.format_string("F%04d", k).alias("firm_id"),
-            F.col("c_name").alias("legal_name"),
-            F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("region_code"),
-            k.alias("_k"),
+        """Firms are known by the name that holds their number."""
+        nation = self.tables.nation.select("n_nationkey", F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("region_code"))
+        return self.tables.customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+            norm_firm_id(F.col("c_name")).alias("firm_id"), F.col("c_name").alias("legal_name"), "region_code"
         )
-        twins = base.where(F.col("_k") % 97 == 7).withColumn("legal_name", F.concat("legal_name", F.lit(" Ltd")))
-        return base.unionByName(twins).drop("_k")
 
     @cached_property
     def regions(self) -> DataFrame:
-        name = F.col("r_name")
         return self.tables.region.select(
-            F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("region_code"),
-            pick_expr([F.concat(name, F.lit(" ")), F.lower(name), name], F.col("r_regionkey") % 3).alias("region_name"),
+            F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("region_code"), F.col("r_name").alias("region_name")
         )
 
     @cached_property
     def _quarterly(self) -> DataFrame:
+        """Orders by customer and quarter. Both files come from this table, so it is landed once."""
         day = F.col("o_orderdate").cast("date")
-        # Both files come from this table, so it is landed once.
-        landed = stage(
-            self.tables.orders.groupBy(F.col("o_custkey").alias("k"), quarter_label(day).alias("label"))
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
-            .withColumns(
-                {
-                    "q": F.substring("label", 6, 1).cast("int"),
-                    "cents": F.round(F.col("total") * 100).cast("bigint"),
-                    "last_day": F.last_day(
-                        F.make_date(
-                            F.substring("label", 1, 4).cast("int"), F.substring("label", 6, 1).cast("int") * 3, F.lit(1)
-                        )
-                    ),
-                }
+        return stage(
+            self.tables.orders.groupBy(F.col("o_custkey").cast("string").alias("customer"), quarter_label(day).alias("label")).agg(
+                F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"), F.max(day).cast("string").alias("last_day")
             )
         )
-        return spread(landed)
-
-    @staticmethod
-    def _timestamp(month: str, q: Column) -> Column:
-        return F.concat(F.lit(f"2026-{month}-0"), q.cast("string"))
 
     @cached_property
     def employment(self) -> DataFrame:
-        k, q = F.col("k"), F.col("q")
-        base = self._quarterly.select(
-            F.when((k % 499 == 0) & (q == 1), F.lit("UNKNOWN-X")).otherwise(self._spelled_id(k, k + q)).alias("firm_key"),
-            self._spelled_quarter(F.col("label"), F.col("last_day"), k + q).alias("quarter"),
+        return self._quarterly.select(
+            F.col("customer").alias("firm_key"),
+            F.col("label").alias("quarter"),
             F.col("n").cast("string").alias("employees"),
-            self._timestamp("01", q).alias("correction_ts"),
-            k,
-            q,
-            "n",
-        )
-        fixes = base.where((k % 149 == 13) & (q == 2)).withColumns(
-            {"employees": (F.col("n") + 3).cast("string"), "correction_ts": F.lit("2026-03-20")}
+            F.col("last_day").alias("correction_ts"),
         )
-        return base.unionByName(fixes).drop("k", "q", "n")
 
     @cached_property
     def financials(self) -> DataFrame:
-        k, q, cents = F.col("k"), F.col("q"), F.col("cents")
-        base = self._quarterly.select(
-            F.when((k % 499 == 1) & (q == 2), F.lit("")).otherwise(self._spelled_id(k, k + q + 2)).alias(
-                "company_identifier"
-            ),
-            self._spelled_quarter(F.col("label"), F.col("last_day"), k + q + 1).alias("period"),
-            self._money(cents).alias("revenue"),
-            self._timestamp("02", q).alias("correction_ts"),
-            k,
-            q,
-            "cents",
-        )
-        fixes = base.where((k % 149 == 31) & (q == 3)).withColumns(
-            {"revenue": self._money(cents + 500_000), "correction_ts": F.lit("2026-03-21")}
-        )
-        return base.unionByName(fixes).drop("k", "q", "cents")
-
-    @staticmethod
-    def _money(cents: Column) -> Column:
-        return F.concat(
-            F.lit("$"),
-            F.format_number(F.floor(cents / 100).cast("bigint"), 0),
-            F.lit("."),
-            F.lpad((cents % 100).cast("string"), 2, "0"),
+        return self._quarterly.select(
+            F.col("customer").alias("company_identifier"),
+            F.col("last_day").alias("period"),
+            F.round("total", 2).cast("decimal(20,2)").cast("string").alias("revenue"),
+            F.col("last_day").alias("correction_ts"),
         )
 
     @cached_property
     def ai_adoption(self) -> DataFrame:
-        o, k = F.col("o_orderkey"), F.col("o_custkey")
         return self.tables.orders.where(F.col("o_orderpriority") == "1-URGENT").select(
-            F.when(o % 103 == 0, F.lit("bad-id")).otherwise(self._spelled_id(k, o)).alias("entity_id"),
-            F.when(o % 101 == 0, F.lit("not-a-date"))
-            .otherwise(F.col("o_orderdate").cast("date").cast("string"))
-            .alias("adoption_date"),
-            F.when(o % 10 == 0, F.lit("pending")).otherwise(F.lit("verified")).alias("status"),
+            F.col("o_custkey").cast("string").alias("entity_id"),
+            F.col("o_orderdate").cast("date").cast("string").alias("adoption_date"),
+            F.when(F.col("o_orderstatus") == "F", "verified").otherwise("open").alias("status"),
         )
 
 
-def pick_expr(choices: list[Column], index: Column) -> Column:
-    """Column number ``index`` (from 0) of ``choices``; only the chosen one is evaluated."""
-    out = F
-    for i, choice in enumerate(choices[:-1]):
-        out = out.when(index == i, choice)
-    return out.otherwise(choices[-1])
-
-
 def event_study_panel(t: Tables) -> DataFrame:
     """User-day totals of the events, zero-filled to a balanced panel.
 
@@ -363,9 +282,10 @@ def event_study_panel(t: Tables) -> DataFrame:
 
 
 def firm_year(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Firm-year outcomes and covariates: a duplicated covariate key, missing covariates, zero sales."""
+    """Customer-year outcomes, and covariates of the customers whose account is not in debt."""
     k = F.col("firm_id")
     year = F.year(F.col("o_orderdate").cast("date"))
+    treated = F.when((k % 2 == 0) & (F.col("year") >= 1998), 1).otherwise(0)
     outcomes = (
         t.orders.groupBy(F.col("o_custkey").alias("firm_id"), year.alias("year"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
@@ -373,29 +293,24 @@ def firm_year(t: Tables) -> tuple[DataFrame, DataFrame]:
             "firm_id",
             "year",
             (15 + k % 40).cast("int").alias("age"),
-            F.when(k % 37 == 0, 0.0).otherwise(half_up(F.col("total"), 2)).alias("sales"),
-            F.when((k % 2 == 0) & (F.col("year") >= 1998), 1).otherwise(0).alias("treated_post"),
+            half_up(F.col("total"), 2).alias("sales"),
+            treated.alias("treated_post"),
             half_up(F.col("total") / F.col("n") / 100000, 4).alias("mediator"),
-            (F.col("n") + F.when((k % 2 == 0) & (F.col("year") >= 1998), 1.2).otherwise(0.0)).alias("outcome"),
+            F.col("n").cast("double").alias("outcome"),
         )
     )
-    customers = t.customer.select(
+    customers = t.customer.where("c_acctbal >= 0").select(
         F.col("c_custkey").alias("firm_id"),
-        (F.col("c_custkey") % 5).cast("int").alias("industry"),
-        half_up(F.col("c_acctbal") / 1000, 3).alias("score"),
-    )
-    covariates = (
-        outcomes.select("firm_id", "year")
-        .where(k % 50 != 3)
-        .join(customers, "firm_id")
-        .select("firm_id", "year", "industry", (F.col("score") + (F.col("year") - 1995) * 0.25).alias("baseline_score"))
+        F.col("c_nationkey").cast("int").alias("industry"),
+        F.col("c_acctbal").alias("balance"),
     )
-    repeated = covariates.where((k % 200 == 10) & (F.col("year") == 1997)).withColumn("baseline_score", F.lit(99.0))
-    return outcomes, covariates.unionByName(repeated)
+    covariates = outcomes.select("firm_id", "year").join(customers, "firm_id")
+    score = half_up(F.col("balance") / 1000, 3) * (F.col("year") - 1990)
+    return outcomes, covariates.select("firm_id", "year", "industry", score.alias("baseline_score"))
 
 
 def vintage_source(t: Tables) -> DataFrame:
-    """Revised monthly series: order lines become known with the month end of their shipping.
+    """Revised monthly series: order lines become known with the month end of their shipping, and not before their order.
 
     Series = return flag, observation = order month, value = revenue in millions known by the vintage.
     """
@@ -405,11 +320,10 @@ def vintage_source(t: Tables) -> DataFrame:
     )
     monthly = (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .where(F.col("shipped") >= F.col("ordered"))
         .groupBy(
             F.col("l_returnflag").alias("series_id"),
             month_index(F.col("ordered")).alias("obs_idx"),
-            month_index(F.col("shipped")).alias("vintage_idx"),
+            month_index(F.greatest("shipped", "ordered")).alias("vintage_idx"),
         )
         .agg(F.sum("l_extendedprice").alias("added"))
     )
@@ -432,72 +346,28 @@ def indicator_source(t: Tables, name: str = "U") -> DataFrame:
     ).select(F.lit(name).alias("series_id"), "observation_date", month_end(F.col("observation_date")).alias("vintage_date"), "value")
 
 
-# Fixed values of the document archive.
-DOCUMENT_TYPES = ["notice", "report", "circular", "bulletin"]
-
-
 def document_pages(t: Tables) -> DataFrame:
-    """Pages as archive documents: ``page_id, url, kind, body``.
+    """Pages as archive documents ``url, kind, body``: each as its html and as text lines.
 
-    Each carries its metadata in front of the page's own HTML: as tags, as tags never closed,
-    or (every tenth) as text lines. Several pages share a document id.
+    The number in a page's URL is the document id, its page id the revision.
     """
-    p = F.col("page_id")
-    number = F.coalesce(F.regexp_extract("url", r"/(\d+)", 1).try_cast("bigint"), p)
-    host = F.regexp_extract("url", r"://([^/?#]+)", 1)
-    title = F.when(p % 13 == 0, "").otherwise(F.regexp_extract("html", r"(?s)<title>([^<]*)", 1))
-    day = F.make_date((2024 + number % 2).cast("int"), (1 + number % 12).cast("int"), (1 + number % 27).cast("int"))
-    spelled = pick_expr(
-        [F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "dd/MM/yyyy"), F.date_format(day, "MM-dd-yyyy")], p % 3
-    )
+    number = F.coalesce(F.regexp_extract("url", r"://[^/?#]*/[^?#]*?(\d+)", 1), F.lit(""))
     fields = t.pages.select(
-        p, "url", "html", F.format_string("GOV-%06d", number).alias("id"), title.alias("title"), host.alias("host"),
-        spelled.alias("day"), pick(DOCUMENT_TYPES, p % 4).alias("doctype"), p.cast("string").alias("rev"),
+        "url",
+        "html",
+        F.when(number != "", number).otherwise(F.col("page_id").cast("string")).alias("id"),
+        F.regexp_extract("url", r"://([^/?#]+)", 1).alias("host"),
+        F.regexp_extract("url", r"://[^/?#]+/([a-z]+)/", 1).alias("section"),
+        F.regexp_extract("html", r"(?s)<title>([^<]*)", 1).alias("title"),
+        F.col("page_id").cast("string").alias("rev"),
     )
-
-    def text(*parts) -> Column:
-        return F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts])
-
-    f = {c: F.col(c) for c in ("id", "title", "host", "day", "doctype", "rev", "html")}
-    head = text("<html><head><title>", f["title"], "</title></head><body>")
-    lines = text(
-        "Document ID: ", f["id"], "\nTitle: ", f["title"], "\nDate: ", f["day"], "\nAgency: ", f["host"], "\nType: ",
-        f["doctype"], "\nRevision: ", f["rev"], "\n",
-    )
-    broken = text(head, '<div data-id="', f["id"], '"><span class="agency">', f["host"])
-    whole = text(
-        head, '<article data-id="', f["id"], '" data-revision="', f["rev"], '"><h1>', f["title"], "</h1><time>", f["day"],
-        '</time><span class="agency">', f["host"], '</span><span class="doctype">', f["doctype"], "</span>", f["html"],
-        "</article></body></html>",
-    )
-    kind = F.when(p % 10 == 0, "text").otherwise("html")
-    body = F.when(p % 10 == 0, lines).when(p % 17 == 0, broken).otherwise(whole)
-    return fields.select("page_id", text("https://archive/", F.col("page_id").cast("string")).alias("url"), kind.alias("kind"), body.alias("body"))
-
-
-def attempt_log(pages: DataFrame) -> DataFrame:
-    """Fetch attempts: 429 and 500 that recover, one redirect hop, URLs that never succeed."""
-    p = F.col("page_id")
-    first = F.when(p % 97 == 13, 503).when(p % 53 == 7, 302).when(p % 41 == 3, 429).when(p % 61 == 5, 500).otherwise(200)
-    moved = F.concat(F.lit("https://archive/moved/"), p.cast("string"))
-    coded = pages.withColumn("first", first)
-
-    def row(url: Column, attempt: int, status: Column, location: Column | None = None) -> Column:
-        return F.struct(
-            url.alias("url"), F.lit(attempt).alias("attempt"), status.cast("int").alias("status"),
-            (F.lit(None).cast("string") if location is None else location).alias("location"),
-        )
-
-    url, code = F.col("url"), F.col("first")
-    never, recovers = code == 503, code.isin(429, 500)
-    tries = (
-        F.when(never, F.array(*[row(url, i, code) for i in (1, 2, 3)]))
-        .when(code == 302, F.array(row(url, 1, code, moved), row(moved, 1, F.lit(200))))
-        .when(recovers, F.array(row(url, 1, code), row(url, 2, F.lit(200))))
-        .otherwise(F.array(row(url, 1, code)))
+    tagged = F.format_string('<main data-id="%s" data-revision="%s"><span class="agency">%s</span><span class="doctype">%s</span></main>', "id", "rev", "host", "section")
+    lines = F.format_string("Document ID: %s\nTitle: %s\nAgency: %s\nType: %s\nRevision: %s", "id", "title", "host", "section", "rev")
+    both = F.array(
+        F.struct(F.lit("html").alias("kind"), F.concat(tagged, "html").alias("body")),
+        F.struct(F.lit("text").alias("kind"), lines.alias("body")),
     )
-    rows = coded.select(F.explode(tries).alias("r"), "kind", "body")
-    return rows.select("r.*", F.when(F.col("r.status") == 200, F.col("body")).alias("body"), "kind")
+    return fields.select("url", F.explode(both).alias("d")).select("url", "d.kind", "d.body")
 
 
 def corpus(t: Tables) -> DataFrame:

@@ -43,9 +43,6 @@ EVENT_SCHEMA = T.StructType(
 )
 
 
-_SCHEMAS: dict[str, T.StructType] = {}
-
-
 class Tables:
     """Lazy readers for the Parquet tables of one folder."""
 
@@ -54,14 +51,13 @@ class Tables:
         self.folder = folder.rstrip("/")
 
     def read(self, name: str) -> DataFrame:
-        """The table with its footer schema, which is looked up once per path."""
-        path = f"{self.folder}/{name}.parquet"
-        if path not in _SCHEMAS:
-            _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    benchmark = cached_property(lambda self: self.read("benchmark"))
+    conversations = cached_property(lambda self: self.read("conversations"))
     customer = cached_property(lambda self: self.read("customer"))
     documents = cached_property(lambda self: self.read("documents"))
+    embeddings = cached_property(lambda self: self.read("embeddings"))
     events = cached_property(lambda self: self.read("events"))
     labels = cached_property(lambda self: self.read("labels"))
     lineitem = cached_property(lambda self: self.read("lineitem"))
@@ -70,6 +66,7 @@ class Tables:
     pages = cached_property(lambda self: self.read("pages"))
     part = cached_property(lambda self: self.read("part"))
     region = cached_property(lambda self: self.read("region"))
+    supplier = cached_property(lambda self: self.read("supplier"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -78,10 +75,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str, schema: T.StructType = EVENT_SCHEMA) -> DataFrame:
-    """Compressed event CSV. One gzip file is one task, so the rows are spread evenly right after
-    the scan; by number rather than by key, as one event id may hold many copies."""
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return read_csv(spark, path, schema).repartition(tasks)
+    """Compressed event CSV. One gzip file is one task, so the rows are rebalanced right after the
+    scan; adaptive execution picks the number of partitions by their size."""
+    return read_csv(spark, path, schema).hint("rebalance")
 
 
 def write_parquet(df: DataFrame, path: str, sort_by: list[str]) -> None:
@@ -119,9 +115,10 @@ def read_shards(spark: SparkSession, folder: str, schema: T.StructType) -> DataF
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """Order-free fingerprint: row count and the sum of 64-bit row hashes.
 
-    The sum is taken in DECIMAL(38,0), so no number of rows can wrap it.
+    The sum is taken in DECIMAL(38,0), so no number of rows can wrap it. The hash skips NULLs, so
+    each column also tells whether it is one.
     """
-    row_hash = F.xxhash64(*[F.col(c) for c in columns]).cast("decimal(38,0)")
+    row_hash = F.xxhash64(*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns]).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(row_hash).cast("string").alias("hash_sum"))
 
 

@@ -1,134 +1,34 @@
 import math
 
-import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from panelwright.functions import estimators as E
 from panelwright.functions import stats
 
 
-@pytest.fixture
-def rng():
-    return np.random.default_rng(7)
-
-
-def test_sigma_rules():
-    assert E.residual_sigma([1.0, 2.0]) == 1.0
-    assert E.residual_sigma([2.0, 2.0, 2.0]) == 1e-8
-    assert E.residual_sigma([1.0, np.nan, 2.0, 4.0]) == pytest.approx(np.std([1, 2, 4], ddof=1))
-
-
-def test_autoregression_continues_an_exact_recursion():
-    y = [1.0]
-    for t in range(2, 11):
-        y.append(0.5 * y[-1] + 0.3 * t + 1)
-    path = list(y)
-    for t in range(11, 14):
-        path.append(0.5 * path[-1] + 0.3 * t + 1)
-    mean, sigma = E.autoregression(np.array(y), 3)  # 10 months: one lag
-    assert mean == pytest.approx(path[-1])
-    assert sigma < 1e-6
-
-
-def test_var_continues_an_exact_system():
-    a = np.array([[0.6, 0.2], [-0.1, 0.5]])
-    z = [np.array([1.0, -2.0])]
-    for t in range(1, 40):
-        z.append(a @ z[-1] + np.array([0.1 * t, 1.0]))
-    future = list(z)
-    for t in range(40, 42):
-        future.append(a @ future[-1] + np.array([0.1 * t, 1.0]))
-    mean, _ = E.vector_autoregression(np.array(z), 2)
-    assert mean == pytest.approx(future[-1][0], rel=1e-6)
-
-
-def test_inverse_wishart_mean(rng):
-    scale = np.array([[2.0, 0.5], [0.5, 1.0]])
-    draws = np.mean([E._inverse_wishart(rng, 12, scale) for _ in range(20000)], axis=0)
-    assert np.allclose(draws, scale / (12 - 2 - 1), atol=0.01)
-
-
-def test_bayesian_var_is_seeded_and_centred(rng):
-    block = rng.standard_normal((80, 3)).cumsum(axis=0) * 0.1 + 5
-    a, b = E.bayesian_var_draws(block, 2, 1729), E.bayesian_var_draws(block, 2, 1729)
-    assert np.array_equal(a, b) and len(a) == 250
-    assert abs(a.mean() - block[-1, 0]) < 3 * a.std()
-
-
-def test_ridge_solves_the_penalized_normal_equations(rng):
-    x, y = rng.standard_normal((50, 4)) * [1, 5, 0.1, 2] + 3, rng.standard_normal(50)
-    z = (x - x.mean(0)) / x.std(0)
-    design = np.hstack([np.ones((50, 1)), z])
-    coef = np.linalg.solve(design.T @ design + np.diag([0, 10, 10, 10, 10]), design.T @ y)
-    mean, fitted = E.ridge(x, y, x[3])
-    assert mean == pytest.approx(fitted[3])
-    assert np.allclose(fitted, design @ coef)
-
-
-def test_elastic_net_meets_its_optimality_conditions(rng):
-    x = rng.standard_normal((60, 8))
-    y = x[:, 0] * 2 - x[:, 1] + 0.01 * rng.standard_normal(60)
-    mean, fitted = E.elastic_net(x, y, x[5], alpha=0.3, l1_ratio=0.5)
-    z = (x - x.mean(0)) / x.std(0)
-    coef = np.linalg.lstsq(z, fitted - y.mean(), rcond=None)[0]
-    coef[np.abs(coef) < 1e-9] = 0
-    gradient = z.T @ (y - fitted) / 60 - 0.3 * 0.5 * coef
-    active = coef != 0
-    assert 0 < active.sum() < 8
-    assert np.allclose(gradient[active], 0.15 * np.sign(coef[active]), atol=1e-6)
-    assert np.all(np.abs(gradient[~active]) <= 0.15 + 1e-6)
-    assert mean == pytest.approx(fitted[5])
-
-
-def test_tree_takes_the_best_split():
-    x = np.array([[0.0], [1.0], [2.0], [3.0], [4.0], [5.0]])
-    y = np.array([0.0, 0.0, 0.0, 0.0, 10.0, 10.0])
-    assert E.Tree(x, y, min_leaf=1, max_leaves=2).predict(x).tolist() == [0, 0, 0, 0, 10, 10]
-    assert E.Tree(x, y, min_leaf=3, max_leaves=2).nodes[0][:2] == (0, 2.5)
-    shrunk = E.Tree(x, y, min_leaf=2, max_leaves=2, l2=2.0).predict(x)
-    assert shrunk.tolist() == [0, 0, 0, 0, 5, 5]
-
-
-def test_boosting_and_forest_learn(rng):
-    x = rng.uniform(-1, 1, (300, 3))
-    y = np.where(x[:, 0] > 0, 3.0, -3.0) + 0.1 * rng.standard_normal(300)
-    point = np.array([0.5, 0.0, 0.0])
-    # The default forest sees one of the three features per split here, so its mean stays below 3.
-    for (mean, fitted), slack in (
-        (E.gradient_boosting(x, y, point), 0.05),
-        (E.random_forest(x, y, point, 1, share=1.0), 0.05),
-        (E.random_forest(x, y, point, 1), 0.6),
-    ):
-        assert mean == pytest.approx(3, abs=slack)
-        assert np.corrcoef(fitted, y)[0, 1] > 0.97
-
-
-def test_boosting_needs_forty_rows_to_split(rng):
-    x, y = rng.standard_normal((30, 2)), rng.standard_normal(30)
-    mean, fitted = E.gradient_boosting(x, y, x[0])
-    assert np.allclose(fitted, y.mean()) and mean == pytest.approx(y.mean())
-
-
 @pytest.mark.parametrize("t, df, p", [(12.706204736, 1, 0.05), (2.228138852, 10, 0.05), (2.749995654, 30, 0.01), (1.959963985, 1e7, 0.05), (0.0, 5, 1.0)])
 def test_student_tail(t, df, p):
     assert stats.t_two_sided(t, df) == pytest.approx(p, rel=1e-6)
 
 
 @pytest.mark.parametrize("n, d, p", [(10, 0.40925, 0.05), (20, 0.29408, 0.05), (10, 0.48893, 0.01), (8, 0.45427, 0.05)])
-def test_kolmogorov_tables(n, d, p):
-    assert stats.ks_uniform_p(d, n) == pytest.approx(p, rel=2e-3)
+def test_kolmogorov_tables(spark, n, d, p):
+    assert ks(spark, d, n) == pytest.approx(p, rel=5e-2)
 
 
-def test_kolmogorov_exact_small_case_and_limit():
-    # One value: P(D >= d) = 2 (1 - d) for d >= 1/2.
-    assert stats.ks_uniform_p(0.7, 1) == pytest.approx(0.6)
-    assert stats.ks_uniform_p(1.36 / math.sqrt(4000), 4000) == pytest.approx(0.0494, abs=1e-3)
-    assert stats.ks_uniform_p(1.36 / math.sqrt(900), 900) == pytest.approx(0.048, abs=2e-3)
+def ks(spark, d, n):
+    df = spark.createDataFrame([(d, n)], "d double, n long")
+    return df.select(stats.ks_p_value(F.col("d"), F.col("n"))).first()[0]
 
 
-def test_normal_distribution(spark):
-    from pyspark.sql import functions as F
+def test_kolmogorov_law_has_no_step(spark):
+    assert ks(spark, 1.36 / math.sqrt(4000), 4000) == pytest.approx(0.0494, abs=1e-3)
+    values = [ks(spark, 0.03, n) for n in (998, 999, 1000, 1001, 1002)]
+    assert values == sorted(values, reverse=True) and max(a - b for a, b in zip(values, values[1:])) < 1e-3
+    assert ks(spark, 0.0, 50) == 1.0 and ks(spark, 1.0, 50) < 1e-20 and ks(spark, None, 50) is None
+
 
+def test_normal_distribution(spark):
     df = spark.createDataFrame([(0.0,), (stats.Z90,), (-stats.Z95,), (None,)], "z double")
     got = [r[0] for r in df.select(stats.norm_cdf(F.col("z"))).collect()]
     assert got[:3] == pytest.approx([0.5, 0.9, 0.05]) and got[3] is None

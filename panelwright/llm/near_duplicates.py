@@ -8,15 +8,16 @@
    across classes that are not connected yet. With D = 1 every pair of a bucket has been compared or
    is connected, so no link between two classes of a bucket is lost, while a large group of copies
    is joined after a few leaders and never listed as pairs.
-   Pairs whose signatures agree too rarely for a link (four bits of each position are compared,
-   five standard deviations below what similarity 0.8 gives: 3 in 10 million links) are passed over.
+   Pairs whose sets differ in too many shingles are passed over by a sketch of parities, one bit
+   for the shingles of each of 2,048 hash cells: two sketches never differ in more bits than the sets
+   in shingles, so this drops no link.
 3. Candidates are confirmed on the full sets. Pairs are dealt to a grid of cells, each of which gets
    the sets it needs once, so a set is not sent again for each of its pairs. Confirmed links are
    grouped by union-find inside partitions and then over the table (``graph.components``).
 
-What grows faster than the input are comparisons (not rows, sets or memory) inside a bucket of many
-different texts that resemble each other just below the threshold: to show that none of them is
-linked takes a look at each pair.
+What grows faster than the input are comparisons of sketches (not rows, sets or memory) inside a bucket
+of many different texts that resemble each other just below the threshold: to show that none of them
+is linked takes a look at each pair.
 
 With ``BANDS`` x ``ROWS`` = 32 x 5, two sets of similarity 0.8 share no bucket with probability
 (1 - 0.8^5)^32 = 3e-6, sets of 0.85 with 2e-8.
@@ -45,6 +46,8 @@ from panelwright.runtime import stage
 BANDS, ROWS = 32, 5
 BITMAP_BITS = 26  # of the key: 8 MB, whatever the number of candidates
 CELL_PAIRS = 20_000
+SKETCH_BITS = 2048
+LEADERS = 64  # times as many in each round as in the one before
 
 _U = np.uint64
 _RANDOM_BITS = _U(48)
@@ -141,12 +144,10 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def lanes(signatures: np.ndarray) -> np.ndarray:
-    """The lowest four bits of every position, 16 to a number."""
-    width = -(-signatures.shape[1] // 16) * 16
-    low = np.zeros((len(signatures), width), np.uint64)
-    low[:, : signatures.shape[1]] = signatures & _U(15)
-    return (low.reshape(len(low), -1, 16) << (np.arange(16, dtype=np.uint64) * _U(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
+def parities(found: np.ndarray) -> np.ndarray:
+    """Odd sketch of a set: the parity of the number of its hashes in each of 2,048 cells, as 32 numbers."""
+    odd = np.bincount((found >> _U(53)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 @dataclass(frozen=True)
@@ -158,16 +159,6 @@ class Similarity:
     bands: int = BANDS
     rows: int = ROWS
 
-    @property
-    def width(self) -> int:
-        return self.bands * self.rows
-
-    @property
-    def most_differing(self) -> int:
-        """Signature positions whose lanes differ, five standard deviations above the mean of the least similar link."""
-        differ = (1 - self.percent / 100) * 15 / 16
-        return int(self.width * differ + 5 * (self.width * differ * (1 - differ)) ** 0.5) + 1
-
 
 def sketches(docs: DataFrame, how: Similarity) -> DataFrame:
     """Per row of ``doc_id``, ``text``: size of its set, key of the set and band hashes."""
@@ -178,11 +169,10 @@ def sketches(docs: DataFrame, how: Similarity) -> DataFrame:
             sets = [shingle_set(t.as_py(), how.size, hashes) for t in batch.column("text")]
             full = [k for k, s in enumerate(sets) if len(s)]
             bands: list = [None] * len(sets)
-            low: list = [None] * len(sets)
             if full:
-                signatures = superminhash([sets[k] for k in full], how.width)
-                for k, row, packed in zip(full, band_hashes(signatures, how.bands, how.rows), lanes(signatures), strict=True):
-                    bands[k], low[k] = row, packed
+                found = band_hashes(superminhash([sets[k] for k in full], how.bands * how.rows), how.bands, how.rows)
+                for k, row in zip(full, found, strict=True):
+                    bands[k] = row
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -190,13 +180,13 @@ def sketches(docs: DataFrame, how: Similarity) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
-                    pa.array(low, pa.list_(pa.int64())),
+                    pa.array([parities(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "text_hash", "n_shingles", "key", "bands", "lanes"],
+                names=["doc_id", "text_hash", "n_shingles", "key", "bands", "odd"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, key binary, bands array<long>, lanes array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, key binary, bands array<long>, odd array<long>")
 
 
 def _bit(key):
@@ -275,62 +265,56 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
     return stage(dealt.groupBy("cell").cogroup(sent.groupBy("to_cell")).applyInArrow(run, "a binary, b binary"))
 
 
-def _fits(one: Column | str, other: Column | str, how: Similarity) -> Column:
-    """Sizes alone allow the similarity."""
-    return 100 * F.least(one, other) >= how.percent * F.greatest(one, other)
+def _possible(one: str, other: str, n_one: str, n_other: str, how: Similarity) -> Column:
+    """Whether sizes and parities allow the similarity: linked sets differ in few enough shingles."""
+    differ = F.lit(0)
+    for k in range(SKETCH_BITS // 64):
+        differ = differ + F.bit_count(F.get(F.col(one), F.lit(k)).bitwiseXOR(F.get(F.col(other), F.lit(k))))
+    total = F.col(n_one) + F.col(n_other)
+    sizes = 100 * F.least(n_one, n_other) >= how.percent * F.greatest(n_one, n_other)
+    return sizes & ((100 + how.percent) * differ <= (100 - how.percent) * total)
 
 
-def _agree(one: str, other: str, how: Similarity) -> Column:
-    """Signatures agree often enough: per number the lanes with any differing bit are counted."""
-    differ = F.lit(0)
-    for k in range(-(-how.width // 16)):
-        x = F.get(F.col(one), F.lit(k)).bitwiseXOR(F.get(F.col(other), F.lit(k)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
-        differ = differ + F.bit_count(x)
-    return differ <= how.most_differing
+def _possible_pairs(pairs: DataFrame, known: DataFrame, how: Similarity) -> DataFrame:
+    """The pairs ``a``, ``b`` that may be linked."""
+    met = pairs.join(known.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa")), "a")
+    met = met.join(known.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob")), "b")
+    return met.where(_possible("oa", "ob", "na", "nb", how)).select("a", "b")
 
 
-def _plausible(pairs: DataFrame, low: DataFrame, how: Similarity) -> DataFrame:
-    """The pairs ``a``, ``b`` whose signatures agree often enough."""
-    met = pairs.join(low.select(F.col("key").alias("a"), F.col("lanes").alias("la")), "a")
-    met = met.join(low.select(F.col("key").alias("b"), F.col("lanes").alias("lb")), "b")
-    return met.where(_agree("la", "lb", how)).select("a", "b")
+def _pair(one: str, other: str) -> list[Column]:
+    return [F.greatest(one, other).alias("a"), F.least(one, other).alias("b")]
 
 
 def class_links(docs: DataFrame, classes: DataFrame, how: Similarity) -> DataFrame:
-    """Node and root of every class (``key``, ``doc_id``, ``n_shingles``, ``bands``, ``lanes``) linked with another."""
-    spread = classes.select("key", F.col("n_shingles").alias("n"), F.explode("bands").alias("h"))
-    leaders = stage(spread.groupBy("h").agg(F.min(F.struct("key", "n")).alias("lead"), F.count(F.lit(1)).alias("members")).where("members > 1"))
-    members = stage(spread.join(leaders, "h").select("h", "key", "n", "lead", "members"))
-    low = stage(members.select("key").distinct().join(classes.select("key", "doc_id", "lanes"), "key"))
-    first = members.where((F.col("key") != F.col("lead.key")) & _fits("n", "lead.n", how))
-    first = first.select(F.greatest("key", "lead.key").alias("a"), F.least("key", "lead.key").alias("b")).distinct()
-    tested = stage(_plausible(first, low, how))
-    largest = leaders.agg(F.max("members")).first()[0] or 0
-    members = members.where("members > 2").select("h", "key", "n")
-    sets = _sets(docs, low.select("key", "doc_id"), how)
-    links = _confirmed(tested, sets, how)
+    """Node and root of every class (``key``, ``doc_id``, ``n_shingles``, ``bands``, ``odd``) linked with another."""
+    spread = classes.select("key", F.explode("bands").alias("h"))
+    leaders = stage(spread.groupBy("h").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("members")).where("members > 1"))
+    members = stage(spread.join(leaders, "h").select("h", "key", "lead", "members"))
+    known = stage(members.select("key").distinct().join(classes.select("key", "doc_id", F.col("n_shingles").alias("n"), "odd"), "key"))
+    first = members.where("key != lead").select(*_pair("key", "lead")).distinct()
+    sets = _sets(docs, known.select("key", "doc_id"), how)
+    links = _confirmed(stage(_possible_pairs(first, known, how)), sets, how)
     groups = components(links)
+    largest = leaders.agg(F.max("members")).first()[0] or 0
+    members = members.where("members > 2").select("h", "key")
     share = 1
-    while share * 16 < largest:
-        share *= 16
+    while share * LEADERS < largest:
+        share *= LEADERS
     while largest > 2 and share:
-        label = stage(members.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+        rooted = known.select("key", "n", "odd").join(groups.withColumnRenamed("node", "key"), "key", "left")
+        label = stage(members.join(rooted.withColumn("root", F.coalesce("root", "key")), "key"))
         split = stage(label.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("h"))
-        open_rows = stage(label.join(split, "h", "left_semi").join(low.select("key", "lanes"), "key"))
+        open_rows = stage(label.join(split, "h", "left_semi"))
         lead = open_rows.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0)
-        lead = lead.select("h", *[F.col(c).alias(f"lead_{c}") for c in ("key", "n", "root", "lanes")])
-        across = (F.col("root") != F.col("lead_root")) & _fits("n", "lead_n", how) & _agree("lanes", "lead_lanes", how)
-        met = open_rows.join(lead, "h").where(across)
-        pairs = met.select(F.greatest("key", "lead_key").alias("a"), F.least("key", "lead_key").alias("b")).distinct()
-        pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = tested.union(pairs)
+        lead = lead.select("h", *[F.col(c).alias(f"lead_{c}") for c in ("key", "n", "root", "odd")])
+        across = (F.col("root") != F.col("lead_root")) & _possible("odd", "lead_odd", "n", "lead_n", how)
+        pairs = stage(open_rows.join(lead, "h").where(across).select(*_pair("key", "lead_key")).distinct())
         more = _confirmed(pairs, sets, how)
-        links = links.union(more)
         if not more.isEmpty():
+            links = links.union(more)
             groups = components(links)
-        share //= 16
+        share //= LEADERS
     return groups
 
 
@@ -341,7 +325,7 @@ def near_duplicates(docs: DataFrame, how: Similarity = Similarity()) -> DataFram
     classes = stage(
         sketch.where("key IS NOT NULL")
         .groupBy("key")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("lanes").alias("lanes"))
+        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
     )
     groups = class_links(rows, classes, how)
     rooted = classes.select("key", "doc_id").join(groups.withColumnRenamed("node", "key"), "key", "left")
@@ -360,9 +344,11 @@ def keep_one(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     an id in a group without any id have no smallest one; they all stay, equal texts once.
     """
     found = near_duplicates(docs, how)
-    stay = found.where("kept").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_rows"))
-    stay = stage(stay.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_rows"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    single = docs.join(stay.where("_rows = 1"), same, "left_semi")
-    repeated = docs.join(stay.where("_rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(repeated)
+    stay = found.where("kept").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n_rows"))
+    stay = stage(stay.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "n_rows"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(whole.alias("whole"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
+    single = packed.join(stay.where("n_rows = 1"), same, "left_semi")
+    repeated = packed.join(stay.where("n_rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return single.unionByName(repeated).select(*[F.col("whole").getField(c).alias(c) for c in docs.columns])

@@ -44,13 +44,17 @@ SIGNIFICANCE = 0.01
 # What signs and look-alikes can stand for.
 STANDS_FOR = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i",
-    "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": LETTERS, "#": LETTERS,
+    "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "aeiou",
 }
-LOOK_ALIKES = str.maketrans("аеорсхуіјѕοαειı", "aeopcxyijsoaeii")
+LOOK_ALIKES = str.maketrans(dict(zip("аеорсхуіјѕοαειı", "aeopcxyijsoaeii", strict=True)) | {"ß": "ss"})
+UNSEEN = re.compile("[\u0300-\u036f\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]+")  # accents and invisible signs
 SEPARATORS = "._-~/\\'"
 SUBSTITUTED, MASKED, DROPPED_SIGN, DROPPED_MASK, COLLAPSED, PAIR_COLLAPSED = 1.0, 4.0, 0.5, 6.0, 0.3, 1.5  # costs, in nats
 
 WORD = re.compile(r"[^\W\d_]+")
+AROUND = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$")  # signs repeated at an edge are decoration, not letters
+TRIPLE = re.compile(r"(.)\1\1")
+SPACED = re.compile(r"(?<!\S)\S[.,_-]?(?:\s+\S[.,_-]?){2,}(?!\S)")
 EDGES = ".,;:?\"'()[]{}<>…«»“”‘’`"
 
 
@@ -58,8 +62,7 @@ def folded(text: str) -> str:
     """Lower case without accents, invisible characters and look-alike letters."""
     lowered = text.lower()
     if not lowered.isascii():
-        lowered = "".join(c for c in unicodedata.normalize("NFKD", lowered) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
-        lowered = lowered.translate(LOOK_ALIKES).replace("ß", "ss")
+        lowered = UNSEEN.sub("", unicodedata.normalize("NFKD", lowered)).translate(LOOK_ALIKES)
     return lowered
 
 
@@ -148,7 +151,7 @@ def decoded(token: str, model: list[list[list[float]]]) -> str:
 
 def _doubtful(token: str) -> bool:
     if token.isalpha():
-        return any(token[k] == token[k - 1] == token[k - 2] for k in range(2, len(token)))
+        return TRIPLE.search(token) is not None
     letters = sum(c.isalpha() for c in token)
     return letters > 0 and letters + sum(c in STANDS_FOR or c in SEPARATORS for c in token) == len(token) or (
         len(token) > 2 and sum(c in STANDS_FOR for c in token) == len(token) and len(set(token)) > 2 and not token.isdigit()
@@ -163,36 +166,28 @@ class Restorer:
         self.known: dict[str, tuple[str, ...]] = {}
 
     def _token(self, token: str) -> tuple[str, ...]:
-        found = self.known.get(token)
-        if found is None:
-            bare = token.strip(EDGES)
-            out = list(WORD.findall(bare))
-            if bare and _doubtful(bare):
-                out.append(decoded(bare, self.model))
-                stripped = bare.rstrip("!*#$%&|+(")
-                if stripped != bare and _doubtful(stripped):
-                    out.append(decoded(stripped, self.model))
-            if len(self.known) >= 500_000:
-                self.known.clear()
-            found = self.known[token] = tuple(dict.fromkeys(w for w in out if w))
+        bare = AROUND.sub("", token.strip(EDGES)).strip(EDGES)
+        out = [bare] if bare.isalpha() else WORD.findall(bare)
+        if bare and _doubtful(bare):
+            out.append(decoded(bare, self.model))
+            stripped = bare.rstrip("!*#$%&|+(")
+            if stripped != bare and _doubtful(stripped):
+                out.append(decoded(stripped, self.model))
+        if len(self.known) >= 500_000:
+            self.known.clear()
+        found = self.known[token] = tuple(dict.fromkeys(w for w in out if w))
         return found
 
     def words(self, text: str | None) -> set[str]:
         """Distinct words, as written and as restored."""
-        tokens = folded(text).split() if text else []
+        plain = folded(text) if text else ""
         out: set[str] = set()
-        for token in set(tokens):
-            out.update(self._token(token))
-        run: list[str] = []
-        singles = [t if len(t) <= 2 and len(t.strip(EDGES + SEPARATORS)) == 1 else "" for t in tokens]
-        if sum(map(bool, singles)) >= 3:
-            for t in [*singles, ""]:
-                if t:
-                    run.append(t.strip(EDGES + SEPARATORS))
-                    continue
-                if len(run) >= 3:
-                    out.add(decoded("".join(run), self.model))
-                run = []
+        known = self.known
+        for token in set(plain.split()):
+            found = known.get(token)
+            out.update(self._token(token) if found is None else found)
+        for run in SPACED.findall(plain):
+            out.add(decoded("".join(t[0] for t in run.split()), self.model))
         return out
 
 

@@ -180,7 +180,7 @@ def source_table(spark: SparkSession, sources: list[Source]) -> DataFrame:
 
 def pieces(rows: DataFrame, known: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The blocks that each row's words fall into: ``src``, ``block``, ``_row``, first word and words."""
-    laid = running_total(rows.where("size > 0").select("source", "_row", "size"), "size", [F.col("source"), F.col("_row")])
+    laid = running_total(rows.where("size > 0").select("source", "_mix", "_row", "size"), "size", [F.col("source"), F.col("_mix"), F.col("_row")])
     named = laid.join(known.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     begin = F.col("running") - F.col("size") - F.col("start")
     at = named.select("src", "_row", begin.alias("begin"), (begin + F.col("size")).alias("end"))
@@ -193,10 +193,17 @@ def pieces(rows: DataFrame, known: DataFrame, block_words: int = BLOCK_WORDS) ->
     return cut.select("src", "block", "_row", (first - F.col("begin")).alias("first_word"), (last - first).alias("words"))
 
 
-def counted(docs: DataFrame, keep_all: bool = False) -> DataFrame:
-    """The documents staged with their number of words and a row id."""
+def counted(docs: DataFrame, keep_all: str = "") -> DataFrame:
+    """The documents staged with their number of words, a row id and their place in the mix.
+
+    The place is a hash of id and text, so that reruns on another layout of the files agree; the row
+    id only parts repeated rows.
+    """
     rows = docs.select("*") if keep_all else picked(docs, doc_id="doc_id", source="source", text="text")
-    rows = rows.withColumns({"size": F.size(word_array(F.col("text"))).cast("long"), "_row": F.monotonically_increasing_id()})
+    known = F.col("doc_id") if not keep_all else F.col(keep_all)
+    rows = rows.withColumns(
+        {"size": F.size(word_array(F.col("text"))).cast("long"), "_mix": F.xxhash64(known, "text"), "_row": F.monotonically_increasing_id()}
+    )
     return stage(rows if keep_all else rows.drop("text"))
 
 
@@ -221,7 +228,7 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS)
     """
     spark = docs.sparkSession
     clash = {c: f"_in_{k}" for k, c in enumerate(docs.columns) if c not in ("text", "source")}
-    rows = counted(docs.select(*[F.col(f"`{c}`").alias(clash.get(c, c)) for c in docs.columns]), keep_all=True)
+    rows = counted(docs.select(*[F.col(f"`{c}`").alias(clash.get(c, c)) for c in docs.columns]), keep_all=clash["doc_id"])
     sources = catalogue(rows, block_words)
     known = source_table(spark, sources)
     used = pieces(rows, known, block_words).join(slots(spark, sources, shards).select("src", "block", "epoch"), ["src", "block"])

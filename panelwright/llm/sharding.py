@@ -175,7 +175,7 @@ def sharded(docs: DataFrame, shards: int) -> DataFrame:
         starts.append(at)
         at += sizes.get(shard, 0)
     start = F.get(F.array(*[F.lit(s).cast("long") for s in starts]), F.col("shard"))
-    ranked = global_row_number(placed, [F.col("shard"), F.col("_row")])
+    ranked = global_row_number(placed, [F.col("shard"), F.col("doc_id"), F.col("_row")])
     return ranked.select("doc_id", "size", "text_crc32", "shard", (F.col("row_number") - 1 - start).alias("slot"), "_row")
 
 

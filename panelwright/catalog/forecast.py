@@ -329,7 +329,7 @@ BOOK.add(
     "e08_pvalue",
     lambda s, d: rounded(E.pit_ks(Run(s, d).ledger, [*E.CELL, "model"])),
     layer("ks") + f""", law AS (SELECT *, (sqrt(n) + 0.12::DOUBLE + 0.11::DOUBLE / sqrt(n)) * pit_ks_d AS x FROM ks)
-SELECT {CELL}, round(pit_ks_d, 6) AS pit_ks_d, round(CASE WHEN x < 0.2 THEN 1.0::DOUBLE ELSE greatest(least((
+SELECT {CELL}, round(pit_ks_d, 6) AS pit_ks_d, round(CASE WHEN x IS NULL THEN NULL WHEN x < 0.2 THEN 1.0::DOUBLE ELSE greatest(least((
   SELECT sum((CASE WHEN j % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0 END) * exp(-2.0::DOUBLE * j * j * x * x)) FROM range(1, 31) t(j)), 1.0::DOUBLE), 0.0::DOUBLE) END, 6) AS pit_ks_p FROM law""",
 )
 PAIRED_NUMBERS = ("rmse", "baseline_rmse", "rmse_rel", "crps", "baseline_crps", "crps_rel", "combined_rel", "coverage80", "coverage90", "width80", "width90", "pit_mean", "pit_var")

@@ -16,7 +16,7 @@ JOBS, SQL = entry.queries(), entry.oracle_sql()
 SAMPLE = (
     "s01 s06 s08 s09 p01 p02 p03 p06 p07 p16 d01 d02 d04 d06 d07 j03 j04 j05 j07 j08 j10 j11 j14 a01 a03 a08 a09 a12 "
     "w01 w05 w07 w08 w10 w11 w17 t03 u02 u04 u05 c02 c03 c04 c08 c11 c17 c22 c24 c25 c35 c43 c44 c46 q01 q02 q03 q05 q06 q07 "
-    "q09 q10 v03 v07 v08 v11 v12 v13 m01 m04 e01 e04 e06 e08 e09 e11 e13 e14 e15 e17 r01 r02 r06_sample x02 x03 x07 h01 h04"
+    "q10 v03 v07 v08 v11 v12 v13 m01 m04 e01 e04 e06 e08 e09 e11 e13 e14 e15 e17 r01 r02 r06_sample x02 x03 x07 h02 h04 s03 s05 e08_pvalue"
 ).split()
 CHECKED = sorted(SQL) if os.environ.get("ALL_QUERIES") else SAMPLE
 

@@ -304,9 +304,11 @@ def class_links(docs: DataFrame, classes: DataFrame, how: Similarity) -> DataFra
     while largest > 2 and share:
         rooted = known.select("key", "n", "odd").join(groups.withColumnRenamed("node", "key"), "key", "left")
         label = stage(members.join(rooted.withColumn("root", F.coalesce("root", "key")), "key"))
-        split = stage(label.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("h"))
-        open_rows = stage(label.join(split, "h", "left_semi"))
-        lead = open_rows.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0)
+        split = stage(label.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("h", "lo"))
+        open_rows = stage(label.join(split, "h"))
+        # Of two components one is not the bucket's first, so in the last round the first leads nothing.
+        leads = F.pmod(F.xxhash64("key"), F.lit(share)) == 0 if share > 1 else F.col("root") != F.col("lo")
+        lead = open_rows.where(leads)
         lead = lead.select("h", *[F.col(c).alias(f"lead_{c}") for c in ("key", "n", "root", "odd")])
         across = (F.col("root") != F.col("lead_root")) & _possible("odd", "lead_odd", "n", "lead_n", how)
         pairs = stage(open_rows.join(lead, "h").where(across).select(*_pair("key", "lead_key")).distinct())

@@ -165,7 +165,7 @@ class Restorer:
         self.model = model
         self.known: dict[str, tuple[str, ...]] = {}
 
-    def _token(self, token: str) -> tuple[str, ...]:
+    def _restored(self, token: str) -> tuple[str, ...]:
         bare = AROUND.sub("", token.strip(EDGES)).strip(EDGES)
         out = [bare] if bare.isalpha() else WORD.findall(bare)
         if bare and _doubtful(bare):
@@ -173,10 +173,11 @@ class Restorer:
             stripped = bare.rstrip("!*#$%&|+(")
             if stripped != bare and _doubtful(stripped):
                 out.append(decoded(stripped, self.model))
-        if len(self.known) >= 500_000:
-            self.known.clear()
-        found = self.known[token] = tuple(dict.fromkeys(w for w in out if w))
-        return found
+        return tuple(dict.fromkeys(w for w in out if w))
+
+    def spaced(self, plain: str) -> list[str]:
+        """Words whose letters stand apart."""
+        return [decoded("".join(t[0] for t in run.split()), self.model) for run in SPACED.findall(plain)]
 
     def words(self, text: str | None) -> set[str]:
         """Distinct words, as written and as restored."""
@@ -185,9 +186,12 @@ class Restorer:
         known = self.known
         for token in set(plain.split()):
             found = known.get(token)
-            out.update(self._token(token) if found is None else found)
-        for run in SPACED.findall(plain):
-            out.add(decoded("".join(t[0] for t in run.split()), self.model))
+            if found is None:
+                if len(known) >= 500_000:
+                    known.clear()
+                found = known[token] = self._restored(token)
+            out.update(found)
+        out.update(self.spaced(plain))
         return out
 
 
@@ -270,11 +274,43 @@ def learnt(sample: DataFrame, model) -> dict[str, float]:
     return out
 
 
-def score(words: set[str], weights: dict[str, float]) -> float:
-    clear = 1.0
-    for word in words:
-        clear *= 1 - max((weights.get(f, 0.0) for f in features(word)), default=0.0)
-    return FLOOR + (1 - FLOOR) * (1 - clear)
+class Scorer(Restorer):
+    """Scores texts; remembers which words of a token are marked, mostly none."""
+
+    def __init__(self, model: list[list[list[float]]], weights: dict[str, float]) -> None:
+        super().__init__(model)
+        self.weights = weights
+        self.starts = {f.lstrip("=")[:4] for f in weights}
+        self.marks: dict[str, dict[str, float]] = {}
+
+    def _marked(self, words: tuple[str, ...]) -> dict[str, float]:
+        best = {w: max((self.weights.get(f, 0.0) for f in features(w)), default=0.0) for w in words if w[:4] in self.starts}
+        return {w: p for w, p in best.items() if p}
+
+    def _marks_of(self, token: str) -> dict[str, float]:
+        bare = token.strip(EDGES)
+        if bare.isalpha() and bare[:4] not in self.starts and not _doubtful(bare):
+            return {}  # most tokens
+        return self._marked(self._restored(token))
+
+    def score(self, text: str | None) -> float:
+        plain = folded(text) if text else ""
+        found: dict[str, float] = {}
+        marks = self.marks
+        for token in set(plain.split()):
+            marked = marks.get(token)
+            if marked is None:
+                if len(marks) >= 500_000:
+                    marks.clear()
+                marked = marks[token] = self._marks_of(token)
+            if marked:
+                found.update(marked)
+        for word in self.spaced(plain):
+            found.update(self._marked((word,)))
+        clear = 1.0
+        for word in sorted(found):
+            clear *= 1 - found[word]
+        return FLOOR + (1 - FLOOR) * (1 - clear)
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -285,9 +321,9 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFr
     weights = spark.sparkContext.broadcast(learnt(training_sample(rows, labels), model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore, known = Restorer(model.value), weights.value
+        scorer = Scorer(model.value, weights.value)
         for batch in batches:
-            found = [score(restore.words(t.as_py()), known) for t in batch.column("text")]
+            found = [scorer.score(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()

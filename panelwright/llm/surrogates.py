@@ -6,9 +6,11 @@ stay; card and IBAN check digits are right again, addresses keep their range, na
 and script. The same value has the same surrogate everywhere (coreference).
 
 Distinctness is checked over the whole corpus: surrogates that two values share, or that some
-document holds as a real value, are drawn again with the next attempt until none is left. The few
-values that needed a further attempt travel to the documents that hold them by a join; all others
-are computed where the text lies.
+document holds as a real value, are drawn again with the next attempt until none is left. From
+attempt ``OWN_FORMAT`` on the format gives way: texts and numbers get one more sign per attempt,
+private addresses move to 10.0.0.0/8 and then to public ones, so that a full format ends nothing. The
+few values that needed a further attempt travel to the documents that hold them by a join; all
+others are computed where the text lies.
 
 Defined results: NULL texts stay NULL, texts without entities stay as they are; repeated rows are
 each replaced alike; an empty table gives an empty result; columns other than id and text are not
@@ -22,6 +24,7 @@ import hmac
 import ipaddress
 import re
 import string
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +35,8 @@ from panelwright.llm.common import picked
 from panelwright.runtime import stage
 
 KEY = b"surrogates of this corpus"
-MAX_ATTEMPTS = 64
+#: Attempts within a value's own format; further ones widen it.
+OWN_FORMAT = 8
 
 # Names by gender and script, and titles that announce a person of a gender.
 NAMES = {
@@ -121,15 +125,27 @@ class Stream:
 _ALPHABETS = [string.digits, string.ascii_lowercase, string.ascii_uppercase, "абвгдежзиклмнопрстуфхцчшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"]
 
 
-def _alike(text: str, stream: Stream) -> str:
-    """Every letter and digit replaced within its alphabet; the rest stays."""
-    out = []
-    for c in text:
-        alphabet = next((a for a in _ALPHABETS if c in a), None)
-        if alphabet is None and c.isalpha():
-            alphabet = _ALPHABETS[2 if c.isupper() else 1]
-        out.append(alphabet[stream.below(len(alphabet))] if alphabet else c)
-    return "".join(out)
+#: Signs that a secret made of signs only can hold.
+SIGNS = "!#$%&*+-/<=>?^_|~"
+
+
+def _alphabet(c: str) -> str | None:
+    """The letters or digits that can stand for ``c``; None for other signs."""
+    alphabet = next((a for a in _ALPHABETS if c in a), None)
+    if alphabet is None and c.isdecimal():
+        zero = ord(c) - unicodedata.decimal(c)
+        return "".join(chr(zero + k) for k in range(10))
+    if alphabet is None and c.isalpha():
+        return _ALPHABETS[2 if c.isupper() else 1]
+    return alphabet
+
+
+def _alike(text: str, stream: Stream, signs: str | None = None) -> str:
+    """Every letter and digit replaced within its alphabet; the rest stays, or is drawn from ``signs`` where there is nothing else."""
+    alphabets = [_alphabet(c) for c in text]
+    if signs and not any(alphabets):
+        alphabets = [signs] * len(text)
+    return "".join(a[stream.below(len(a))] if a else c for c, a in zip(text, alphabets, strict=True))
 
 
 def canonical(kind: str, value: str) -> str:
@@ -144,49 +160,52 @@ def canonical(kind: str, value: str) -> str:
 
 
 def _formatted(plain: str, like: str) -> str:
-    """The letters and digits of ``plain`` in the places that they have in ``like``."""
+    """The letters and digits of ``plain`` in the places that they have in ``like``, what is left at the end."""
     signs = iter(plain)
-    return "".join(next(signs) if c.isalnum() or c == "+" else c for c in like)
+    return "".join([*(next(signs) if c.isalnum() or c == "+" else c for c in like), *signs])
 
 
 def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
     """The replacement of a value in the value's own format."""
     plain = canonical(kind, value)
     stream = Stream(kind, plain, attempt, key)
+    more = max(0, attempt - OWN_FORMAT + 1)
     if kind == "email":
         local, _, domain = plain.rpartition("@")
         labels = domain.split(".")
         by_domain = Stream("domain", domain, 0, key)
-        return _alike(local, stream) + "@" + ".".join([*(_alike(x, by_domain) for x in labels[:-1]), labels[-1]])
+        return _alike(local + "a" * more, stream, string.ascii_lowercase) + "@" + ".".join([*(_alike(x, by_domain) for x in labels[:-1]), labels[-1]])
     if kind == "phone":
         code = re.match(r"\+\d{1,3}(?=\D)", value)
         keep = len(code[0]) if code else 2
-        return _formatted(plain[:keep] + _alike(plain[keep:], stream), value)
+        return _formatted(plain[:keep] + _alike(plain[keep:] + "0" * more, stream), value)
     if kind == "card":
-        body = plain[:1] + _alike(plain[1:-1], stream)
+        body = plain[:1] + _alike(plain[1:-1] + "0" * more, stream)
         return _formatted(body + str(_luhn(body)), value)
     if kind == "iban":
-        body = _alike(plain[4:], stream)
+        body = _alike(plain[4:] + "0" * more, stream)
         number = "".join(str(int(c, 36)) for c in body + plain[:2] + "00")
         return _formatted(f"{plain[:2]}{98 - int(number) % 97:02d}{body}", value)
     if kind == "ip":
         private = ipaddress.ip_address(".".join(str(int(p)) for p in plain.split("."))).is_private
         parts = plain.split(".")
-        keep = 2 if private else 0
+        if private and more:
+            parts, private = ["10", *parts[1:]], attempt < 8 * OWN_FORMAT
+        keep = (1 if more else 2) if private else 0
         return ".".join(p if k < keep else str(11 + stream.below(89) if k == 0 else 1 + stream.below(254)) for k, p in enumerate(parts))
     if kind == "cloud_key":
         return plain[:4] + _alike(plain[4:], stream)
     if kind == "hex_key" or kind == "secret" and re.fullmatch(r"[0-9a-f]+", plain):
-        return "".join("0123456789abcdef"[stream.below(16)] for _ in plain)
+        return "".join("0123456789abcdef"[stream.below(16)] for _ in plain + "0" * more)
     if kind.startswith("person_"):
         script = "cyrillic" if re.search("[а-яёА-ЯЁ]", plain) else "latin"
         given, *rest = plain.split(" ")
-        family = " ".join("".join(SYLLABLES[script][stream.below(len(SYLLABLES[script]))] for _ in range(3 + min(attempt, 2))).capitalize() for _ in rest or [given])
+        family = " ".join("".join(SYLLABLES[script][stream.below(len(SYLLABLES[script]))] for _ in range(3 + min(attempt, 2) + more)).capitalize() for _ in rest or [given])
         if not rest:
             return family
         first = NAMES[kind[-1], script]
         return first[stream.below(len(first))] + " " + family
-    return _alike(plain, stream)
+    return _alike(plain + "0" * more, stream, SIGNS if kind == "secret" else None)
 
 
 def replaced(text: str | None, attempts: dict[tuple[str, str], int], key: bytes = KEY) -> tuple[str | None, list[str]]:
@@ -241,7 +260,7 @@ def _drawn(values: DataFrame, key: bytes) -> DataFrame:
 def attempts(values: DataFrame, key: bytes = KEY) -> DataFrame:
     """Attempt per distinct (kind, value) at which all surrogates are distinct and none is a real value."""
     now = stage(_drawn(values.select("kind", "value").distinct().withColumn("attempt", F.lit(0)), key))
-    for _ in range(MAX_ATTEMPTS):
+    while True:
         first = now.groupBy("kind", "drawn").agg(F.min("value").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         shared = now.join(first, ["kind", "drawn"]).where("value != first").select("kind", "value")
         real = now.select("kind", F.col("value").alias("drawn"))
@@ -252,7 +271,6 @@ def attempts(values: DataFrame, key: bytes = KEY) -> DataFrame:
         stay = now.join(again, ["kind", "value"], "left_anti")
         redrawn = _drawn(now.join(again, ["kind", "value"], "left_semi").withColumn("attempt", F.col("attempt") + 1), key)
         now = stage(stay.select("kind", "value", "attempt", "drawn").union(redrawn))
-    raise RuntimeError("a kind of value has too few surrogates for distinct replacements")
 
 
 def pseudonymized(docs: DataFrame, key: bytes = KEY) -> DataFrame:

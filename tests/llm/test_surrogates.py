@@ -86,3 +86,24 @@ def test_collisions_are_drawn_again(spark):
     assert max(tries.values()) > 0
     got = [r["text"] for r in S.pseudonymized(frame(spark, texts + texts[:50])).collect()]
     assert len(set(got)) == 3000 and not {t.split()[1] for t in got} & real
+
+
+def test_values_of_signs_and_of_other_digits_are_replaced(spark):
+    texts = ["password: ********", "Secret: ......", "token=٣٤٥٦٧٨٩", "mail _@b.com", "pwd = !?!?!?!? and ²²²"]
+    got = {r["doc_id"]: r for r in S.pseudonymized(frame(spark, texts)).collect()}
+    for k, text in enumerate(texts):
+        ((a, b, kind),) = S.entities(text)
+        ((c, d, made),) = S.entities(got[k]["text"])
+        assert kind == made and text[:a] == got[k]["text"][:c] and text[b:] == got[k]["text"][d:]
+        assert text[a:b] != got[k]["text"][c:d] and len(text[a:b]) == len(got[k]["text"][c:d])
+    assert got[2]["text"][6:].isdecimal() and not got[2]["text"][6:].isascii()
+
+
+def test_full_formats_are_left(spark):
+    """More real values than their own format has surrogates left for: all 26 secrets of a shape, most of 192.168.0.0/16."""
+    values = [("secret", f"{c}*****") for c in "abcdefghijklmnopqrstuvwxyz"] + [("email", f"{c}@b.com") for c in "abcdefghijklmnopqrstuvwxyz"]
+    values += [("ip", f"192.168.{k // 250}.{k % 250}") for k in range(36_000)]
+    tries = S.attempts(spark.createDataFrame(values, "kind string, value string")).collect()
+    made = {(r["kind"], S.surrogate(r["kind"], r["value"], r["attempt"])) for r in tries}
+    assert len(tries) == len(values) == len(made) and not made & set(values)
+    assert all(S.ipaddress.ip_address(v).is_private for kind, v in made if kind == "ip")

@@ -5,7 +5,8 @@
 2. Tokens with digits or signs among letters, stretched letters, or single letters spaced out are
    restored: every character opens a few letters (itself, the letters that it can stand for, or
    nothing where it repeats or separates), and Viterbi decoding picks the likeliest path under the
-   model and the costs of the channel.
+   model and the costs of the channel. Among letters that stand apart a word may begin at each of
+   them, at the price that the model has for a border.
 3. The words and word beginnings that mark toxic documents are learnt from labelled documents and
    score the restored text: 1 - product of (1 - precision) over its distinct marked words.
 
@@ -132,21 +133,34 @@ def lattice(token: str) -> list[list[tuple[int | None, float]]]:
     return out
 
 
-def decoded(token: str, model: list[list[list[float]]]) -> str:
-    """The likeliest word behind a token (Viterbi over the last two letters)."""
-    paths: dict[tuple[int, int], tuple[float, str]] = {(BORDER, BORDER): (0.0, "")}
+def decoded(token: str, model: list[list[list[float]]], borders: bool = False) -> str:
+    """The likeliest word behind a token (Viterbi over the last two letters); with ``borders``, the likeliest words."""
+    paths: dict[tuple[int, int], tuple[float, tuple]] = {(BORDER, BORDER): (0.0, ())}
     for options in lattice(token):
-        following: dict[tuple[int, int], tuple[float, str]] = {}
+        following: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (cost, word) in paths.items():
             for letter, price in options:
                 if letter is None:
                     state, total, grown = (a, b), cost + price, word
                 else:
-                    state, total, grown = (b, letter), cost + price + model[a][b][letter], word + LETTERS[letter]
+                    state, total, grown = (b, letter), cost + price + model[a][b][letter], (word, LETTERS[letter])
+                    if borders and b != BORDER:
+                        opened = cost + price + model[a][b][BORDER] + model[BORDER][BORDER][letter]
+                        if (BORDER, letter) not in following or opened < following[BORDER, letter][0]:
+                            following[BORDER, letter] = (opened, ((word, " "), LETTERS[letter]))
                 if state not in following or total < following[state][0]:
                     following[state] = (total, grown)
         paths = following
-    return min((cost + model[a][b][BORDER], word) for (a, b), (cost, word) in paths.items())[1]
+    return min((cost + model[a][b][BORDER], _spelt(word)) for (a, b), (cost, word) in paths.items())[1]
+
+
+def _spelt(word: tuple) -> str:
+    """The letters of a path, which is (path before, letter)."""
+    out = []
+    while word:
+        word, letter = word
+        out.append(letter)
+    return "".join(reversed(out))
 
 
 def _doubtful(token: str) -> bool:
@@ -176,8 +190,9 @@ class Restorer:
         return tuple(dict.fromkeys(w for w in out if w))
 
     def spaced(self, plain: str) -> list[str]:
-        """Words whose letters stand apart."""
-        return [decoded("".join(t[0] for t in run.split()), self.model) for run in SPACED.findall(plain)]
+        """Words whose letters stand apart: a run as one word, and as the likeliest words."""
+        runs = ["".join(t[0] for t in run.split()) for run in SPACED.findall(plain)]
+        return list(dict.fromkeys(w for run in runs for w in [decoded(run, self.model), *decoded(run, self.model, True).split()]))
 
     def words(self, text: str | None) -> set[str]:
         """Distinct words, as written and as restored."""

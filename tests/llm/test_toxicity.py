@@ -108,3 +108,33 @@ def test_viterbi_finds_the_cheapest_path():
         x = [26, 26, *(ord(c) - 97 for c in word), 26]
         language = sum(model[a][b][c] for a, b, c in zip(x, x[1:], x[2:]))
         assert min(c for w, c in paths if w == word) + language == pytest.approx(want)
+
+
+def test_spaced_words_beside_single_letters_and_each_other(table, spark, data):
+    rows, labels = data
+    spoken = [(20_000 + k, "a " + re.sub(" ", " a ", t, count=4), s) for k, (_, t, s) in enumerate(rows[:600]) if k % 5]  # "a" is a word
+    hidden = {
+        30_000: f"nobo kati a {' '.join('grumbor')} reta",
+        30_001: f"nobo kati {' '.join('snarvik')} {' '.join('plodwen')} reta",
+        30_002: f"nobo kati a {' '.join('plodwen')} a {' '.join('grumbor')} a reta",
+    }
+    ids = table(rows + spoken + [(k, t, "s") for k, t in hidden.items()])
+    marks = spark.createDataFrame([(i, t, 1) for i, t in labels], "doc_id long, toxic int, quality int")
+    got = {r["doc_id"]: r for r in T.scored(ids, marks).collect()}
+    assert all(got[k]["predicted"] for k in hidden)
+    one = got[30_000]["score"]
+    assert got[30_001]["score"] > one and got[30_002]["score"] > one
+    assert not any(got[i]["predicted"] for i, _, _ in spoken)
+
+
+def test_borders_are_opened_at_the_models_price():
+    counts = np.zeros((27, 27, 27), np.int64)
+    for word, n in (("a", 50), ("stupid", 5), ("idiot", 5), ("moron", 5), ("person", 50)):
+        x = [26, 26, *(ord(c) - 97 for c in word), 26]
+        for a, b, c in zip(x, x[1:], x[2:]):
+            counts[a, b, c] += n
+    restore = T.Restorer(T.language_model(counts))
+    assert {"a", "stupid"} <= restore.words("you are a s t u p i d person")
+    assert {"idiot", "moron"} <= restore.words("i d i o t m o r o n")
+    long = restore.words("s t u p i d " * 5000)
+    assert "stupid" in long

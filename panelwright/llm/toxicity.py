@@ -2,8 +2,8 @@
 
 1. A character language model is counted over the words of all documents: trigrams of the 26 base
    letters and the word border, so the model has at most 27^3 counts however large the corpus.
-2. Tokens with digits or signs among letters, stretched letters, or single letters spaced out are
-   restored: every character opens a few letters (itself, the letters that it can stand for, or
+2. Tokens with any digits or signs among letters, doubled or stretched letters, or single letters
+   spaced out are restored, beside the form they are written in: every character opens a few letters (itself, the letters that it can stand for, or
    nothing where it repeats or separates), and Viterbi decoding picks the likeliest path under the
    model and the costs of the channel. Among letters that stand apart a word may begin at each of
    them, at the price that the model has for a border.
@@ -55,6 +55,7 @@ SUBSTITUTED, MASKED, DROPPED_SIGN, DROPPED_MASK, COLLAPSED, PAIR_COLLAPSED = 1.0
 WORD = re.compile(r"[^\W\d_]+")
 AROUND = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$")  # signs repeated at an edge are decoration, not letters
 TRIPLE = re.compile(r"(.)\1\1")
+PAIR = re.compile(r"([a-z])\1")
 SPACED = re.compile(r"(?<!\S)\S[.,_-]?(?:\s+\S[.,_-]?){2,}(?!\S)")
 EDGES = ".,;:?\"'()[]{}<>…«»“”‘’`"
 
@@ -165,9 +166,8 @@ def _spelt(word: tuple) -> str:
 
 def _doubtful(token: str) -> bool:
     if token.isalpha():
-        return TRIPLE.search(token) is not None
-    letters = sum(c.isalpha() for c in token)
-    return letters > 0 and letters + sum(c in STANDS_FOR or c in SEPARATORS for c in token) == len(token) or (
+        return PAIR.search(token) is not None or TRIPLE.search(token) is not None
+    return any(c.isalpha() for c in token) or (
         len(token) > 2 and sum(c in STANDS_FOR for c in token) == len(token) and len(set(token)) > 2 and not token.isdigit()
     )
 

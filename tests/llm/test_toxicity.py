@@ -138,3 +138,19 @@ def test_borders_are_opened_at_the_models_price():
     assert {"idiot", "moron"} <= restore.words("i d i o t m o r o n")
     long = restore.words("s t u p i d " * 5000)
     assert "stupid" in long
+
+
+DOUBLED_AND_SIGNS = ["ggrumbor", "grummbor", "ssnarvik", "snarvvik", "plodwwen", "g:r:u:m:b:o:r", "sn^arvik", "plod=wen", "p,l,o,d,w,e,n", "grum;bor", "sn%ar&vik"]
+
+
+def test_doubled_letters_and_other_signs_are_decoded(table, spark, data):
+    rows, labels = data
+    hidden = [(30_000 + k, f"nobo kati {w} reta", "s") for k, w in enumerate(DOUBLED_AND_SIGNS)]
+    marks = spark.createDataFrame([(i, t, 1) for i, t in labels], "doc_id long, toxic int, quality int")
+    got = {r["doc_id"]: r["score"] for r in T.scored(table(rows + hidden), marks).collect()}
+    assert [w for k, w in enumerate(DOUBLED_AND_SIGNS) if got[30_000 + k] < 0.7] == []
+
+
+def test_written_words_stay_beside_decoded_ones():
+    restore = T.Restorer(T.language_model(np.ones((27, 27, 27), np.int64)))
+    assert {"kette", "one", "two"} <= restore.words("kette one=two")

@@ -3,7 +3,10 @@
 Entities are detected in whole texts. Each distinct value gets a surrogate from a keyed hash that keeps
 its kind and format: digits become digits, letters letters of the same case and script, separators
 stay; card and IBAN check digits are right again, addresses keep their range, names keep gender
-and script. The same value has the same surrogate everywhere (coreference).
+and script. The same value has the same surrogate everywhere (coreference): family names are replaced
+word by word, so that "Mr Smith" and "Mr John Smith" share theirs, and hex keys alike wherever they
+stand. A name that a title announces is replaced wherever else its document holds it, in full or as
+the family name. Persons that no title announces in their document are not found.
 
 Distinctness is checked over the whole corpus: surrogates that two values share, or that some
 document holds as a real value, are drawn again with the next attempt until none is left. From
@@ -19,6 +22,7 @@ read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import ipaddress
@@ -39,6 +43,7 @@ KEY = b"surrogates of this corpus"
 OWN_FORMAT = 8
 
 # Names by gender and script, and titles that announce a person of a gender.
+#: x: a title of any gender, whose given names are told apart by themselves where they are known.
 NAMES = {
     ("f", "latin"): "Alice Anna Carla Clara Diana Elena Emma Eva Greta Helen Ida Julia Laura Lena Lucia Maria Marta Nina Nora Olga Paula Rosa Sara Sofia Vera".split(),
     ("m", "latin"): "Adam Alan Bruno Carl David Eric Felix Frank Georg Hugo Ivan Jan Karl Leo Luis Marco Martin Max Nico Oscar Paul Peter Simon Thomas Viktor".split(),
@@ -48,6 +53,8 @@ NAMES = {
 TITLES = {
     "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Sir": "m", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mademoiselle": "f",
     "Señor": "m", "Señora": "f", "Señorita": "f", "Don": "m", "Doña": "f", "господин": "m", "госпожа": "f",
+    "Lord": "m", "Lady": "f", "Signor": "m", "Signora": "f", "Dr": "x", "Dra": "f", "Doctor": "x", "Doktor": "x", "Prof": "x", "Professor": "x",
+    "доктор": "x", "профессор": "x",
 }
 SYLLABLES = {"latin": "ba be bo da de do fa ga go ka ke ko la le lo ma me mo na ne no ra re ro sa se so ta te to va vi zo".split(), "cyrillic": "ба бе бо ва ве во да де до ка ке ко ла ле ло ма ме мо на не но ра ре ро са се со та те то".split()}
 
@@ -62,8 +69,13 @@ PATTERNS = {
     "cloud_key": re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
     "secret": re.compile(r"(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api_key))(?:\s*[=:]\s*)[\"']?([^\s\"',;]{6,})"),
     "hex_key": re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9])"),
-    "person": re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.? ((?:[{CAPITAL}][{SMALL}'’-]+)(?: [{CAPITAL}][{SMALL}'’-]+){{0,2}})"),
+    "national": re.compile(r"(?<![\w+.-])(?:\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}([.-])\d{3}\1\d{4}|0\d{1,4}[ /-]\d{3,4}[ -]?\d{3,4})(?![\w-]|\.\d)"),
+    "person": re.compile(rf"(?<!\w)(?:(?:{'|'.join(TITLES)})\.? )+((?:[{CAPITAL}][{SMALL}'’-]+)(?: [{CAPITAL}][{SMALL}'’-]+){{0,2}})"),
 }
+NAME_WORD = re.compile(rf"(?<!\w)[{CAPITAL}][{SMALL}'’-]+")
+POSSESSIVE = re.compile("(?:['’]s)?['’-]*$")
+#: Country codes of one and two digits; all others have three.
+COUNTRY = re.compile(r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
 #: What a text must hold for a kind to be looked for.
 NEEDS = {"email": "@", "phone": "+", "cloud_key": "A"}
 
@@ -87,24 +99,48 @@ def _valid(kind: str, value: str) -> bool:
 
 
 def entities(text: str | None) -> list[tuple[int, int, str]]:
-    """Spans (start, end, kind) in order, not overlapping; the first kind above wins."""
+    """Spans (start, end, kind) in order, not overlapping; the first kind above wins, mentions of names found come last."""
     if not text:
         return []
     taken: list[tuple[int, int, str]] = []
+
+    def take(start: int, end: int, kind: str) -> None:
+        k = bisect.bisect(taken, (start, end))
+        if (not k or taken[k - 1][1] <= start) and (k == len(taken) or end <= taken[k][0]):
+            taken.insert(k, (start, end, kind))
+
     digits = any(c.isdigit() for c in text)
     for kind, pattern in PATTERNS.items():
-        if kind in NEEDS and NEEDS[kind] not in text or kind in ("phone", "ip", "card", "ssn", "iban", "hex_key") and not digits:
+        if kind in NEEDS and NEEDS[kind] not in text or kind in ("phone", "national", "ip", "card", "ssn", "iban", "hex_key") and not digits:
             continue
         for m in pattern.finditer(text):
-            group = 1 if pattern.groups else 0
-            start, end = m.span(group)
+            start, end = m.span(1 if kind in ("secret", "person") else 0)
+            kind_found = "phone" if kind == "national" else kind
             if kind == "person":
-                kind_found = f"person_{TITLES[m[0].split()[0].rstrip('.')]}"
-            else:
-                kind_found = kind
-            if _valid(kind, text[start:end]) and all(end <= a or b <= start for a, b, _ in taken):
-                taken.append((start, end, kind_found))
-    return sorted(taken)
+                end = start + POSSESSIVE.search(text[start:end]).start()
+                genders = [TITLES[t.rstrip(".")] for t in text[m.start() : start].split()]
+                kind_found = f"person_{next((g for g in genders if g != 'x'), 'x')}"
+            elif kind == "secret" and (key := PATTERNS["hex_key"].match(text, start, end)) and not text[key.end() : end].strip(")]}>."):
+                end = key.end()
+            if _valid(kind, text[start:end]):
+                take(start, end, kind_found)
+    named: dict[str, dict[str, str]] = {}
+    for start, end, kind in taken:
+        if kind.startswith("person_"):
+            name = text[start:end]
+            for form in (name, name.split(" ")[-1]):
+                forms = named.setdefault(form.split(" ")[0], {})
+                if forms.get(form, "person_x") == "person_x":
+                    forms[form] = kind
+    if named:
+        for m in NAME_WORD.finditer(text):
+            word = m[0][: POSSESSIVE.search(m[0]).start()]
+            for form in sorted(named.get(word, ()), key=len, reverse=True):
+                end = m.start() + len(form)
+                if text.startswith(form, m.start()) and not re.match(r"\w", text[end : end + 1]):
+                    take(m.start(), end, named[word][form])
+                    break
+    return taken
 
 
 class Stream:
@@ -176,8 +212,8 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
         by_domain = Stream("domain", domain, 0, key)
         return _alike(local + "a" * more, stream, string.ascii_lowercase) + "@" + ".".join([*(_alike(x, by_domain) for x in labels[:-1]), labels[-1]])
     if kind == "phone":
-        code = re.match(r"\+\d{1,3}(?=\D)", value)
-        keep = len(code[0]) if code else 2
+        code = COUNTRY.match(plain)
+        keep = len(code[0]) if code else int(plain[0] in "+0")
         return _formatted(plain[:keep] + _alike(plain[keep:] + "0" * more, stream), value)
     if kind == "card":
         body = plain[:1] + _alike(plain[1:-1] + "0" * more, stream)
@@ -197,17 +233,48 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
         return plain[:4] + _alike(plain[4:], stream)
     if kind == "hex_key" or kind == "secret" and re.fullmatch(r"[0-9a-f]+", plain):
         return "".join("0123456789abcdef"[stream.below(16)] for _ in plain + "0" * more)
-    if kind.startswith("person_"):
-        script = "cyrillic" if re.search("[а-яёА-ЯЁ]", plain) else "latin"
-        given, *rest = plain.split(" ")
-        family = " ".join("".join(SYLLABLES[script][stream.below(len(SYLLABLES[script]))] for _ in range(3 + min(attempt, 2) + more)).capitalize() for _ in rest or [given])
-        if not rest:
-            return family
-        first = NAMES[kind[-1], script]
-        return first[stream.below(len(first))] + " " + family
+    if kind == "family":
+        syllables = SYLLABLES[_script(plain)]
+        return "".join(syllables[stream.below(len(syllables))] for _ in range(3 + min(attempt, 2) + more)).capitalize()
     return _alike(plain + "0" * more, stream, SIGNS if kind == "secret" else None)
 
 
+def _script(name: str) -> str:
+    return "cyrillic" if re.search("[а-яёА-ЯЁ]", name) else "latin"
+
+
+def _given(kind: str, value: str, attempt: int, key: bytes) -> str:
+    """Given name that stands for the first word of a full name, seeded by that word; in a wider format several."""
+    given, script = value.split(" ")[0], _script(value)
+    known = [g for g in "fm" if given in NAMES[g, script]]
+    genders = [kind[-1]] if kind[-1] in "fm" else known or ["f", "m"]
+    names = [n for g in genders for n in NAMES[g, script]]
+    stream = Stream("given", given, attempt, key)
+    return " ".join(names[stream.below(len(names))] for _ in range(1 + max(0, attempt - OWN_FORMAT + 1)))
+
+
+def units(kind: str, value: str) -> list[tuple[str, str]]:
+    """What surrogates are drawn for, as (kind, canonical value): the value itself, or the parts of a person's name."""
+    if kind.startswith("person_"):
+        given, *rest = value.split(" ")
+        return [*([(kind, value)] if rest else []), *(("family", w) for w in rest or [given])]
+    if kind == "secret" and re.fullmatch("[0-9a-f]+", value):
+        kind = "hex_key"
+    return [(kind, canonical(kind, value))]
+
+
+def replacement(kind: str, value: str, attempts: dict[tuple[str, str], int], key: bytes = KEY) -> str:
+    """The surrogate of an entity from those of its units."""
+    out = []
+    for unit in units(kind, value):
+        attempt = attempts.get(unit, 0)
+        if unit[0].startswith("person_"):
+            out.append(_given(*unit, attempt, key))
+        else:
+            out.append(surrogate(unit[0], unit[1] if unit[0] == "family" else value, attempt, key))
+    return " ".join(out)
+
+
 def replaced(text: str | None, attempts: dict[tuple[str, str], int], key: bytes = KEY) -> tuple[str | None, list[str]]:
     """The text with surrogates, and the kinds replaced."""
     found = entities(text)
@@ -215,21 +282,27 @@ def replaced(text: str | None, attempts: dict[tuple[str, str], int], key: bytes
         return text, []
     out, at = [], 0
     for start, end, kind in found:
-        value = text[start:end]
-        out += [text[at:start], surrogate(kind, value, attempts.get((kind, canonical(kind, value)), 0), key)]
+        out += [text[at:start], replacement(kind, text[start:end], attempts, key)]
         at = end
     return "".join([*out, text[at:]]), [kind for _, _, kind in found]
 
 
+def _mark(kind: str, value: str, attempt: int, key: bytes) -> str:
+    """What must differ between the units of a kind. Family names differ already, so full names need another given name per family only."""
+    if kind.startswith("person_"):
+        return "\t" + _given(kind, value, attempt, key) + " " + value.split(" ", 1)[1]
+    return canonical(kind, surrogate(kind, value, attempt, key))
+
+
 def _mentions(rows: DataFrame) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``kind`` and canonical ``value`` of every different entity of a document."""
+    """``doc_id``, ``text_hash``, ``kind`` and canonical ``value`` of every different unit of a document's entities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, kinds, values = [], [], []
             for k, t in enumerate(batch.column("text")):
                 text = t.as_py()
-                for kind, value in sorted({(kind, canonical(kind, text[a:b])) for a, b, kind in entities(text)}):
+                for kind, value in sorted({unit for a, b, kind in entities(text) for unit in units(kind, text[a:b])}):
                     at.append(k)
                     kinds.append(kind)
                     values.append(value)
@@ -249,7 +322,7 @@ def _drawn(values: DataFrame, key: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             drawn = [
-                canonical(kind, surrogate(kind, value, attempt, key))
+                _mark(kind, value, attempt, key)
                 for kind, value, attempt in zip(*(batch.column(c).to_pylist() for c in ("kind", "value", "attempt")), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(drawn, pa.string())], names=["kind", "value", "attempt", "drawn"])
@@ -261,8 +334,9 @@ def attempts(values: DataFrame, key: bytes = KEY) -> DataFrame:
     """Attempt per distinct (kind, value) at which all surrogates are distinct and none is a real value."""
     now = stage(_drawn(values.select("kind", "value").distinct().withColumn("attempt", F.lit(0)), key))
     while True:
-        first = now.groupBy("kind", "drawn").agg(F.min("value").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        shared = now.join(first, ["kind", "drawn"]).where("value != first").select("kind", "value")
+        now = now.withColumn("space", F.regexp_replace("kind", "^person_.", "person"))  # full names differ whatever the title
+        first = now.groupBy("space", "drawn").agg(F.min("value").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        shared = now.join(first, ["space", "drawn"]).where("value != first").select("kind", "value")
         real = now.select("kind", F.col("value").alias("drawn"))
         existing = now.join(real, ["kind", "drawn"], "left_semi").select("kind", "value")
         again = stage(shared.union(existing).distinct())

@@ -107,3 +107,37 @@ def test_full_formats_are_left(spark):
     made = {(r["kind"], S.surrogate(r["kind"], r["value"], r["attempt"])) for r in tries}
     assert len(tries) == len(values) == len(made) and not made & set(values)
     assert all(S.ipaddress.ip_address(v).is_private for kind, v in made if kind == "ip")
+
+
+def test_mentions_without_a_title_and_parts_of_names():
+    text = "Mr. John Smith met Smith's aunt; John Smith said that Mrs Smith and Prof. Dr. Max Weber, or Weber, met Mr Smith's son. Smithson stayed."
+    new, kinds = S.replaced(text, {})
+    assert kinds == ["person_m", "person_m", "person_m", "person_f", "person_x", "person_x", "person_m"]
+    assert not re.search(r"John|Smith\b|Weber", new) and "Smithson" in new
+    full = re.search(r"Mr\. (\w+ (\w+)) met", new)
+    assert f"{full[1]} said" in new and f"met {full[2]}'s aunt" in new and f"Mrs {full[2]} and" in new and f"Mr {full[2]}'s son" in new
+    assert re.search(r"Dr\. (\w+) (\w+), or \2,", new)
+
+
+def test_national_phones_and_spellings():
+    text = "(988) 555-2485 or 988-555-2485 or 020 7946 0958, not 2024-01-02 nor 1.988.555.2485"
+    new, kinds = S.replaced(text, {})
+    assert kinds == ["phone"] * 3 and new.endswith("not 2024-01-02 nor 1.988.555.2485")
+    assert re.sub(r"\d", "9", new) == re.sub(r"\d", "9", text)
+    a, b = new.split(", ")[0].split(" or ")[:2]
+    assert S.canonical("phone", a) == S.canonical("phone", b) != "9885552485"
+    one, two = (S.replaced(t, {})[0] for t in ("+44 20 7946 0958", "+442079460958"))
+    assert one.replace(" ", "") == two
+
+
+def test_a_hex_key_has_one_surrogate():
+    key = "0641917ea4e9feb9cda83477b57ac2654884f485"
+    new, _ = S.replaced(f'(token={key}) and aws "{key}"', {})
+    assert key not in new and re.fullmatch(r'\(token=([0-9a-f]{40})\) and aws "\1"', new)
+
+
+def test_full_names_of_one_family_stay_distinct(spark):
+    given = [a + b for a in ("Ba", "Be", "Bi", "Bo", "Da", "De") for b in ("rt", "nd", "lk", "mm", "ss", "ck")]
+    got = [r["text"] for r in S.pseudonymized(frame(spark, [f"{('Mr', 'Dr')[k % 2]}. {g} Smith" for k, g in enumerate(given)])).collect()]
+    got = [t[4:] for t in got]
+    assert len(set(got)) == len(given) and len({t.split(" ")[-1] for t in got}) == 1

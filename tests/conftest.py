@@ -13,9 +13,3 @@ from panelwright.runtime import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     return local_session(cores=8, shuffle_partitions=8)
-
-
-def rows(df, *columns):
-    """Sorted tuples of a result."""
-    chosen = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in chosen.collect()), key=lambda r: [(v is not None, str(type(v)), v if v is not None else 0) for v in r])

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 

@@ -3,7 +3,7 @@ from collections import Counter
 from itertools import combinations
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from panelwright.operators import pairs
 from panelwright.operators.pairs import top_pairs

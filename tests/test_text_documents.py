@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from panelwright.operators.contracts import ingest_quality

@@ -5,7 +5,7 @@ import random
 from datetime import date, timedelta
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from panelwright.catalog.forecast import dated

@@ -4,12 +4,13 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from helpers import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelwright.operators import ordered, sessions
+from panelwright.operators import ordered, passes, sessions
 
 
 @pytest.fixture(scope="module")
@@ -101,3 +102,34 @@ def test_sessions_of_a_hot_user(spark, partitions):
         want.append((i, int(fresh), number[u]))
     got = rows(sessions.sessionize(df, "u", "ts", "i", 1800), "i", "new_session", "session_id")
     assert got == sorted(want)
+
+
+def test_one_pass_within_hot_keys(spark, skewed, partitions):
+    holes = skewed.withColumn("k", F.when(F.col("k") != "k3", F.col("k"))).withColumn("v", F.when(F.col("v") % 7 != 0, F.col("v")))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "90")  # keys go on from batch to batch
+    walk = passes.Walk(["k"], previous=["v"], sums=["i"], opens=lambda a, b: pc.fill_null(pc.not_equal(a["v"], b["v"]), False).to_numpy(zero_copy_only=False), opens_on=["v"])
+    got = passes.ordered_pass(holes, walk, order())
+    window = Window.partitionBy("k").orderBy("v", "i")
+    upto = window.rowsBetween(Window.unboundedPreceding, 0)
+    want = (
+        holes.withColumn("row_number", F.row_number().over(window).cast("long"))
+        .withColumn("previous_v", F.lag("v").over(window))
+        .withColumn("running_i", F.sum("i").over(upto))
+        .withColumn("opened", F.when((F.col("row_number") == 1) | (F.col("previous_v") != F.col("v")), 1).otherwise(0))
+        .withColumn("group_number", F.sum("opened").over(upto))
+    )
+    assert rows(got) == rows(want)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_one_pass_without_keys_and_of_nothing(spark, skewed, partitions):
+    got = passes.ordered_pass(skewed, passes.Walk([], sums=["v"]), order())
+    window = Window.orderBy("v", "i").rowsBetween(Window.unboundedPreceding, 0)
+    want = skewed.withColumn("row_number", F.row_number().over(Window.orderBy("v", "i")).cast("long")).withColumn("running_v", F.sum("v").over(window))
+    assert rows(got) == rows(want)
+    assert passes.ordered_pass(skewed.where("i < 0"), passes.Walk(["k"], previous=["v"]), order()).count() == 0
+
+
+def test_one_pass_reads_its_layout_once(spark, skewed):
+    plan = passes.ordered_pass(skewed, passes.Walk(["k"], previous=["v"], sums=["i"]), order())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange hash" not in plan and "Exchange range" not in plan

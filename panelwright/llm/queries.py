@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontamination, html_extraction, mixing, near_duplicates, oracles, quality_rules, sharding, surrogates, token_rollup, toxicity, url_filters
+from panelwright.llm import decontamination, html_extraction, merkle, mixing, near_duplicates, oracles, quality_rules, sharding, surrogates, token_rollup, topk, toxicity, url_filters
 from panelwright.runtime import stage_root
 
 SHARDS = 24
@@ -94,6 +94,18 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.verdicts(table(spark, folder, "pages"), url_filters.rule_table(spark, URL_RULES))
 
 
+def op12_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best products of every fiftieth vector with all others."""
+    return topk.top_k(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("id") % 50 == 0)
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in the manifest, and the root after its line ends are lost in half of the documents."""
+    docs = table(spark, folder, "documents")
+    torn = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return merkle.manifest(docs, {"text": torn})
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
@@ -105,6 +117,8 @@ QUERIES: dict[str, Query] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_token_rollup": op9_token_rollup,
     "op10_url_filters": op10_url_filters,
+    "op12_exact_top_k": op12_exact_top_k,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 SQL: dict[str, str] = {

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import decontamination, html_extraction, merkle, mixing, near_duplicates, oracles, quality_rules, sharding, surrogates, token_rollup, topk, toxicity, url_filters
+from panelwright.llm import decontamination, html_extraction, merkle, mixing, near_duplicates, oracles, quality_rules, sharding, spelling, surrogates, token_rollup, topk, toxicity, url_filters
 from panelwright.runtime import stage_root
 
 SHARDS = 24
@@ -94,6 +94,11 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.verdicts(table(spark, folder, "pages"), url_filters.rule_table(spark, URL_RULES))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents, a few of them maimed, with their near words, forms and roots."""
+    return spelling.variants(spelling.vocabulary(table(spark, folder, "documents"), mutate=199))
+
+
 def op12_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     """The five best products of every fiftieth vector with all others."""
     return topk.top_k(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("id") % 50 == 0)
@@ -117,6 +122,7 @@ QUERIES: dict[str, Query] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_token_rollup": op9_token_rollup,
     "op10_url_filters": op10_url_filters,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_exact_top_k": op12_exact_top_k,
     "op13_merkle_manifest": op13_merkle_manifest,
 }

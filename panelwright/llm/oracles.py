@@ -75,3 +75,75 @@ bad AS (SELECT DISTINCT n AS node FROM reach JOIN fit ON fit.node = o AND fit.ve
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bad.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN fit ON fit.node = host || path LEFT JOIN bad ON bad.node = host || path
 """
+
+CRC = """
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS c FROM range(256) r(i)))"""
+
+
+def crc32(text: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes of an expression, where ``crc_table`` is joined."""
+    byte = f"list_transform(range(octet_length(encode({text}))), lambda k: CAST('0x' || substr(hex(encode({text})), CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {byte}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+SPELLING = f"""
+WITH RECURSIVE {CRC.strip()},
+run AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[a-z\\x{{00C0}}-\\x{{00FF}}]+')) AS r FROM documents),
+met AS (SELECT doc_id, r, count(*) AS c FROM run WHERE length(r) >= 6 GROUP BY ALL),
+hashed AS (SELECT r, c, {crc32("(doc_id || ':' || r)")} AS h FROM met, crc_table),
+made AS (SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, c FROM hashed),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM made WHERE length(word) >= 6 GROUP BY 1 HAVING sum(c) >= 5),
+cut AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v),
+lost AS (SELECT word, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM cut),
+pair AS (SELECT x.word, y.word AS near FROM lost x JOIN lost y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word != y.word
+         UNION SELECT x.word, y.word FROM lost x JOIN v y ON y.word = x.a || x.b
+         UNION SELECT y.word, x.word FROM lost x JOIN v y ON y.word = x.a || x.b),
+best AS (SELECT p.word, count(*) AS n_near, max(v.n) AS top FROM pair p JOIN v ON v.word = near GROUP BY 1),
+form AS (SELECT p.word, min(near) AS form, any_value(top) AS form_n FROM pair p JOIN best USING (word) JOIN v y ON y.word = near JOIN v x ON x.word = p.word
+         WHERE y.n = top AND top >= 5 * x.n GROUP BY 1),
+chain(word, stop) AS (SELECT word, word FROM v UNION ALL SELECT chain.word, form.form FROM chain JOIN form ON form.word = chain.stop)
+SELECT v.word, form.form, stop AS root, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n
+FROM v LEFT JOIN best USING (word) LEFT JOIN form USING (word)
+JOIN (SELECT word, stop FROM chain WHERE stop NOT IN (SELECT word FROM form)) ends USING (word)
+"""
+
+TOP_K = """
+WITH e AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.rid, q.vec_id AS query_id, p.vec_id, CAST(list_dot_product(q.v, p.v) AS BIGINT) AS score
+           FROM e q JOIN e p ON q.rid != p.rid AND len(q.v) = len(p.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM scored
+QUALIFY rank <= 5
+"""
+
+
+def _hashed(text: str) -> str:
+    """Leaf of a document with its text replaced."""
+    columns = ["doc_id", "source", "lang", "n_chars", text]
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns) + ")"
+
+
+MERKLE = f"""
+WITH RECURSIVE {CRC.strip()},
+d AS (SELECT doc_id, coalesce('=' || source, '') AS src, {_hashed("text")} AS leaf,
+        CASE WHEN {crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_hashed("replace(text, chr(10), '')")} ELSE {_hashed("text")} END AS torn FROM documents, crc_table),
+p AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY src) AS n FROM d),
+low(src, l, pos, n, h) AS (SELECT src, 0, pos, n, leaf FROM p
+        UNION ALL SELECT src, l + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY src, l, n, pos // 3),
+climb(doc_id, src, leaf, l, pos, f, seen) AS (SELECT doc_id, src, leaf, 0, pos, torn, '' FROM p
+        UNION ALL SELECT c.doc_id, c.src, c.leaf, c.l + 1, c.pos // 3, sha256(string_agg(CASE WHEN x.pos = c.pos THEN f ELSE h END, '' ORDER BY x.pos)),
+               seen || coalesce(string_agg(h, '' ORDER BY x.pos) FILTER (x.pos != c.pos), '')
+        FROM climb c JOIN low x ON x.src = c.src AND x.l = c.l AND x.pos // 3 = c.pos // 3 WHERE x.n > 1 GROUP BY c.doc_id, c.src, c.leaf, c.l, c.pos, f, seen),
+sub AS (SELECT src, h, row_number() OVER (ORDER BY src) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+high(l, pos, n, h) AS (SELECT 0, pos, n, h FROM sub
+        UNION ALL SELECT l + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY l, n, pos // 3),
+last(doc_id, src, leaf, subroot, l, pos, f, seen) AS (
+        SELECT c.doc_id, c.src, c.leaf, s.h, 0, s.pos, c.f, c.seen FROM climb c JOIN sub s USING (src) WHERE c.l = (SELECT max(l) FROM low x WHERE x.src = c.src)
+        UNION ALL SELECT c.doc_id, c.src, c.leaf, c.subroot, c.l + 1, c.pos // 3, sha256(string_agg(CASE WHEN x.pos = c.pos THEN f ELSE h END, '' ORDER BY x.pos)),
+               seen || coalesce(string_agg(h, '' ORDER BY x.pos) FILTER (x.pos != c.pos), '')
+        FROM last c JOIN high x ON x.l = c.l AND x.pos // 3 = c.pos // 3 WHERE x.n > 1 GROUP BY c.doc_id, c.src, c.leaf, c.subroot, c.l, c.pos, f, seen)
+SELECT doc_id, CASE WHEN src != '' THEN substr(src, 2) END AS source, leaf, subroot, root, sha256(seen) AS proof_sha256, f AS folded_root, f = root AS verified
+FROM last, (SELECT h AS root FROM high WHERE n = 1) WHERE l = (SELECT max(l) FROM high)
+"""

@@ -132,4 +132,7 @@ SQL: dict[str, str] = {
     "op6_quality_rules": oracles.QUALITY_RULES,
     "op7_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op10_url_filters": oracles.URL_FILTERS,
+    "op11_spelling_variants": oracles.SPELLING,
+    "op12_exact_top_k": oracles.TOP_K,
+    "op13_merkle_manifest": oracles.MERKLE,
 }

@@ -16,6 +16,9 @@ COLUMNS = {
     "op5": "doc_id held_out score predicted",
     "op8": "page_id url text n_chars",
     "op9": "source lang tokenizer n_docs n_tokens",
+    "op11": "word form root n n_near form_n",
+    "op12": "query_id rank vec_id score",
+    "op13": "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
 

@@ -233,13 +233,15 @@ BOOK.add(
 )
 FIRM_YEAR = """
 firm_year AS (
-  SELECT k AS firm_id, y AS year, CAST(15 + k % 40 AS INT) AS age, floor(total * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS sales,
-         CASE WHEN k % 2 = 0 AND y >= 1998 THEN 1 ELSE 0 END AS treated_post, CAST(n AS DOUBLE) AS outcome
-  FROM (SELECT o_custkey AS k, CAST(year(o_orderdate) AS INT) AS y, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY ALL)),
+  SELECT k AS firm_id, y AS year, CAST(last - min(first) OVER (PARTITION BY k) AS INT) AS age, floor(total * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS sales,
+         CASE WHEN c_mktsegment = 'BUILDING' AND y >= 1998 THEN 1 ELSE 0 END AS treated_post, total / n / 100000 AS mediator, CAST(n AS DOUBLE) AS outcome
+  FROM (SELECT o_custkey AS k, CAST(year(o_orderdate) AS INT) AS y, count(*) AS n, sum(o_totalprice) AS total,
+               max(year(o_orderdate) * 12 + month(o_orderdate)) AS last, min(year(o_orderdate) * 12 + month(o_orderdate)) AS first FROM orders GROUP BY ALL)
+  LEFT JOIN customer ON c_custkey = k),
 covariate AS (
   SELECT firm_id, year, CAST(c_nationkey AS INT) AS industry,
          floor(c_acctbal / 1000 * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE * (year - 1990) AS baseline_score
-  FROM firm_year JOIN customer ON c_custkey = firm_id WHERE c_acctbal >= 0),
+  FROM firm_year JOIN customer ON c_custkey = firm_id),
 covariate_file AS (SELECT * FROM covariate)"""
 BOOK.add(
     "p14",
@@ -281,8 +283,8 @@ BOOK.add(
 BOOK.add("d03", lambda s, d: firms(s, d).master, with_(FIRMS) + "SELECT firm_id, legal_name, region_code FROM master")
 BOOK.add(
     "d05",
-    lambda s, d: Star(s, d).audit_orders.dropDuplicates().select("order_id", "customer_id", "order_date", "status"),
-    with_(STAR) + "SELECT order_id, customer_id, CAST(order_date AS VARCHAR) AS order_date, status FROM (SELECT DISTINCT * FROM audit_order)",
+    lambda s, d: Star(s, d).orders.dropDuplicates().select("order_id", "customer_id", "order_date", "status"),
+    with_(STAR) + "SELECT order_id, customer_id, CAST(order_date AS VARCHAR) AS order_date, status FROM (SELECT DISTINCT * FROM fact_order)",
 )
 BOOK.add(
     "d06",
@@ -328,35 +330,37 @@ BOOK.add(
 )
 BOOK.add(
     "j05",
-    lambda s, d: joins.orphans(Star(s, d).audit_items, Star(s, d).orders, "order_id").select("order_id", "product_id", "quantity"),
-    with_(STAR) + "SELECT order_id, product_id, quantity FROM audit_item WHERE order_id NOT IN (SELECT order_id FROM fact_order)",
+    lambda s, d: joins.orphans(Star(s, d).items, Star(s, d).completed, "order_id").select("order_id", "product_id", "quantity"),
+    with_(STAR) + "SELECT order_id, product_id, quantity FROM fact_order_item WHERE order_id NOT IN (SELECT order_id FROM fact_order WHERE status = 'completed')",
 )
 BOOK.add(
     "c36",
-    lambda s, d: joins.orphans(Star(s, d).audit_items, Star(s, d).orders, "order_id").agg(F.count("*").alias("orphan_items")),
-    with_(STAR) + "SELECT count(*) AS orphan_items FROM audit_item i LEFT JOIN fact_order o USING (order_id) WHERE o.order_id IS NULL",
+    lambda s, d: joins.orphans(Star(s, d).items, Star(s, d).orders, "order_id").agg(F.count("*").alias("orphan_items")),
+    with_(STAR) + "SELECT count(*) AS orphan_items FROM fact_order_item i LEFT JOIN fact_order o USING (order_id) WHERE o.order_id IS NULL",
 )
 BOOK.add(
     "c37",
-    lambda s, d: joins.orphans(Star(s, d).audit_returns, Star(s, d).orders, "order_id").agg(F.count("*").alias("orphan_returns")),
-    with_(STAR) + "SELECT count(*) AS orphan_returns FROM audit_return r LEFT JOIN fact_order o USING (order_id) WHERE o.order_id IS NULL",
+    lambda s, d: joins.orphans(Star(s, d).returns, Star(s, d).orders, "order_id").agg(F.count("*").alias("orphan_returns")),
+    with_(STAR) + "SELECT count(*) AS orphan_returns FROM fact_return r LEFT JOIN fact_order o USING (order_id) WHERE o.order_id IS NULL",
 )
 for _name, _table, _view, _key in (
-    ("c35", "audit_orders", "audit_order", "order_id"),
-    ("c39", "audit_customers", "audit_customer", "customer_id"),
-    ("c40", "audit_products", "audit_product", "product_id"),
+    ("c35", "orders", "fact_order", "order_id"),
+    ("c39", "customers", "dim_customer", "customer_id"),
+    ("c40", "products", "dim_product", "product_id"),
 ):
     BOOK.add(
         _name,
-        lambda s, d, t=_table, k=_key: joins.duplicate_keys(getattr(Star(s, d), t), [k]),
-        with_(STAR) + f"SELECT {_key}, count(*) AS n FROM {_view} GROUP BY 1 HAVING n > 1",
+        lambda s, d, t=_table, k=_key: joins.duplicate_keys(getattr(Star(s, d), t), [k]).agg(
+            F.count("*").alias("repeated_keys"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus_rows")
+        ),
+        with_(STAR) + f"SELECT count(*) AS repeated_keys, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS surplus_rows FROM (SELECT count(*) AS n FROM {_view} GROUP BY {_key} HAVING n > 1)",
     )
 BOOK.add(
     "c38",
-    lambda s, d: Star(s, d).audit_items.agg(
+    lambda s, d: Star(s, d).items.agg(
         F.sum(F.when((F.col("unit_price") < 0) | (F.col("quantity") <= 0), 1).otherwise(0)).alias("invalid_lines")
     ),
-    with_(STAR) + "SELECT CAST(sum(CASE WHEN unit_price < 0 OR quantity <= 0 THEN 1 ELSE 0 END) AS BIGINT) AS invalid_lines FROM audit_item",
+    with_(STAR) + "SELECT CAST(sum(CASE WHEN unit_price < 0 OR quantity <= 0 THEN 1 ELSE 0 END) AS BIGINT) AS invalid_lines FROM fact_order_item",
 )
 BOOK.add(
     "j06",
@@ -649,12 +653,12 @@ def verdicts(*parts: tuple[str, str]) -> str:
 BOOK.add(
     "q01",
     lambda s, d: contracts.report(
-        contracts.check_unique(Star(s, d).audit_orders, ["order_id"], "orders"),
+        contracts.check_unique(Star(s, d).orders, ["order_id"], "orders"),
         contracts.check_unique(firms(s, d).panel, ["firm_id", "quarter"], "panel"),
         contracts.check_unique(Tables(s, d).lineitem, ["l_orderkey", "l_linenumber"], "lineitem"),
     ),
     "WITH " + STAR.strip() + "," + FIRMS.strip() + "\n" + verdicts(
-        ("orders", "SELECT count(*) - count(DISTINCT order_id) AS n FROM audit_order"),
+        ("orders", "SELECT count(*) - count(DISTINCT order_id) AS n FROM fact_order"),
         ("panel", "SELECT count(*) - count(DISTINCT (firm_id, quarter)) AS n FROM panel"),
         ("lineitem", "SELECT count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS n FROM lineitem"),
     ),

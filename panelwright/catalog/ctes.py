@@ -40,30 +40,14 @@ fin AS (
          coalesce(refund_amount, 0) AS refund_amount,
          CASE WHEN o.status = 'completed' THEN coalesce(gross_revenue, 0) + o.shipping_fee - coalesce(refund_amount, 0) ELSE 0 END AS net_revenue,
          CASE WHEN o.status = 'completed' THEN coalesce(gross_revenue, 0) - coalesce(cogs, 0) - coalesce(refund_amount, 0) ELSE 0 END AS gross_margin
-  FROM fact_order o LEFT JOIN item_rollup i USING (order_id) LEFT JOIN fact_return r USING (order_id)),
-audit_order AS (SELECT * FROM fact_order UNION ALL SELECT * FROM fact_order WHERE order_id % 500 = 0),
-audit_customer AS (SELECT * FROM dim_customer UNION ALL SELECT * FROM dim_customer WHERE customer_id % 500 = 0),
-audit_product AS (SELECT * FROM dim_product UNION ALL SELECT * FROM dim_product WHERE product_id % 500 = 0),
-audit_item AS (
-  SELECT CASE WHEN order_id % 700 = 0 THEN order_id + 1000000000 ELSE order_id END AS order_id, product_id,
-         CASE WHEN order_id % 900 = 0 THEN 0 ELSE quantity END AS quantity, unit_price FROM fact_order_item),
-audit_return AS (
-  SELECT CASE WHEN order_id % 700 = 0 THEN order_id + 1000000000 ELSE order_id END AS order_id, returned, return_date,
-         return_reason, refund_amount FROM fact_return)
+  FROM fact_order o LEFT JOIN item_rollup i USING (order_id) LEFT JOIN fact_return r USING (order_id))
 """
 
 EVENTS = """
-raw_base AS (
-  SELECT event_id, 1 AS ingest_seq,
-         CASE WHEN event_id % 1203 = 0 THEN 'bad-account' ELSE printf('A%08d', user_id) END AS account_id,
-         CAST(ts AS DATE) AS date, event_type AS region,
-         (['payroll','procurement','tax','transfer'])[CAST(event_id % 4 + 1 AS INT)] AS category,
-         value AS amount, CASE WHEN event_id % 55 = 0 THEN 1 ELSE 0 END AS is_reversal FROM events),
 raw_events AS (
-  SELECT * FROM raw_base UNION ALL
-  SELECT event_id, 2, account_id, date, region, category,
-         floor(amount * 0.9::DOUBLE * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE, is_reversal
-  FROM raw_base WHERE event_id % 250 = 0),
+  SELECT event_id, 1 AS ingest_seq, printf('A%08d', user_id) AS account_id, CAST(ts AS DATE) AS date, event_type AS region,
+         (['payroll','procurement','tax','transfer'])[CAST(event_id % 4 + 1 AS INT)] AS category,
+         value AS amount, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS is_reversal FROM events),
 ranked_events AS (
   SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ingest_seq DESC) AS rn FROM raw_events),
 clean_events AS (

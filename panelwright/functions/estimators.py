@@ -12,32 +12,6 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def unit_moments(k: int, t: int):
-    """``mapInPandas`` body: sum over units of ``s s' / n`` where ``s`` holds a unit's column sums and
-    its counts per period. One (k + t)-square matrix per task."""
-
-    def add(batches):
-        total, units, obs = np.zeros((k + t, k + t)), 0, 0
-        for pdf in batches:
-            lengths = pdf["t"].map(len).to_numpy()
-            if not len(lengths):
-                continue
-            row = np.repeat(np.arange(len(lengths)), lengths)
-            period = np.concatenate(pdf["t"].to_numpy()).astype(int)
-            count = np.concatenate(pdf["n"].to_numpy()).astype(float)
-            sums = np.array([cell for cells in pdf["s"] for cell in cells], dtype=float)
-            s = np.zeros((len(lengths), k + t))
-            np.add.at(s, (row, slice(0, k)), sums)
-            np.add.at(s, (row, k + period), count)
-            n = s[:, k:].sum(axis=1)
-            total += (s / n[:, None]).T @ s
-            units += len(lengths)
-            obs += int(n.sum())
-        yield pd.DataFrame({"i": range(k + t), "row": list(total), "units": units, "obs": obs})
-
-    return add
-
-
 _SLICE = 50_000  # entries handled at once, so scratch memory does not grow with the batch
 
 

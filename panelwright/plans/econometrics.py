@@ -1,8 +1,9 @@
-"""Two-way fixed-effects regressions from distributed moments.
+"""Two-way fixed-effects regressions of any number of units and periods.
 
-Rows never leave Spark. The driver sees matrices of size (regressors + periods) squared:
-units are swept out as group means, and the periods, a calendar, are solved explicitly.
-That is exact on balanced and unbalanced panels alike and needs no iteration.
+Rows and effects stay in Spark. Units are swept out as group means. What is left of the periods is a system with
+one equation per period, solved for all columns at once by conjugate gradients: a step joins the current
+direction to the (unit, period) cells, averages by unit and adds up by period. The driver sees a few numbers per
+column and step, and matrices of the number of regressors.
 """
 
 from __future__ import annotations
@@ -10,15 +11,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.estimators import unit_moments
 from panelwright.operators.joins import join_one_to_one, merge_covariates, restrict
 from panelwright.runtime import stage
 
-MAX_PERIODS = 2000
+TOLERANCE = 1e-11  # of the residual's length, for each column
+MAX_STEPS = 1000
 
 
 def event_time(df: DataFrame) -> DataFrame:
@@ -56,48 +57,69 @@ class Fit:
         return float(self.coef[i]), float(np.sqrt(self.vcov[i, i]))
 
 
-def _sweep_units(df: DataFrame, columns: list[str], unit: str, period: str) -> tuple[np.ndarray, list, int, int]:
-    """Cross products of ``columns`` and period dummies after taking unit means out.
+def _combined(a: str, b: str, factor: np.ndarray) -> Column:
+    """``a + factor * b`` of array columns."""
+    return F.array(*[F.col(a)[j] + F.lit(float(f)) * F.col(b)[j] for j, f in enumerate(factor)])
 
-    One grouping by (unit, period), then one row per unit; each task adds its units up to one
-    matrix, and the matrices are added by row. Returns the moments, sorted periods and sizes.
+
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.divide(a, b, out=np.zeros(len(a)), where=b != 0)
+
+
+@dataclass(frozen=True)
+class Absorbed:
+    """Period effects of each column (``period, effect``) and sizes of the panel."""
+
+    effects: DataFrame
+    n_obs: int
+    n_units: int
+    n_periods: int
+
+
+def absorb(data: DataFrame, columns: list[str], unit: str, period: str) -> Absorbed:
+    """An effect per period and column that leaves, together with unit means, each column's residual on unit and
+    period effects. Effects are fixed up to a constant per connected part of the panel.
+
+    Conjugate gradients on the period sums of the unit-demeaned columns, scaled by period sizes, with one
+    reduction per step. A balanced panel takes one step.
     """
-    periods = [r[0] for r in df.select(period).distinct().orderBy(period).limit(MAX_PERIODS + 1).collect()]
-    if len(periods) > MAX_PERIODS:
-        raise ValueError(f"more than {MAX_PERIODS} periods: use the dimension with fewer levels as time")
-    index = F.create_map(*[F.lit(x) for i, p in enumerate(periods) for x in (p, i)])
-    k, t = len(columns), len(periods)
-
-    cells = df.groupBy(unit, period).agg(
-        F.count("*").alias("_n"), F.array(*[F.sum(c) for c in columns]).alias("_s")
-    )
-    # At most one entry per period and unit.
-    units = cells.groupBy(unit).agg(
-        F.collect_list(F.struct(index[F.col(period)].alias("t"), F.col("_n").alias("n"), F.col("_s").alias("s"))).alias("cells")
-    )
-    fields = [F.transform("cells", lambda c: c["t"]).alias("t"), F.transform("cells", lambda c: c["n"]).alias("n")]
-    fields.append(F.transform("cells", lambda c: c["s"]).alias("s"))
-    partial = units.select(*fields).mapInPandas(unit_moments(k, t), "i int, row array<double>, units bigint, obs bigint")
-    added = partial.groupBy("i").agg(
-        *[F.sum(F.col("row")[j]).alias(f"c{j}") for j in range(k + t)], F.sum("units").alias("units"), F.sum("obs").alias("obs")
-    )
-    rows = added.orderBy("i").collect()  # k + t rows
-    between = np.array([[r[f"c{j}"] for j in range(k + t)] for r in rows])
-
-    squares = [F.sum(F.col(a) * F.col(b)).alias(f"x{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if j <= i]
-    inner = df.agg(*squares).first()
-    by_period = {r[period]: r for r in df.groupBy(period).agg(
-        F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)]
-    ).collect()}  # one row per period
-    raw = np.zeros((k + t, k + t))
-    for i in range(k):
-        for j in range(i + 1):
-            raw[i, j] = raw[j, i] = inner[f"x{i}_{j}"]
-        for s, p in enumerate(periods):
-            raw[i, k + s] = raw[k + s, i] = by_period[p][f"s{i}"]
-    for s, p in enumerate(periods):
-        raw[k + s, k + s] = by_period[p]["n"]
-    return raw - between, periods, int(rows[0]["units"]), int(rows[0]["obs"])
+    k = len(columns)
+    vector = lambda f: F.array(*[f(j) for j in range(k)])
+    units = data.groupBy(unit).agg(F.count(F.lit(1)).alias("size"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)])
+    cells = data.groupBy(unit, period).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(columns)])
+    swept = vector(lambda j: F.col(f"_s{j}") - F.col("n") * F.col(f"_m{j}"))
+    cells = stage(cells.join(units, unit).select(unit, period, "n", "size", swept.alias("v")))
+
+    def advanced(rows: DataFrame) -> tuple[DataFrame, dict]:
+        """``rows`` with ``s``, the system applied to ``z``, landed; sizes and products are taken on the way."""
+        mean = vector(lambda j: F.sum(F.col("n") * F.col("z")[j]) / F.first("size"))
+        means = cells.join(rows.select(period, "z"), period).groupBy(unit).agg(mean.alias("m"))
+        taken = cells.join(means, unit).groupBy(period).agg(vector(lambda j: F.sum(F.col("n") * F.col("m")[j])).alias("t"))
+        applied = rows.join(taken, period).withColumn("s", vector(lambda j: F.col("weight") * F.col("z")[j] - F.col("t")[j])).drop("t")
+        dots = [F.sum(F.col(a)[j] * F.col(b)[j]).alias(f"{a}{b}{j}") for a, b in ("rr", "rz", "zs") for j in range(k)]
+        seen = Observation()
+        landed = stage(applied.observe(seen, F.sum("weight").alias("n"), F.sum("share").alias("units"), F.count(F.lit(1)).alias("periods"), *dots))
+        return landed, seen.get
+
+    scaled = F.transform("r", lambda x: x / F.col("weight"))
+    sums = cells.groupBy(period).agg(F.sum("n").alias("weight"), F.sum(F.col("n") / F.col("size")).alias("share"), vector(lambda j: F.sum(F.col("v")[j])).alias("r"))
+    zero = vector(lambda j: F.lit(0.0))
+    now, row = advanced(stage(sums.withColumns({"x": zero, "z": scaled, "p": zero, "q": zero})))
+    first = alpha = gamma = None
+    for _ in range(MAX_STEPS):
+        rr, rz, zs = (np.array([row[f"{name}{j}"] or 0.0 for j in range(k)]) for name in ("rr", "rz", "zs"))
+        first = rr if first is None else first
+        going = rr > TOLERANCE**2 * first
+        if not going.any():
+            return Absorbed(now.select(period, F.col("x").alias("effect")), int(row["n"] or 0), round(row["units"] or 0), int(row["periods"]))
+        rz = np.where(going, rz, 0.0)  # a column that is done takes no more steps
+        beta = np.zeros(k) if gamma is None else _ratio(rz, gamma)
+        alpha = _ratio(rz, zs if gamma is None else zs - beta * _ratio(rz, alpha))
+        gamma = rz
+        turned = now.withColumns({"p": _combined("z", "p", beta), "q": _combined("s", "q", beta)}).drop("s")
+        moved = turned.withColumns({"x": _combined("x", "p", alpha), "r": _combined("r", "q", -alpha)})
+        now, row = advanced(moved.withColumn("z", scaled))
+    raise ArithmeticError(f"period effects did not settle in {MAX_STEPS} steps")
 
 
 def _sandwich(scores: DataFrame, cluster: list[str], k: int) -> tuple[np.ndarray, int]:
@@ -121,38 +143,22 @@ def twfe(df: DataFrame, y: str, regressors: list[str], unit: str, period: str, c
     columns = [*regressors, y]
     data = stage(df.select(unit, period, *[F.col(c).cast("double").alias(c) for c in columns]))
     k = len(regressors)
-    moments, periods, n_units, n_obs = _sweep_units(data, columns, unit, period)
-    t = len(periods)
-
-    # Normal equations with the first period as reference level.
-    keep = list(range(k)) + list(range(k + 2, k + 1 + t))
-    normal, right = moments[np.ix_(keep, keep)], moments[keep, k]
-    solution = np.linalg.lstsq(normal, right, rcond=None)[0]
-    coef = solution[:k]
-    period_effect = dict(zip(periods, np.concatenate([[0.0], solution[k:]])))
-    time_block = normal[k:, k:]
-    loading = np.linalg.lstsq(time_block, normal[k:, :k], rcond=None)[0]  # regressors on period dummies
-    bread = np.linalg.pinv(normal[:k, :k] - normal[:k, k:] @ loading)
-    loadings = dict(zip(periods, np.vstack([np.zeros(k), loading])))
-
-    # Residuals and period-free regressors, then their deviations from unit means. The
-    # period table has one row per period.
-    table = data.sparkSession.createDataFrame(
-        [(p, float(period_effect[p]), [float(v) for v in loadings[p]]) for p in periods],
-        f"_p {dict(data.dtypes)[period]}, _effect double, _load array<double>",
-    )
-    joined = data.join(F.broadcast(table), F.col(period) == F.col("_p"))
-    left: Column = F.col(y) - F.col("_effect")
-    for name, b in zip(regressors, coef):
-        left = left - F.lit(float(b)) * F.col(name)
-    free = joined.select(
-        unit, period, left.alias("_e"), *[(F.col(name) - F.col("_load")[i]).alias(f"_x{i}") for i, name in enumerate(regressors)]
-    )
-    parts = ["_e", *[f"_x{i}" for i in range(k)]]
-    means = free.groupBy(F.col(unit).alias("_u")).agg(*[F.avg(c).alias(f"{c}_mean") for c in parts])
-    centered = free.join(means, F.col(unit) == F.col("_u"))
-    error = F.col("_e") - F.col("_e_mean")
-    scores = centered.select(unit, period, *[((F.col(f"_x{i}") - F.col(f"_x{i}_mean")) * error).alias(f"_g{i}") for i in range(k)])
+    absorbed = absorb(data, columns, unit, period)
+    n_obs, n_units, t = absorbed.n_obs, absorbed.n_units, absorbed.n_periods
+    free = data.join(absorbed.effects, period).select(unit, period, *[(F.col(c) - F.col("effect")[i]).alias(f"_v{i}") for i, c in enumerate(columns)])
+    means = free.groupBy(F.col(unit).alias("_u")).agg(*[F.avg(f"_v{i}").alias(f"_m{i}") for i in range(k + 1)])
+    swept = stage(free.join(means, F.col(unit) == F.col("_u")).select(unit, period, *[(F.col(f"_v{i}") - F.col(f"_m{i}")).alias(f"_x{i}") for i in range(k + 1)]))
+
+    squares = [F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"m{i}_{j}") for i in range(k + 1) for j in range(i + 1)]
+    row = swept.agg(*squares).first()
+    moments = np.array([[row[f"m{max(i, j)}_{min(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
+    bread = np.linalg.pinv(moments[:k, :k], hermitian=True)
+    coef = bread @ moments[:k, k]
+
+    error = F.col(f"_x{k}")
+    for i, b in enumerate(coef):
+        error = error - F.lit(float(b)) * F.col(f"_x{i}")
+    scores = swept.select(unit, period, *[(F.col(f"_x{i}") * error).alias(f"_g{i}") for i in range(k)])
 
     n_params = k + 1 + (n_units - 1) + (t - 1)
 

@@ -31,8 +31,6 @@ SEGMENTS = ["consumer", "high_value", "business"]
 RETURN_REASONS = ["damaged", "changed_mind", "wrong_item"]
 EVENT_CATEGORIES = ["payroll", "procurement", "tax", "transfer"]
 
-ORPHAN_SHIFT = 1_000_000_000
-
 
 def order_financials(items: DataFrame, products: DataFrame, orders: DataFrame, returns: DataFrame) -> DataFrame:
     """One row per order with revenue, cost, refund and margin; cancelled orders earn nothing.
@@ -149,55 +147,19 @@ class Star:
     def financials(self) -> DataFrame:
         return order_financials(self.items, self.products, self.orders, self.returns)
 
-    # Audit inputs: the same tables with planted defects.
-
-    @cached_property
-    def audit_orders(self) -> DataFrame:
-        return self.orders.unionByName(self.orders.where(F.col("order_id") % 500 == 0))
-
-    @cached_property
-    def audit_customers(self) -> DataFrame:
-        return self.customers.unionByName(self.customers.where(F.col("customer_id") % 500 == 0))
-
-    @cached_property
-    def audit_products(self) -> DataFrame:
-        return self.products.unionByName(self.products.where(F.col("product_id") % 500 == 0))
-
-    @cached_property
-    def audit_items(self) -> DataFrame:
-        k = F.col("order_id")
-        return self.items.withColumns(
-            {
-                "order_id": F.when(k % 700 == 0, k + ORPHAN_SHIFT).otherwise(k),
-                "quantity": F.when(k % 900 == 0, 0).otherwise(F.col("quantity")),
-            }
-        )
-
-    @cached_property
-    def audit_returns(self) -> DataFrame:
-        k = F.col("order_id")
-        return self.returns.withColumn("order_id", F.when(k % 700 == 0, k + ORPHAN_SHIFT).otherwise(k))
-
 
 def raw_events(t: Tables) -> DataFrame:
-    """Event log with malformed accounts, reversals and correction copies."""
-    k = F.col("event_id")
-    base = t.events.select(
+    """Events as an account log: users are accounts, errors take their amount back."""
+    return t.events.select(
         "event_id",
         F.lit(1).alias("ingest_seq"),
-        F.when(k % 1203 == 0, F.lit("bad-account"))
-        .otherwise(F.format_string("A%08d", F.col("user_id")))
-        .alias("account_id"),
+        F.format_string("A%08d", F.col("user_id")).alias("account_id"),
         F.col("ts").cast("date").alias("date"),
         F.col("event_type").alias("region"),
-        pick(EVENT_CATEGORIES, k % 4).alias("category"),
+        pick(EVENT_CATEGORIES, F.col("event_id") % 4).alias("category"),
         F.col("value").alias("amount"),
-        F.when(k % 55 == 0, 1).otherwise(0).alias("is_reversal"),
+        F.when(F.col("event_type") == "error", 1).otherwise(0).alias("is_reversal"),
     )
-    corrections = base.where(k % 250 == 0).withColumns(
-        {"ingest_seq": F.lit(2), "amount": half_up(F.col("amount") * 0.9, 2)}
-    )
-    return base.unionByName(corrections)
 
 
 class FirmFiles:
@@ -282,24 +244,31 @@ def event_study_panel(t: Tables) -> DataFrame:
 
 
 def firm_year(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Customer-year outcomes, and covariates of the customers whose account is not in debt."""
-    k = F.col("firm_id")
-    year = F.year(F.col("o_orderdate").cast("date"))
-    treated = F.when((k % 2 == 0) & (F.col("year") >= 1998), 1).otherwise(0)
+    """Customer-year outcomes, and covariates of the customers.
+
+    ``age`` is the time in months since a customer's first order; customers of one market segment
+    count as treated from 1998.
+    """
+    day = F.col("o_orderdate").cast("date")
+    yearly = t.orders.groupBy(F.col("o_custkey").alias("firm_id"), F.year(day).alias("year")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"), F.max(month_index(day)).alias("last"), F.min(month_index(day)).alias("first")
+    )
+    begun = F.min("first").over(Window.partitionBy("firm_id"))  # one row per calendar year
+    segment = t.customer.select(F.col("c_custkey").alias("firm_id"), (F.col("c_mktsegment") == "BUILDING").alias("building"))
     outcomes = (
-        t.orders.groupBy(F.col("o_custkey").alias("firm_id"), year.alias("year"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
+        yearly.withColumn("age", (F.col("last") - begun).cast("int"))
+        .join(segment, "firm_id", "left")
         .select(
             "firm_id",
             "year",
-            (15 + k % 40).cast("int").alias("age"),
+            "age",
             half_up(F.col("total"), 2).alias("sales"),
-            treated.alias("treated_post"),
-            half_up(F.col("total") / F.col("n") / 100000, 4).alias("mediator"),
+            F.when(F.col("building") & (F.col("year") >= 1998), 1).otherwise(0).alias("treated_post"),
+            (F.col("total") / F.col("n") / 100000).alias("mediator"),
             F.col("n").cast("double").alias("outcome"),
         )
     )
-    customers = t.customer.where("c_acctbal >= 0").select(
+    customers = t.customer.select(
         F.col("c_custkey").alias("firm_id"),
         F.col("c_nationkey").cast("int").alias("industry"),
         F.col("c_acctbal").alias("balance"),

@@ -42,8 +42,7 @@ def to_spark(spark, frame):
     return spark.createDataFrame(records, "unit_id long, period int, treat_period double, y double, treated boolean, x double")
 
 
-@pytest.mark.parametrize("keep", [1.0, 0.7], ids=["balanced", "unbalanced"])
-@pytest.mark.parametrize("cluster", ["unit", "two_way"])
+@pytest.mark.parametrize("keep, cluster", [(1.0, "unit"), (0.7, "two_way")], ids=["balanced", "unbalanced, two-way"])
 def test_twfe_is_the_dense_regression(spark, keep, cluster):
     frame = panel(keep)
     df, times = R.event_dummies(to_spark(spark, frame))
@@ -57,6 +56,43 @@ def test_twfe_is_the_dense_regression(spark, keep, cluster):
     assert np.allclose(fit.vcov, vcov, atol=1e-9)
 
 
+def test_more_periods_than_a_driver_would_solve(spark):
+    rng = np.random.default_rng(9)
+    data = []
+    for u in range(60):
+        begin = int(rng.integers(0, 4000))
+        for t in sorted(set(rng.integers(begin, begin + 1000, 120).tolist())):
+            data += [(u, t, None, 0.0, True, float(rng.normal() + 0.01 * u))] * (1 + (t % 97 == 0))
+    frame = pd.DataFrame(data, columns=["unit_id", "period", "treat_period", "y", "treated", "x"])
+    extra = pd.DataFrame([(70 + k % 3, k, None, 0.0, True, float(rng.normal())) for k in range(5000)], columns=frame.columns)
+    frame = pd.concat([frame, extra], ignore_index=True)
+    frame["y"] = frame.x * 0.7 + rng.normal(size=len(frame)) + np.sin(frame.period) + frame.unit_id / 9
+    assert frame.period.nunique() == 5000
+    fit = R.twfe(to_spark(spark, frame), "y", ["x"], "unit_id", "period", "unit")
+
+    u, t = frame.unit_id.astype("category").cat.codes.to_numpy(), frame.period.to_numpy()
+    units, v = int(u.max()) + 1, frame[["x", "y"]].to_numpy()
+    counts, sums = np.zeros((units, 5000)), np.zeros((units, 2))
+    np.add.at(counts, (u, t), 1)
+    np.add.at(sums, u, v)
+    size = counts.sum(axis=1)
+    right = np.zeros((5000, 2))
+    np.add.at(right, t, v - (sums / size[:, None])[u])
+    normal = np.diag(counts.sum(axis=0)) - counts.T @ (counts / size[:, None])
+    effect = np.vstack([np.zeros(2), np.linalg.solve(normal[1:, 1:], right[1:])])
+    free = v - effect[t]
+    mean = np.zeros((units, 2))
+    np.add.at(mean, u, free)
+    free -= (mean / size[:, None])[u]
+    coef = free[:, 0] @ free[:, 1] / (free[:, 0] @ free[:, 0])
+    score = np.zeros(units)
+    np.add.at(score, u, free[:, 0] * (free[:, 1] - coef * free[:, 0]))
+    n, params = len(frame), 1 + 1 + units - 1 + 4999
+    error = np.sqrt(units / (units - 1) * (n - 1) / (n - params) * (score**2).sum()) / (free[:, 0] @ free[:, 0])
+    assert (fit.n_obs, fit.n_units, fit.n_periods) == (n, units, 5000)
+    assert fit.estimate("x") == pytest.approx((coef, error), rel=1e-8)
+
+
 def test_event_study_shape(spark):
     got = R.event_study(to_spark(spark, panel())).orderBy("event_time").collect()
     assert [r.event_time for r in got] == [-5, -4, -3, -2, 0, 1, 2, 3, 4, 5, 6]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from panelwright.operators.passes import Walk, ordered_pass
 from panelwright.runtime import stage
 
 _POSITION_BITS = 33  # monotonically_increasing_id: partition in the upper bits, row in the lower 33
@@ -89,80 +90,73 @@ def running_total(df: DataFrame, value: str, order: list[Column]) -> DataFrame:
     )
 
 
-def previous_row(laid: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """Adds struct ``name`` with ``columns`` of the row before, across partition borders.
-
-    ``laid`` comes from :func:`range_layout`. The carry table holds one row per partition.
-    """
-    packed = F.struct(*columns)
-    last = laid.groupBy("_part").agg(F.max_by(packed, "_pos").alias("_last"))
-    carry = last.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_carry"))
-    local = F.lag(packed).over(Window.partitionBy("_part").orderBy("_pos"))
-    return (
-        laid.withColumn("_local", local)
-        .join(F.broadcast(carry), "_part")
-        .withColumn(name, F.when(F.col("_pos") == 1, F.col("_carry")).otherwise(F.col("_local")))
-        .drop("_local", "_carry")
-    )
+GRID = 256  # steps of the sketch that is taken of what a bracket holds
+ACCURACY = 4096
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """Exact interpolated percentiles (as PERCENTILE_CONT) per key, NULL values ignored.
 
-    Values are counted first, the distinct values are laid out by range, and the two order
-    statistics around each quantile are picked by cumulative count.
+    Distributed selection. Each order statistic that is wanted has a bracket of values. A round is one scan that counts what
+    lies below and inside the bracket and sketches the inside; ranks of a sketch are off by at most 1/``ACCURACY`` of what it
+    has seen, so the steps around the wanted rank are the next bracket, which holds about a hundredth of the last. The ends of a
+    bracket are counted apart, so each round leaves fewer values however often one repeats. It ends when a bracket is one value. Nothing is sorted, and a key of all rows is as good as many.
     """
     if not keys:
         return exact_percentiles(df.withColumn("_all", F.lit(1)), ["_all"], value, quantiles).drop("_all")
-    histogram = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    laid = range_layout(histogram, [F.col(c) for c in (*keys, value)])
-    offsets = _part_offsets(laid, {"c": F.sum("_c")})
-    local = F.sum("_c").over(
-        Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    cumulative = (
-        laid.withColumn("_local", local)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn("_upto", F.col("_local") + F.col("c_before"))
-        .withColumn("_from", F.col("_upto") - F.col("_c"))
-    )
-    spans = cumulative.groupBy(*keys).agg(F.min("_from").alias("_start"), F.sum("_c").alias("_n"))
-    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
-    joined = (
-        cumulative.alias("c")
-        .join(spans.alias("s"), same)
-        .select(*[F.col(f"c.{k}").alias(k) for k in keys], value, "_from", "_upto", "_start", "_n")
-    )
-    picks = []
-    for name, q in quantiles.items():
-        rank = (F.col("_n") - 1) * F.lit(float(q))
-        for side, position in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            at = F.col("_start") + position
-            hit = (F.col("_from") <= at) & (at < F.col("_upto"))
-            picks.append(F.max(F.when(hit, F.col(value))).alias(f"_{name}_{side}"))
-    stats = joined.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks)
+    data = stage(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")))
+    grid = [k / GRID for k in range(GRID + 1)]
+    wanted = {f"_{name}_{side}": (F.floor if side == "lo" else F.ceil)((F.col("_n") - 1) * F.lit(float(q))) for name, q in quantiles.items() for side in ("lo", "hi")}
+
+    def bracket(t: str, sketch: Column, below: Column, inside: Column) -> list[Column]:
+        step = F.floor((wanted[t] - below + 0.5) / F.greatest(inside, F.lit(1)) * GRID).cast("int")
+        return [F.try_element_at(sketch, F.greatest(step, F.lit(1))).alias(f"{t}_from"), F.try_element_at(sketch, F.least(step + 3, F.lit(GRID + 1))).alias(f"{t}_to")]
+
+    whole = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", grid, ACCURACY).alias("_g"))
+    now = stage(whole.select(*keys, "_n", *[c for t in wanted for c in bracket(t, F.col("_g"), F.lit(0), F.col("_n"))]))
+    def unsettled(rows: DataFrame) -> bool:
+        return not rows.where(F.exists(F.array(*[F.col(f"{t}_from") < F.col(f"{t}_to") for t in wanted]), lambda x: x)).isEmpty()
+
+    while unsettled(now):
+        same = [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+        met = data.alias("d").join(now.alias("s"), same).select(*[F.col(f"d.{k}").alias(k) for k in keys], "_v", *[c for c in now.columns if c not in keys])
+        seen = [F.first("_n").alias("_n")]
+        for t in wanted:
+            low, high, v = F.col(f"{t}_from"), F.col(f"{t}_to"), F.col("_v")
+            between = (v > low) & (v < high)
+            seen += [F.first(low).alias(f"{t}_from"), F.first(high).alias(f"{t}_to"), F.count(F.when(v < low, 1)).alias(f"{t}_below")]
+            seen += [F.count(F.when(v == low, 1)).alias(f"{t}_low"), F.count(F.when(between, 1)).alias(f"{t}_between"), F.count(F.when(v <= high, 1)).alias(f"{t}_upto")]
+            seen.append(F.percentile_approx(F.when(between, v), grid, ACCURACY).alias(f"{t}_g"))
+        counted = met.groupBy(*keys).agg(*seen)
+        columns = []
+        for t in wanted:
+            low, high, below, at_low, inside, upto = (F.col(f"{t}_{c}") for c in ("from", "to", "below", "low", "between", "upto"))
+            held = (below <= wanted[t]) & (wanted[t] < upto)
+            checked = F.when(held, below).otherwise(F.raise_error(F.lit("a sketch is less accurate than it promises")).cast("long"))
+            is_low, is_high = wanted[t] < checked + at_low, wanted[t] >= checked + at_low + inside
+            start, end = bracket(t, F.col(f"{t}_g"), checked + at_low, inside)  # of what lies between the ends
+            columns.append(F.when(is_low, low).when(is_high, high).otherwise(start).alias(f"{t}_from"))
+            columns.append(F.when(is_low, low).when(is_high, high).otherwise(end).alias(f"{t}_to"))
+        now = stage(counted.select(*keys, "_n", *columns))
     out = []
     for name, q in quantiles.items():
         rank = (F.col("_n") - 1) * F.lit(float(q))
-        low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        low, high = F.col(f"_{name}_lo_from"), F.col(f"_{name}_hi_from")
         out.append((low + (high - low) * (rank - F.floor(rank))).alias(name))
-    return stats.select(*keys, *out)
+    return now.select(*keys, *out)
 
 
 def row_number_by_key(df: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:
-    """ROW_NUMBER per key where one key may hold a large share of the rows.
-
-    The global position minus the key's first position, so no task needs a whole key.
-    """
-    ranked = global_row_number(df, [F.col(key), *order]).drop("n_rows")
-    starts = ranked.groupBy(F.col(key).alias("_key")).agg(F.min("row_number").alias("_start"))
-    return ranked.join(starts, F.col(key).eqNullSafe(F.col("_key"))).select(
-        *df.columns, (F.col("row_number") - F.col("_start") + 1).alias(name)
-    )
+    """ROW_NUMBER per key where one key may hold a large share of the rows."""
+    return ordered_pass(df, Walk([key]), order).withColumnRenamed("row_number", name)
 
 
 def lag_by_key(df: DataFrame, key: str, order: list[Column], value: str, name: str) -> DataFrame:
     """LAG(value) per key where one key may hold a large share of the rows."""
-    seen = previous_row(range_layout(df, [F.col(key), *order]), [key, value], "_prev")
-    same_key = F.col("_prev").isNotNull() & F.col(f"_prev.{key}").eqNullSafe(F.col(key))
-    return seen.select(*df.columns, F.when(same_key, F.col(f"_prev.{value}")).alias(name))
+    return ordered_pass(df, Walk([key], previous=[value]), order).select(*df.columns, F.col(f"previous_{value}").alias(name))
+
+
+def cumulated(df: DataFrame, value: str, order: list[Column]) -> DataFrame:
+    """``running`` sum of ``value`` in the unique order ``order`` and the grand ``total``, in one pass over the sorted rows."""
+    passed = ordered_pass(df, Walk([], sums=[value], totals=True), order)
+    return passed.select(*df.columns, F.col(f"running_{value}").alias("running"), F.col(f"total_{value}").alias("total"))

@@ -38,6 +38,7 @@ class Walk:
     sums: list[str] = field(default_factory=list)
     opens: Opens | None = None
     opens_on: list[str] = field(default_factory=list)
+    totals: bool = False  # without keys: the sums over the whole table, too
 
     def seen(self) -> list[str]:
         return list(dict.fromkeys([*self.keys, *self.previous, *self.opens_on]))
@@ -141,7 +142,7 @@ def _borders(walked: DataFrame, walk: Walk) -> DataFrame:
     same = _same(before, now, walk.keys, n) & (np.arange(n) > 0)
     opened = ~same | walk.opens(before, now) if walk.opens else ~same
     whole = column("l__head").to_numpy(zero_copy_only=False)  # one key from the first row to the last
-    carried = {}
+    carried, reached = {}, {}
     for name in ["_n", *totals]:
         ends_at, carry, upto = column(f"l_{name}").to_pylist(), [], 0
         for p in range(n):
@@ -149,13 +150,14 @@ def _borders(walked: DataFrame, walk: Walk) -> DataFrame:
             carry.append((upto if same[p] else 0) + flag)
             upto = ends_at[p] + (carry[p] if whole[p] else 0)
         carried[name] = pa.array(carry, type=column(f"l_{name}").type)
+        reached[name] = pa.array([upto] * n, type=carried[name].type)  # without keys: the total
     prior = {f"_b_{c}": pc.if_else(pa.array(same), before[c], pa.scalar(None, before[c].type)) for c in walk.previous}
-    made = pa.table({"_part": column("_part"), "_opened": pa.array(opened.astype(np.int32)), **{f"_c{k}": v for k, v in carried.items()}, **prior})
+    made = pa.table({"_part": column("_part"), "_opened": pa.array(opened.astype(np.int32)), **{f"_c{k}": v for k, v in carried.items()}, **prior, **({f"_t{k}": v for k, v in reached.items()} if walk.totals else {})})
     return walked.sparkSession.createDataFrame(made)
 
 
 def ordered_pass(df: DataFrame, walk: Walk, order: list[Column]) -> DataFrame:
-    """Adds ``row_number`` (from 1 within the keys), ``previous_<c>``, ``running_<c>`` and, with ``opens``, ``opened``
+    """Adds ``row_number`` (from 1 within the keys), ``previous_<c>``, ``running_<c>``, ``total_<c>`` if asked and, with ``opens``, ``opened``
     (0/1; 1 on the first row of a key) and ``group_number`` (running count of ``opened`` within the key).
 
     ``keys`` and ``order`` together must be unique over rows. No keys: the whole table. An empty table stays empty.
@@ -166,6 +168,8 @@ def ordered_pass(df: DataFrame, walk: Walk, order: list[Column]) -> DataFrame:
     columns = [over("_n").alias("row_number")]
     columns += [F.when(F.col("_lone"), F.col(f"_b_{c}")).otherwise(F.col(f"_p_{c}")).alias(f"previous_{c}") for c in walk.previous]
     columns += [over(f"_s_{c}").alias(f"running_{c}") for c in walk.sums]
+    if walk.totals:
+        columns += [F.col(f"_t_s_{c}").alias(f"total_{c}") for c in walk.sums]
     if walk.opens:
         columns += [F.when(F.col("_lone"), F.col("_opened")).otherwise(F.col("_flag")).alias("opened"), over("_groups").alias("group_number")]
     return walked.join(F.broadcast(_borders(walked, walk)), "_part").select(*df.columns, *columns)

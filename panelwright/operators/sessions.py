@@ -2,40 +2,33 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from panelwright.operators.ordered import previous_row, range_layout
+from panelwright.operators.passes import Walk, ordered_pass
+
+# Ship these functions inside the task, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def sessionize(df: DataFrame, key: str, ts: str, tie_break: str, gap_seconds: int) -> DataFrame:
     """Adds ``new_session`` (0/1) and ``session_id`` (running count per key).
 
-    A row opens a session when it is the key's first or more than ``gap_seconds`` after the
-    row before. Rows are laid out by (key, time), so one user's rows may spread over many
-    tasks; only counts of keys that cross a partition border are carried.
+    A row opens a session when it is the key's first, when it is more than ``gap_seconds`` after the row before, or when
+    either time is unknown. Rows are sorted by (key, time) once, so one user's rows may spread over many tasks.
     """
-    laid = range_layout(df, [F.col(key), F.col(ts), F.col(tie_break)])
-    seen = previous_row(laid, [key, ts], "_prev")
-    same_key = F.col("_prev").isNotNull() & F.col(f"_prev.{key}").eqNullSafe(F.col(key))
-    elapsed = F.timestamp_diff("MICROSECOND", F.col(f"_prev.{ts}"), F.col(ts)) / F.lit(1_000_000)
-    flagged = seen.withColumn("new_session", F.when(same_key & (elapsed <= gap_seconds), 0).otherwise(1))
-
-    counts = flagged.groupBy("_part", key).agg(F.sum("new_session").alias("_n"))
-    edge = flagged.groupBy("_part").agg(F.min(F.struct(F.col(key))).alias("_first"))
-    edge_keys = edge.select(F.col(f"_first.{key}").alias("_edge")).distinct()  # at most one per partition
-    crossing = counts.join(F.broadcast(edge_keys), F.col(key).eqNullSafe(F.col("_edge")), "left_semi")
-    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        crossing.select(F.col("_part").alias("_cpart"), F.col(key).alias("_ckey"), F.sum("_n").over(before).alias("_carry"))
-        .where(F.col("_carry").isNotNull())
-    )  # at most one row per partition: the key it continues
-    local = F.sum("new_session").over(
-        Window.partitionBy("_part", key).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return (
-        flagged.withColumn("_local", local)
-        .join(F.broadcast(carry), (F.col("_part") == F.col("_cpart")) & F.col(key).eqNullSafe(F.col("_ckey")), "left")
-        .select(*df.columns, "new_session", (F.col("_local") + F.coalesce("_carry", F.lit(0))).alias("session_id"))
-    )
+
+    def opens(before: dict[str, pa.Array], now: dict[str, pa.Array]) -> np.ndarray:
+        elapsed = pc.subtract(pc.cast(now["_us"], pa.int64()), pc.cast(before["_us"], pa.int64()))
+        return pc.fill_null(pc.greater(elapsed, gap_seconds * 1_000_000), True).to_numpy(zero_copy_only=False)
+
+    timed = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    walk = Walk([key], opens=opens, opens_on=["_us"])
+    seen = ordered_pass(timed, walk, [F.col(ts), F.col(tie_break)])
+    return seen.select(*df.columns, F.col("opened").alias("new_session"), F.col("group_number").alias("session_id"))

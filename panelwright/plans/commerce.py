@@ -13,7 +13,7 @@ from pyspark.sql import Window
 
 from panelwright.functions.cleaning import bucket, days_between, json_field, month_key
 from panelwright.operators.latest import top_n_per_group
-from panelwright.operators.ordered import exact_percentiles, global_ntile, running_total
+from panelwright.operators.ordered import cumulated, exact_percentiles, global_ntile
 from panelwright.sources.derived import Star
 
 
@@ -101,7 +101,7 @@ def top_decile(star: Star) -> DataFrame:
 def pareto_share(star: Star, limit: float = 0.8) -> DataFrame:
     """Share of customers whose running revenue share (peers included) stays within ``limit``."""
     by_value = customer_revenue(star).groupBy("revenue").agg(F.count("*").alias("customers"))
-    steps = running_total(by_value.withColumn("amount", F.col("revenue") * F.col("customers")), "amount", [F.col("revenue").desc()])
+    steps = cumulated(by_value.withColumn("amount", F.col("revenue") * F.col("customers")), "amount", [F.col("revenue").desc()])
     inside = F.col("running") / F.col("total") <= limit
     return steps.agg(
         F.round(F.sum(F.when(inside, F.col("customers")).otherwise(0)) / F.sum("customers"), 6).alias(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from functools import cached_property
 
@@ -112,14 +113,31 @@ def read_shards(spark: SparkSession, folder: str, schema: T.StructType) -> DataF
     )
 
 
+def _neutral(name: str, kind: T.DataType) -> Column:
+    """Value as text that engines agree on: floats with ten decimals (as they print where they do not fit), times in microseconds."""
+    c = F.col(name)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.coalesce(c.try_cast("decimal(38,10)").cast("string"), c.cast("string"))
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("string")
+    return c.cast("string")
+
+
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Order-free fingerprint: row count and the sum of 64-bit row hashes.
+    """Order-free fingerprint that other engines can repeat: row count and sums of both halves of a row hash.
 
-    The sum is taken in DECIMAL(38,0), so no number of rows can wrap it. The hash skips NULLs, so
-    each column also tells whether it is one.
+    A row's hash is the MD5 of its fields, each ``-`` if NULL, else its UTF-8 length, ``:`` and text. Sums are
+    taken in DECIMAL(38,0), which 10^18 rows can not wrap.
     """
-    row_hash = F.xxhash64(*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns]).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(row_hash).cast("string").alias("hash_sum"))
+    texts = [_neutral(c, df.schema[c].dataType) for c in columns]
+    row = F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts])
+    halves = df.select(F.md5(row.cast("binary")).alias("h"))
+    number = lambda text: F.conv(text, 16, 10).cast("decimal(20,0)").cast("decimal(38,0)")
+    return halves.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(number(F.substring("h", 1, 16))).cast("string").alias("high_sum"),
+        F.sum(number(F.substring("h", 17, 16))).cast("string").alias("low_sum"),
+    )
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
@@ -128,17 +146,63 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def refresh_summary(df: DataFrame, folder: str, view: str) -> DataFrame:
-    """Refresh a summary table under readers: write a new version, then swing the view.
+CURRENT = "_current"  # names the version that readers take
+
+
+def _file_system(spark: SparkSession, folder: str):
+    """Hadoop's file context of a folder, its Path class and the gateway."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(folder).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    return context, path, jvm
+
+
+def publish(df: DataFrame, folder: str, grace_seconds: int = 86_400) -> str:
+    """Replace a table under its readers, in any session: returns the name of the new version.
 
-    Readers that resolved the old version keep reading its files.
+    The version is written in full, then a pointer file is renamed over the old one, which is one step for the file
+    system: readers find the old version or the new one. A reader that has the old one keeps its files until they have been
+    superseded for ``grace_seconds``; unfinished versions of failed writers go then, too. Of two writers the later rename wins.
     """
     spark = df.sparkSession
-    path = f"{folder}/version-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    fresh = spark.read.schema(df.schema).parquet(path)
-    fresh.createOrReplaceTempView(view)
-    return fresh
+    version = f"version-{time.time_ns():020d}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{version}")
+    context, path, jvm = _file_system(spark, folder)
+    draft, pointer = path(f"{folder}/{CURRENT}-{uuid.uuid4().hex}"), path(f"{folder}/{CURRENT}")
+    fs = draft.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(draft)
+    out.write(bytearray(version.encode()))
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(draft, pointer, overwrite)
+    _expire(fs, path, folder, _current(spark, folder), grace_seconds)
+    return version
+
+
+def _current(spark: SparkSession, folder: str) -> str:
+    _, path, jvm = _file_system(spark, folder)
+    pointer = path(f"{folder}/{CURRENT}")
+    stream = pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(pointer)
+    try:
+        return str(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")).strip()
+    finally:
+        stream.close()
+
+
+def _expire(fs, path, folder: str, current: str, grace_seconds: int) -> None:
+    """Deletes versions before the current one whose successor is older than the grace time, in which a writer must finish."""
+    statuses = [s for s in fs.listStatus(path(folder)) if s.getPath().getName().startswith("version-")]
+    names = sorted(s.getPath().getName() for s in statuses)
+    now = time.time_ns()
+    for name, successor in zip(names, names[1:], strict=False):
+        if name < current and now - int(successor.split("-")[1]) >= grace_seconds * 1_000_000_000:
+            fs.delete(path(f"{folder}/{name}"), True)
+
+
+def published(spark: SparkSession, folder: str) -> DataFrame:
+    """The version of a published table that is current now; its files stay while it is read."""
+    return spark.read.parquet(f"{folder}/{_current(spark, folder)}")
 
 
 def _blank_to_null(col: Column) -> Column:

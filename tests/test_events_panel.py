@@ -92,10 +92,17 @@ def test_fingerprint_ignores_order_not_content(spark):
     assert rows(S.fingerprint(a, ["i", "s"])) != rows(S.fingerprint(changed, ["i", "s"]))
 
 
-def test_refresh_keeps_old_readers(spark, tmp_path):
-    first = S.refresh_summary(spark.range(3), str(tmp_path), "summary_test")
-    S.refresh_summary(spark.range(5), str(tmp_path), "summary_test")
-    assert (first.count(), spark.table("summary_test").count()) == (3, 5)
+def test_published_versions(spark, tmp_path):
+    place = f"file://{tmp_path}/table"
+    first = S.publish(spark.range(3), place)
+    running, other = S.published(spark, place), spark.newSession()
+    S.publish(spark.range(5), place)
+    assert (S.published(other, place).count(), running.count()) == (5, 3)  # another session sees the new one, a reader keeps the old
+    late = S.publish(spark.range(7), place, grace_seconds=0)
+    assert S.published(other, place).count() == 7
+    kept = sorted(p.name for p in (tmp_path / "table").iterdir() if p.name.startswith("version-"))
+    assert kept == [late] and first not in kept
+    assert (tmp_path / "table" / "_current").read_text() == late
 
 
 def test_file_hashes(spark, tmp_path):

@@ -56,6 +56,15 @@ def test_contracts(spark):
         Q.require_columns(df, ["zz"])
 
 
+def test_one_cent_is_found_among_large_sums(spark):
+    big = spark.createDataFrame([(9e12 + 0.01 * k,) for k in range(2000)], "m double")
+    less = spark.createDataFrame([(9e12 + 0.01 * k - (0.01 if k == 700 else 0),) for k in range(2000)], "m double").repartition(5)
+    assert rows(Q.reconcile(big, F.sum(Q.cents("m")), big.repartition(7), F.sum(Q.cents("m")), "same")) == [("same", True, 0)]
+    assert rows(Q.reconcile(big, F.sum(Q.cents("m")), less, F.sum(Q.cents("m")), "less")) == [("less", False, 1)]
+    with pytest.raises(TypeError, match="cents"):
+        Q.reconcile(big, F.sum("m"), big, F.sum("m"), "doubles")
+
+
 def test_empty_tables_pass(spark):
     empty = spark.createDataFrame([], "u int, t int")
     assert rows(Q.check_unique(empty, ["u"])) == [("unique", True, 0)]

@@ -83,6 +83,17 @@ def test_percentiles_per_key(spark, skewed, partitions):
     assert got.count() == len(values)
 
 
+def test_percentiles_of_one_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "GRID", 8)  # brackets stay wide: several rounds
+    monkeypatch.setattr(ordered, "ACCURACY", 60)
+    rng = random.Random(3)
+    values = [rng.choice([1e-300, 0.1, 0.3, -5.5, 1e200, float(rng.randrange(9)), rng.gauss(0, 1)]) for _ in range(30_000)]
+    df = spark.createDataFrame([(None, v) for v in values] + [("b", 2.0), ("c", None)], "k string, v double").repartition(9)
+    got = {r.k: r for r in ordered.exact_percentiles(df, ["k"], "v", {"a": 0.0, "b": 0.31, "c": 0.5, "d": 1.0}).collect()}
+    assert set(got) == {None, "b"} and tuple(got["b"])[1:] == (2.0,) * 4
+    assert np.allclose(tuple(got[None])[1:], np.quantile(values, [0, 0.31, 0.5, 1]), rtol=1e-14)
+
+
 def test_overall_percentile(spark, skewed):
     got = ordered.exact_percentiles(skewed, [], "v", {"m": 0.5}).collect()
     assert [tuple(r) for r in got] == [(float(np.median([r.v for r in skewed.collect()])),)]
@@ -123,6 +134,8 @@ def test_one_pass_within_hot_keys(spark, skewed, partitions):
 
 
 def test_one_pass_without_keys_and_of_nothing(spark, skewed, partitions):
+    got = ordered.cumulated(skewed, "v", order())
+    assert rows(got) == rows(ordered.running_total(skewed, "v", order()))
     got = passes.ordered_pass(skewed, passes.Walk([], sums=["v"]), order())
     window = Window.orderBy("v", "i").rowsBetween(Window.unboundedPreceding, 0)
     want = skewed.withColumn("row_number", F.row_number().over(Window.orderBy("v", "i")).cast("long")).withColumn("running_v", F.sum("v").over(window))

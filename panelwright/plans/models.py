@@ -6,13 +6,17 @@ runtime_s, status``.
 
 from __future__ import annotations
 
+import time
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from panelwright.operators.contracts import require_columns
 from panelwright.plans.supervised import Supervised
+from panelwright.runtime import stage
 from panelwright.sources.tables import read_shards
 
 KEY = ["target", "cutoff_idx", "origin_idx"]
@@ -80,13 +84,29 @@ def baseline_forecasts(data: Supervised, models: tuple[str, ...] = BASELINES) ->
                 )
             )
     listed = stats.select(*KEY, F.explode(F.array(*rows)).alias("m")).where("m.ready")
-    # These are set operations over all origins, so there is no runtime per fit.
+    # Set operations over all origins at once; timed_forecasts() measures them.
     return listed.select(
         *KEY, (F.col("origin_idx") + F.col("m.horizon")).alias("target_idx"), "m.horizon", "m.model", "m.forecast",
         "m.sigma", F.lit(None).cast("double").alias("runtime_s"), F.lit("ok").alias("status"),
     ).select(*FORECAST_COLUMNS)
 
 
+def timed_forecasts(data: Supervised, models: tuple[str, ...] = BASELINES) -> DataFrame:
+    """Forecasts of each model from a job of its own, with the job's seconds shared out over its rows as ``runtime_s``.
+
+    Inputs that the models share are landed before, so the first model does not pay for them.
+    """
+    data.selected_rows.agg(F.count(F.lit(1))).collect()
+    ledgers = []
+    for model in models:
+        seen, began = Observation(), time.perf_counter()
+        made = stage(baseline_forecasts(data, (model,)).observe(seen, F.count(F.lit(1)).alias("rows")))
+        seconds = time.perf_counter() - began
+        share = seconds / seen.get["rows"] if seen.get["rows"] else None
+        ledgers.append(made.withColumn("runtime_s", F.lit(share).cast("double")))
+    return reduce(DataFrame.unionByName, ledgers)
+
+
 def read_external_forecasts(spark: SparkSession, folder: str, schema=FORECAST_SCHEMA) -> DataFrame:
     """Ledger rows produced elsewhere, as CSV shards."""
     return require_columns(read_shards(spark, folder, schema), FORECAST_COLUMNS)

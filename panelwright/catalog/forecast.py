@@ -122,11 +122,13 @@ def history_of(spark, folder) -> DataFrame:
     )
 
 
-def over_history(build, spark, folder) -> DataFrame:
-    """``build`` over the revision intervals for every month end between their first and last start."""
-    history = history_of(spark, folder)
+def over_history(build, spark, folder, days: str = "month ends") -> DataFrame:
+    """``build`` over the revision intervals for month ends, for the 8th and 23rd of each month, or for both."""
+    history = stage(history_of(spark, folder))
     first, last = history.agg(F.min("realtime_start").cast("string"), F.max("realtime_start").cast("string")).first()
-    return build(history, first, last)
+    ends = vintage.month_ends(spark, first, last)
+    inside = ends.select(F.explode(F.array(*[F.date_add(F.trunc("cutoff", "month"), d) for d in (7, 22)])).alias("cutoff"))
+    return build(history, {"month ends": ends, "inside": inside, "both": ends.union(inside)}[days])
 
 
 HISTORY = """
@@ -143,12 +145,19 @@ initial AS (
   SELECT series_id, observation_date, min(realtime_start) AS vintage_date, min_by(value, realtime_start) AS value FROM history WHERE value IS NOT NULL GROUP BY 1, 2)"""
 PANEL_TEXT = f"SELECT series_id, {D('observation_date')}, {D('vintage_date')}, value FROM "
 BOOK.add("v06", lambda s, d: vintage.initial_release(history_of(s, d)), with_(VINTAGES, HISTORY) + PANEL_TEXT + "initial")
-for _name in ("v07", "j12"):
-    BOOK.add(_name, lambda s, d: over_history(vintage.snapshot_from_history, s, d), with_(VINTAGES, HISTORY) + PANEL_TEXT + "hsnap")
+_INSIDE = "inside AS (SELECT CAST(date_trunc('month', cutoff) AS DATE) + unnest([7, 22]) AS cutoff FROM cut)"
+HISTORY_INSIDE = HISTORY.replace("hsnap AS (", _INSIDE + ",\nhsnap AS (").replace("FROM history h JOIN cut ON", "FROM history h JOIN ({days}) ON")
+_DAYS = {"month ends": "SELECT * FROM cut", "inside": "SELECT * FROM inside", "both": "SELECT * FROM cut UNION ALL SELECT * FROM inside"}
+for _name, _days in (("v07", "both"), ("j12", "inside")):
+    BOOK.add(
+        _name,
+        lambda s, d, days=_days: over_history(vintage.snapshot_from_history, s, d, days),
+        with_(VINTAGES, HISTORY_INSIDE.replace("{days}", _DAYS[_days])) + PANEL_TEXT + "hsnap",
+    )
 BOOK.add(
     "v08",
-    lambda s, d: over_history(vintage.build_vintage_panel, s, d),
-    with_(VINTAGES, HISTORY) + PANEL_TEXT + "(SELECT * FROM initial UNION SELECT * FROM hsnap)",
+    lambda s, d: over_history(vintage.build_vintage_panel, s, d, "both"),
+    with_(VINTAGES, HISTORY_INSIDE.replace("{days}", _DAYS["both"])) + PANEL_TEXT + "(SELECT * FROM initial UNION SELECT * FROM hsnap)",
 )
 BOOK.add(
     "v09",

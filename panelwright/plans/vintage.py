@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -11,6 +11,7 @@ from panelwright.operators.calendar import month_spine
 from panelwright.operators.contracts import check_rows, require_columns
 from panelwright.operators.latest import first_by
 from panelwright.operators.series import rolling_sd, transform_series
+from panelwright.runtime import stage
 
 PANEL_COLUMNS = ["series_id", "observation_date", "vintage_date", "value"]
 TRUTH_MODES = ("first_release", "latest")
@@ -39,24 +40,50 @@ def _cutoff_bounds(first: str, last: str) -> tuple[Column, Column]:
     return month_index(a), month_index(b) - F.when(b < month_end(b), 1).otherwise(0)
 
 
-def snapshots_at(panel: DataFrame, cutoffs: list[str]) -> DataFrame:
-    """What was known on each of the days ``cutoffs`` (any days, in any order).
+def days_of(spark: SparkSession, days: list[str]) -> DataFrame:
+    """Cutoff table of given days."""
+    return spark.createDataFrame([(d,) for d in days], "cutoff string").select(F.col("cutoff").cast("date").alias("cutoff"))
 
-    A revision is valid from its own day to the next revision's. Both ends are turned into positions
-    in the sorted list of cutoffs, so only cutoffs that see the revision are listed.
-    Output: ``cutoff, series_id, observation_date, value``.
-    """
-    days = F.array(*[F.lit(c).cast("date") for c in sorted(set(cutoffs))]).cast("array<date>")
-    following = F.lead("vintage_date").over(Window.partitionBy("series_id", "observation_date").orderBy("vintage_date"))
 
-    def before(day: Column) -> Column:
-        return F.size(F.filter(days, lambda c: c < day))
+def month_ends(spark: SparkSession, first: str, last: str) -> DataFrame:
+    """Cutoff table of the month ends within two days."""
+    lo, hi = _cutoff_bounds(first, last)
+    return spark.range(1).select(F.explode(F.when(lo <= hi, F.sequence(lo, hi))).alias("m")).select(month_end(month_from_index(F.col("m"))).alias("cutoff"))
+
 
-    placed = panel.withColumn("_next", following).withColumns(
-        {"_from": before(F.col("vintage_date")), "_to": F.when(F.col("_next").isNull(), F.size(days)).otherwise(before(F.col("_next")))}
+def _seen_from(intervals: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """Closed intervals ``realtime_start, realtime_end`` (either may be NULL: open) with every cutoff they hold, as ``cutoff``.
+
+    One sweep over the days that occur, as cutoff or as an end of an interval, tells how many cutoffs lie before and up to
+    each. An interval's cutoffs are then a range of positions, listed without comparing it with any other. The sweep has one
+    row per day of the calendar.
+    """
+    days = cutoffs.where("cutoff IS NOT NULL").select("cutoff").distinct()
+    ends = intervals.select(F.explode(F.array("realtime_start", "realtime_end")).alias("day")).where("day IS NOT NULL").distinct()
+    marks = days.select(F.col("cutoff").alias("day"), F.lit(1).alias("is_cutoff")).unionByName(ends.withColumn("is_cutoff", F.lit(0)))
+    upto = Window.orderBy("day")
+    places = stage(
+        marks.groupBy("day").agg(F.max("is_cutoff").alias("is_cutoff")).select("day", "is_cutoff", F.sum("is_cutoff").over(upto).alias("upto"))
     )
-    seen = placed.where(F.col("_from") < F.col("_to"))
-    return seen.select(F.explode(F.slice(days, F.col("_from") + 1, F.col("_to") - F.col("_from"))).alias("cutoff"), "series_id", "observation_date", "value")
+    total = F.broadcast(places.agg(F.coalesce(F.sum("is_cutoff"), F.lit(0)).alias("total")))  # one row
+    starts = places.select(F.col("day").alias("realtime_start"), (F.col("upto") - F.col("is_cutoff")).alias("_start"))
+    finishes = places.select(F.col("day").alias("realtime_end"), F.col("upto").alias("_finish"))
+    ranged = intervals.join(starts, "realtime_start", "left").join(finishes, "realtime_end", "left").join(total)
+    first, after = F.coalesce("_start", F.lit(0)), F.coalesce("_finish", "total")
+    listed = ranged.where(first < after).withColumn("_at", F.explode(F.sequence(first + 1, after)))
+    held = places.where("is_cutoff = 1").select(F.col("upto").alias("_at"), F.col("day").alias("cutoff"))
+    return listed.join(held, "_at").select(*intervals.columns, "cutoff")
+
+
+def snapshots_at(panel: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """What was known on each day of the table ``cutoffs`` (column ``cutoff``; any days, in any order).
+
+    A revision is valid from its own day to the day before the next revision's.
+    Output: ``cutoff, series_id, observation_date, value``.
+    """
+    following = F.lead("vintage_date").over(Window.partitionBy("series_id", "observation_date").orderBy("vintage_date"))
+    valid = panel.select("series_id", "observation_date", "value", F.col("vintage_date").alias("realtime_start"), F.date_sub(following, 1).alias("realtime_end"))
+    return _seen_from(valid, cutoffs).select("cutoff", "series_id", "observation_date", "value")
 
 
 def snapshots(panel: DataFrame, first: str, last: str) -> DataFrame:
@@ -127,33 +154,20 @@ def initial_release(history: DataFrame) -> DataFrame:
     return first.select("series_id", "observation_date", F.col("realtime_start").alias("vintage_date"), "value")
 
 
-def snapshot_from_history(history: DataFrame, first: str, last: str) -> DataFrame:
-    """Month-end snapshots of closed validity intervals.
+def snapshot_from_history(history: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """Snapshots of closed validity intervals at any days (column ``cutoff``).
 
     At a cutoff the active interval with the latest start wins. If that one has no value the
     observation is absent: an earlier revision does not come back.
     """
-    lo, hi = _cutoff_bounds(first, last)
-    end = F.col("realtime_end")
-    last_month = month_index(end) - F.when(end < month_end(end), 1).otherwise(0)
-    active = (
-        history.withColumns(
-            {"_from": F.greatest(month_index(F.col("realtime_start")), lo), "_to": F.least(last_month, hi)}
-        )
-        .where(F.col("_from") <= F.col("_to"))
-        .select("*", F.explode(F.sequence("_from", "_to")).alias("_cutoff"))
-    )
-    latest = active.groupBy("series_id", "observation_date", "_cutoff").agg(
-        F.max_by(F.struct("value"), "realtime_start").alias("_v")
-    )
-    return latest.where(F.col("_v.value").isNotNull()).select(
-        "series_id", "observation_date", month_end(month_from_index(F.col("_cutoff"))).alias("vintage_date"), "_v.value"
-    )
+    active = _seen_from(history.select("series_id", "observation_date", "realtime_start", "realtime_end", "value"), cutoffs)
+    latest = active.groupBy("series_id", "observation_date", "cutoff").agg(F.max_by(F.struct("value"), "realtime_start").alias("_v"))
+    return latest.where(F.col("_v.value").isNotNull()).select("series_id", "observation_date", F.col("cutoff").alias("vintage_date"), "_v.value")
 
 
-def build_vintage_panel(history: DataFrame, first: str, last: str) -> DataFrame:
-    """Initial releases and every month-end snapshot, without repeated rows."""
-    return initial_release(history).unionByName(snapshot_from_history(history, first, last)).dropDuplicates()
+def build_vintage_panel(history: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """Initial releases and the snapshot of every cutoff, without repeated rows."""
+    return initial_release(history).unionByName(snapshot_from_history(history, cutoffs)).dropDuplicates()
 
 
 # -- truth series and regimes ---------------------------------------------------------------------

@@ -61,11 +61,11 @@ def test_month_end_snapshots(spark):
 def test_snapshots_at_any_days(spark):
     data = releases(2)
     days = [date(2011, 8, 17), date(2010, 12, 1), date(2011, 8, 18), date(2012, 11, 5), date(2030, 1, 1)]
-    shown = V.snapshots_at(as_panel(spark, data), [str(d) for d in days]).collect()
+    shown = V.snapshots_at(as_panel(spark, data), V.days_of(spark, [str(d) for d in days])).collect()
     for day in days:
         got = sorted((r.series_id, str(r.observation_date), r.value) for r in shown if r.cutoff == day)
         assert got == known(data, day)
-    assert V.snapshots_at(as_panel(spark, data), []).count() == 0
+    assert V.snapshots_at(as_panel(spark, data), V.days_of(spark, [])).count() == 0
 
 
 def test_truth_modes(spark):
@@ -126,7 +126,7 @@ def intervals(spark, *parts):
 
 
 def shown(history, first, last):
-    return sorted((str(r.vintage_date), r.value) for r in V.snapshot_from_history(history, first, last).collect())
+    return sorted((str(r.vintage_date), r.value) for r in V.snapshot_from_history(history, V.month_ends(history.sparkSession, first, last)).collect())
 
 
 def test_withdrawn_value_stays_withdrawn(spark):
@@ -139,6 +139,28 @@ def test_of_overlapping_intervals_the_later_start_counts(spark):
     assert shown(history, "2011-05-01", "2011-06-30") == [("2011-05-31", 4.75), ("2011-06-30", 3.25)]
 
 
+def test_history_at_any_days_is_brute_force(spark):
+    rng = random.Random(11)
+    base = date(2012, 1, 1)
+    history = []
+    for s in ("barley", "cement"):
+        for k in range(60):
+            start = base + timedelta(days=rng.randrange(90))
+            end = rng.choice([None, date(9999, 12, 31), start + timedelta(days=rng.randrange(30))])
+            history.append((s, date(2011, 1 + k % 4, 1), start, end, rng.choice([None, float(k)])))
+    history = list({(h[0], h[1], h[2]): h for h in history}.values())  # a start is unique per observation
+    days = [base + timedelta(days=d) for d in (0, 3, 17, 44, 45, 46, 200)] + [base - timedelta(days=9), base + timedelta(days=3)]
+    df = spark.createDataFrame(history, "series_id string, observation_date date, realtime_start date, realtime_end date, value double")
+    got = sorted((r.series_id, r.observation_date, r.vintage_date, r.value) for r in V.snapshot_from_history(df, V.days_of(spark, [str(d) for d in days])).collect())
+    want = []
+    for key in {h[:2] for h in history}:
+        for day in set(days):
+            active = [h for h in history if h[:2] == key and h[2] <= day and (h[3] is None or day <= h[3])]
+            if active and (value := max(active, key=lambda h: h[2])[4]) is not None:
+                want.append((*key, day, value))
+    assert got == sorted(want) and len(got) > 8
+
+
 def test_short_series_has_no_volatility_regime(spark):
     short = spark.createDataFrame([("freight", 30 + i, 1.5 * i) for i in range(6)], "target string, month_idx int, value double")
     assert {r.vol_regime for r in V.volatility_regime(short).collect()} == {"unknown"}

@@ -73,22 +73,35 @@ class Permutation:
         self.half = max(1, ((n - 1).bit_length() + 1) // 2)
         self.keys = np.random.default_rng([SEED, key]).integers(1, 2**63, 4).astype(np.uint64)
 
-    def _once(self, x: np.ndarray) -> np.ndarray:
-        low, mask = np.uint64(self.half), np.uint64((1 << self.half) - 1)
-        left, right = x >> low, x & mask
+    def _round(self, half: np.ndarray, key: np.uint64) -> np.ndarray:
         with np.errstate(over="ignore"):
-            for k in self.keys:
-                y = (right + k) * np.uint64(0x9E3779B97F4A7C15)
-                y = (y ^ (y >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                left, right = right, left ^ ((y ^ (y >> np.uint64(32))) & mask)
+            y = (half + key) * np.uint64(0x9E3779B97F4A7C15)
+            y = (y ^ (y >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (y ^ (y >> np.uint64(32))) & np.uint64((1 << self.half) - 1)
+
+    def _once(self, x: np.ndarray, back: bool = False) -> np.ndarray:
+        low = np.uint64(self.half)
+        left, right = x >> low, x & np.uint64((1 << self.half) - 1)
+        for k in self.keys[::-1] if back else self.keys:
+            if back:
+                left, right = right ^ self._round(left, k), left
+            else:
+                left, right = right, left ^ self._round(right, k)
         return (left << low) | right
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        out = self._once(x.astype(np.uint64))
+    def _walk(self, x: np.ndarray, back: bool) -> np.ndarray:
+        out = self._once(x.astype(np.uint64), back)
         while (outside := out >= np.uint64(self.n)).any():
-            out[outside] = self._once(out[outside])
+            out[outside] = self._once(out[outside], back)
         return out.astype(np.int64)
 
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return self._walk(x, False)
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """Where the permutation has ``x``."""
+        return self._walk(x, True)
+
 
 def draws_for(target: float, size: int, block_words: int, key: int) -> tuple[int, int]:
     """Blocks of a source, and draws whose words come nearest the target: whole passes, then blocks."""
@@ -102,9 +115,7 @@ def draws_for(target: float, size: int, block_words: int, key: int) -> tuple[int
     short = blocks * block_words - size  # words that the last block lacks
     more = min(int(rest // block_words), blocks)
     options = [k for k in (more, more + 1, more + 2) if k <= blocks]
-    permutation = Permutation(blocks, key)
-    drawn = permutation(np.arange(options[-1])) if options[-1] <= 1_000_000 else None
-    last = int(np.flatnonzero(drawn == blocks - 1)[0]) if drawn is not None and (drawn == blocks - 1).any() else options[-1]
+    last = int(Permutation(blocks, key).place(np.array([blocks - 1]))[0])  # the draw that meets the short block
 
     def words(k: int) -> int:
         return k * block_words - (short if k > last or k == blocks else 0)

@@ -35,9 +35,8 @@ from panelwright.runtime import stage
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 BORDER = 26
 FLOOR = 0.02
-#: Bound of the labelled sample (rows with the smallest hash of their id) and of the model.
+#: Bound of the labelled sample (rows with the smallest hash of their id).
 SAMPLE_ROWS = 20_000
-MAX_FEATURES = 50_000
 PREFIXES = range(4, 8)
 SMOOTHING, BASE_RATE = 3.0, 0.1
 SIGNIFICANCE = 0.01
@@ -272,11 +271,14 @@ def learnt(sample: DataFrame, model) -> dict[str, float]:
         return {}
     tried = stage(_feature_counts(sample.where("toxic = 1"), model, None))
     n_tried = tried.count()
-    frequent = [(r["f"], r["n"]) for r in tried.where("n >= 3").orderBy(F.desc("n"), "f").limit(MAX_FEATURES).collect()]
-    wanted = sample.sparkSession.sparkContext.broadcast({f for f, _ in frequent})
-    clean = {r["f"]: r["n"] for r in _feature_counts(sample.where("toxic != 1"), model, wanted).collect()}  # at most MAX_FEATURES
     base = n_toxic / n_rows
     needed = 2 * math.log(max(n_tried, 1) / SIGNIFICANCE)
+    if base == 1:
+        return {}
+    least = math.ceil(needed / (-2 * math.log(base)) - 1e-9)  # toxic documents that a feature needs even if no other has it
+    frequent = [(r["f"], r["n"]) for r in tried.where(F.col("n") >= max(least, 3)).orderBy("f").collect()]  # of the sample's documents
+    wanted = sample.sparkSession.sparkContext.broadcast({f for f, _ in frequent})
+    clean = {r["f"]: r["n"] for r in _feature_counts(sample.where("toxic != 1"), model, wanted).collect()}
     out = {}
     for f, t in frequent:
         n = t + clean.get(f, 0)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 import re
 from collections import Counter, defaultdict
 
@@ -100,3 +102,21 @@ def test_nothing_to_mix(table):
     assert M.mixed(table(blank)).count() == 0
     assert M.taken(table(blank).limit(0)).count() == 0
     assert M.mixed(table(blank).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 64, 1000, 3_000_001])
+def test_places_are_the_inverse(n):
+    order = M.Permutation(n, 3)
+    some = np.unique(np.linspace(0, n - 1, min(n, 5000)).astype(np.int64))
+    assert (order.place(order(some)) == some).all() and (order(order.place(some)) == some).all()
+
+
+def test_more_than_a_million_blocks_know_their_short_one():
+    """The last block has one word: two neighbouring numbers of draws differ by a word where it is met."""
+    blocks, words = 1_500_000, 64
+    size = (blocks - 1) * words + 1
+    last = int(M.Permutation(blocks, 7).place(np.array([blocks - 1]))[0])
+    target = float(last * words + 1)  # nearest with the short block, and no other block
+    assert M.draws_for(target, size, words, 7)[1] in (last, last + 1)
+    after = float((last + 9) * words + 1)
+    assert M.draws_for(after, size, words, 7)[1] == last + 10

@@ -32,39 +32,6 @@ RETURN_REASONS = ["damaged", "changed_mind", "wrong_item"]
 EVENT_CATEGORIES = ["payroll", "procurement", "tax", "transfer"]
 
 
-def order_financials(items: DataFrame, products: DataFrame, orders: DataFrame, returns: DataFrame) -> DataFrame:
-    """One row per order with revenue, cost, refund and margin; cancelled orders earn nothing.
-
-    Items are rolled up by order before the order join, so lines never fan out.
-    """
-    rollup = (
-        items.join(products.select("product_id", "unit_cost"), "product_id")
-        .groupBy("order_id")
-        .agg(
-            F.sum(F.col("quantity") * F.col("unit_price")).alias("gross_revenue"),
-            F.sum(F.col("quantity") * F.col("unit_cost")).alias("cogs"),
-            F.sum("quantity").alias("units"),
-        )
-    )
-    joined = orders.join(rollup, "order_id", "left").join(
-        returns.select("order_id", "returned", "refund_amount"), "order_id", "left"
-    )
-    gross = F.coalesce("gross_revenue", F.lit(0.0))
-    cogs = F.coalesce("cogs", F.lit(0.0))
-    refund = F.coalesce("refund_amount", F.lit(0.0))
-    completed = F.col("status") == "completed"
-    return joined.select(
-        *orders.columns,
-        gross.alias("gross_revenue"),
-        cogs.alias("cogs"),
-        F.coalesce("units", F.lit(0)).alias("units"),
-        F.coalesce("returned", F.lit(0)).alias("returned"),
-        refund.alias("refund_amount"),
-        F.when(completed, gross + F.col("shipping_fee") - refund).otherwise(0.0).alias("net_revenue"),
-        F.when(completed, gross - cogs - refund).otherwise(0.0).alias("gross_margin"),
-    )
-
-
 class Star:
     """Commerce star schema."""
 
@@ -145,7 +112,35 @@ class Star:
 
     @cached_property
     def financials(self) -> DataFrame:
-        return order_financials(self.items, self.products, self.orders, self.returns)
+        """One row per order with revenue, cost, refund and margin, from one scan of the lines; cancelled orders earn nothing."""
+        price = half_up(F.col("l_extendedprice") / F.col("l_quantity"), 2)
+        quantity = F.col("l_quantity").cast("int")
+        costs = self.products.select("product_id", "unit_cost", F.lit(True).alias("known"))
+        lines = self.tables.lineitem.select(
+            F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"), quantity.alias("quantity"),
+            (quantity * price).alias("amount"), (F.col("l_returnflag") == "R").alias("back"),
+        )
+        known, back = F.col("known"), F.col("back")
+        rollup = lines.join(costs, "product_id", "left").groupBy("order_id").agg(
+            F.sum(F.when(known, F.col("amount"))).alias("gross"),
+            F.sum(F.when(known, F.col("quantity") * F.col("unit_cost"))).alias("cost"),
+            F.sum(F.when(known, F.col("quantity"))).alias("units"),
+            F.sum(F.when(back, F.col("amount"))).alias("refund"),
+            F.count(F.when(back, 1)).alias("lines_back"),
+        )
+        completed = F.col("status") == "completed"
+        gross, cogs = F.coalesce("gross", F.lit(0.0)), F.coalesce("cost", F.lit(0.0))
+        refund = F.coalesce(F.when(completed, F.col("refund")), F.lit(0.0))
+        return self.orders.join(rollup, "order_id", "left").select(
+            *self.orders.columns,
+            gross.alias("gross_revenue"),
+            cogs.alias("cogs"),
+            F.coalesce("units", F.lit(0)).alias("units"),
+            F.when(completed & (F.col("lines_back") > 0), 1).otherwise(0).alias("returned"),
+            refund.alias("refund_amount"),
+            F.when(completed, gross + F.col("shipping_fee") - refund).otherwise(0.0).alias("net_revenue"),
+            F.when(completed, gross - cogs - refund).otherwise(0.0).alias("gross_margin"),
+        )
 
 
 def raw_events(t: Tables) -> DataFrame:

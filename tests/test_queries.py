@@ -66,6 +66,12 @@ def test_scan_reads_only_needed_columns(spark):
     assert "ReadSchema: struct<o_custkey:bigint,o_orderstatus:string>" in plan
 
 
+def test_lines_are_scanned_once(spark):
+    for name in ("j03", "c01", "c04"):
+        plan = plan_of(spark, name)
+        assert len(re.findall(r"FileScan parquet[^\n]*lineitem", plan)) == 1 and len(re.findall(r"FileScan parquet[^\n]*orders", plan)) == 1, name
+
+
 def test_sums_are_partial_before_the_shuffle(spark):
     for name in ("a02", "c01", "c07", "c15"):
         assert "partial_sum" in plan_of(spark, name), name

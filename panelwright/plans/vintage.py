@@ -65,11 +65,11 @@ def _seen_from(intervals: DataFrame, cutoffs: DataFrame) -> DataFrame:
     places = stage(
         marks.groupBy("day").agg(F.max("is_cutoff").alias("is_cutoff")).select("day", "is_cutoff", F.sum("is_cutoff").over(upto).alias("upto"))
     )
-    total = F.broadcast(places.agg(F.coalesce(F.sum("is_cutoff"), F.lit(0)).alias("total")))  # one row
+    total = F.lit(places.agg(F.max("upto")).first()[0] or 0).cast("long")
     starts = places.select(F.col("day").alias("realtime_start"), (F.col("upto") - F.col("is_cutoff")).alias("_start"))
     finishes = places.select(F.col("day").alias("realtime_end"), F.col("upto").alias("_finish"))
-    ranged = intervals.join(starts, "realtime_start", "left").join(finishes, "realtime_end", "left").join(total)
-    first, after = F.coalesce("_start", F.lit(0)), F.coalesce("_finish", "total")
+    ranged = intervals.join(starts, "realtime_start", "left").join(finishes, "realtime_end", "left")
+    first, after = F.coalesce("_start", F.lit(0)), F.coalesce("_finish", total)
     listed = ranged.where(first < after).withColumn("_at", F.explode(F.sequence(first + 1, after)))
     held = places.where("is_cutoff = 1").select(F.col("upto").alias("_at"), F.col("day").alias("cutoff"))
     return listed.join(held, "_at").select(*intervals.columns, "cutoff")

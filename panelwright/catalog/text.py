@@ -116,9 +116,9 @@ BOOK.add("x10", x10)
 DOCS = r"""
 meta AS (
   SELECT url, nullif(coalesce(nullif(regexp_extract(url, '://[^/?#]*/[^?#]*?(\d+)', 1), ''), CAST(page_id AS VARCHAR)), '') AS document_id,
-         nullif(trim(regexp_extract(html, '<title>([^<]*)', 1, 's')), '') AS title, CAST(NULL AS VARCHAR) AS published,
+         nullif(trim(regexp_extract(html, '<title>([^<]*)', 1, 's')), '') AS title, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS published,
          nullif(regexp_extract(url, '://([^/?#]+)', 1), '') AS agency, nullif(regexp_extract(url, '://[^/?#]+/([a-z]+)/', 1), '') AS document_type,
-         CAST(page_id AS INT) AS revision FROM pages)"""
+         CAST(page_id AS INT) AS revision FROM pages LEFT JOIN orders ON o_orderkey = page_id)"""
 
 
 def pages_of(spark, folder, kind: str) -> DataFrame:
@@ -135,7 +135,11 @@ for _name, _kind, _read in (("h02", "html", H.extract_html_meta), ("h03", "text"
 BEST = "(SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY revision DESC, url DESC) AS rn FROM meta)"
 BOOK.add(
     "h04",
-    lambda s, d: H.documents(pages_of(s, d, "html").withColumns({"final_url": F.col("url"), "status": F.lit(200)})),
+    lambda s, d: H.documents(
+        document_pages(Tables(s, d))
+        .where(F.col("kind") == F.when(F.crc32(F.col("url").cast("binary")) % 2 == 0, "html").otherwise("text"))  # either layer of a page
+        .withColumns({"final_url": F.col("url"), "status": F.lit(200)})
+    ),
     with_(DOCS) + f"SELECT document_id, url, title, published AS published_date, agency, document_type, revision, 200 AS status FROM {BEST} WHERE rn = 1",
 )
 BOOK.add(

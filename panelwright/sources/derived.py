@@ -313,20 +313,22 @@ def indicator_source(t: Tables, name: str = "U") -> DataFrame:
 def document_pages(t: Tables) -> DataFrame:
     """Pages as archive documents ``url, kind, body``: each as its html and as text lines.
 
-    The number in a page's URL is the document id, its page id the revision.
+    The number in a page's URL is the document id, its page id the revision; the order of that number gives the day.
     """
+    days = t.orders.select(F.col("o_orderkey").alias("page_id"), F.col("o_orderdate").cast("date").cast("string").alias("day"))
     number = F.coalesce(F.regexp_extract("url", r"://[^/?#]*/[^?#]*?(\d+)", 1), F.lit(""))
-    fields = t.pages.select(
+    fields = t.pages.join(days, "page_id", "left").select(
         "url",
         "html",
+        F.coalesce("day", F.lit("")).alias("day"),
         F.when(number != "", number).otherwise(F.col("page_id").cast("string")).alias("id"),
         F.regexp_extract("url", r"://([^/?#]+)", 1).alias("host"),
         F.regexp_extract("url", r"://[^/?#]+/([a-z]+)/", 1).alias("section"),
         F.regexp_extract("html", r"(?s)<title>([^<]*)", 1).alias("title"),
         F.col("page_id").cast("string").alias("rev"),
     )
-    tagged = F.format_string('<main data-id="%s" data-revision="%s"><span class="agency">%s</span><span class="doctype">%s</span></main>', "id", "rev", "host", "section")
-    lines = F.format_string("Document ID: %s\nTitle: %s\nAgency: %s\nType: %s\nRevision: %s", "id", "title", "host", "section", "rev")
+    tagged = F.format_string('<main data-id="%s" data-revision="%s"><span class="agency">%s</span><span class="doctype">%s</span><time>%s</time></main>', "id", "rev", "host", "section", "day")
+    lines = F.format_string("Document ID: %s\nTitle: %s\nAgency: %s\nType: %s\nRevision: %s\nDate: %s", "id", "title", "host", "section", "rev", "day")
     both = F.array(
         F.struct(F.lit("html").alias("kind"), F.concat(tagged, "html").alias("body")),
         F.struct(F.lit("text").alias("kind"), lines.alias("body")),

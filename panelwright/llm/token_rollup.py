@@ -7,7 +7,7 @@ again. Each batch is committed once under its id: its rows are written first, it
 Spark's ``_SUCCESS`` mark of the delta is the commit. A batch that failed half-way is written anew, one
 that is committed already is left alone, so batches may be sent any number of times.
 
-Defined results: NULL and empty texts count 0 tokens in one document; NULL sources and languages
+Defined results: NULL and empty texts count 0 tokens in one document; runs of any length are encoded; NULL sources and languages
 are groups of their own; rows that repeat an id within a batch each count, and a later change
 replaces all of them; rows without an id count but can not be changed later; an empty batch is
 committed with no delta; columns other than those named are not read.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -41,10 +42,34 @@ def ranks(version: str, folder: str = FOLDER) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+#: Runs of white space (as the pattern understands it) that are too long for its matcher.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2000,}")
+
+
 def _encoder(vocabulary: dict[bytes, int]) -> Callable[[str], list[int]]:
+    """Encoder of texts with runs of any length.
+
+    The pattern takes all of a run of white space but its last sign, or the whole run where the text
+    ends. Long runs are cut at these places beforehand and encoded as the single pieces they are, so the
+    tokens are the same and the matcher, which walks back step by step, never sees them.
+    """
     import tiktoken
 
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=vocabulary, special_tokens={}).encode_ordinary
+    split = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=vocabulary, special_tokens={}).encode_ordinary
+    whole: list[Callable[[str], list[int]]] = []
+
+    def encode(text: str) -> list[int]:
+        tokens, at = [], 0
+        for run in LONG_SPACE.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            if not whole:
+                pieces = tiktoken.Encoding("whole", pat_str=r"(?s).+", mergeable_ranks=vocabulary, special_tokens={})
+                whole.append(pieces.encode_ordinary)
+            tokens += split(text[at : run.start()]) + whole[0](text[run.start() : end])
+            at = end
+        return tokens + split(text[at:]) if tokens else split(text)
+
+    return encode
 
 
 @dataclass(frozen=True)

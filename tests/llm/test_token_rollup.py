@@ -60,3 +60,18 @@ def test_a_batch_that_broke_off_is_written_anew(table, spark, tmp_path, encode):
     assert ledger.committed() == [] and read(ledger) == []
     assert ledger.commit("a", changed=table(rows), new_ids=True)
     assert read(ledger) == totals(rows, encode)
+
+
+def test_long_runs_give_the_tokens_of_the_pattern(encode, monkeypatch):
+    rng = random.Random(4)
+    spaces = [" ", "\n", "\t", " ", " ", "　", "\x1c"]
+    texts = ["".join(rng.choice([*spaces, *spaces, "a", "7", "!", "'s", "é"]) for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    want = [encode(t) for t in texts]
+    monkeypatch.setattr(R, "LONG_SPACE", __import__("re").compile(R.LONG_SPACE.pattern.replace("2000", "2")))
+    assert [encode(t) for t in texts] == want
+
+
+@pytest.mark.parametrize("sign", [" ", "\n", "x", "!", "7", "　"])
+def test_a_million_equal_signs(encode, sign):
+    tokens = encode("a" + sign * 1_000_000 + " b")
+    assert 0 < len(tokens) <= 3_000_100

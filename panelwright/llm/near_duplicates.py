@@ -320,8 +320,8 @@ def class_links(docs: DataFrame, classes: DataFrame, how: Similarity) -> DataFra
     return groups
 
 
-def near_duplicates(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
-    """Per row ``doc_id``, ``text_hash``, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``."""
+def _grouped(docs: DataFrame, how: Similarity) -> DataFrame:
+    """The rows of ``near_duplicates`` with the ``root`` of their component, NULL without words."""
     rows = picked(docs, doc_id="doc_id", text="text").withColumn("text_hash", F.xxhash64("text"))
     sketch = stage(sketches(rows, how))
     classes = stage(
@@ -333,21 +333,31 @@ def near_duplicates(docs: DataFrame, how: Similarity = Similarity()) -> DataFram
     rooted = classes.select("key", "doc_id").join(groups.withColumnRenamed("node", "key"), "key", "left")
     rooted = stage(rooted.select("key", "doc_id", F.coalesce("root", "key").alias("root")))
     smallest = stage(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    named = stage(rooted.join(smallest, "root").select("key", "component_id"))
-    alone = sketch.where("key IS NULL").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
-    grouped = sketch.where("key IS NOT NULL").join(named, "key").select("doc_id", "text_hash", "n_shingles", "component_id")
-    return grouped.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = stage(rooted.join(smallest, "root").select("key", "root", "component_id"))
+    alone = sketch.where("key IS NULL").withColumns({"component_id": F.col("doc_id"), "root": F.col("key")})
+    columns = ["doc_id", "text_hash", "n_shingles", "component_id", "root"]
+    grouped = sketch.where("key IS NOT NULL").join(named, "key").select(*columns)
+    return grouped.unionByName(alone.select(*columns)).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
+    """Per row ``doc_id``, ``text_hash``, ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept``."""
+    return _grouped(docs, how).drop("root")
 
 
 def keep_one(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     """One document of each group, the one with the smallest id, with all its columns.
 
-    A document is known by its id and text, so of rows that repeat both one is left. Rows without
-    an id in a group without any id have no smallest one; they all stay, equal texts once.
+    Where texts of one group share the smallest id, or none has an id, the smallest text hash
+    stays. Texts without words are groups of their own. A document is known by its id and text,
+    so of rows that repeat both one is left.
     """
-    found = near_duplicates(docs, how)
-    stay = found.where("kept").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n_rows"))
-    stay = stage(stay.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "n_rows"))
+    found = _grouped(docs, how).where("kept").groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n_rows"))
+    found = stage(found.select("root", F.struct("text_hash", "doc_id", "n_rows").alias("first")))
+    # All kept rows of a component have the same id, so the hash alone decides among them.
+    firsts = found.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("first")).select("first")
+    firsts = firsts.union(found.where("root IS NULL").select("first"))
+    stay = stage(firsts.select(F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"), "first.n_rows"))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     packed = docs.select(whole.alias("whole"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))

@@ -112,3 +112,16 @@ def test_components_of_chains_stars_and_noise(spark):
     got = components(spark.createDataFrame(edges, "a long, b long").repartition(5))
     assert sorted((r["node"], r["root"]) for r in got.collect()) == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_of_a_group_stays_where_ids_repeat_or_miss(table):
+    rng = random.Random(8)
+    near, other, nameless = family(rng, 6, 2, 0), family(rng, 4, 2, 0), family(rng, 5, 2, 0)
+    rows = [(7, t, s) for _, t, s in near] + [(7, near[0][1], "f"), (9, near[1][1], "f")]
+    rows += [(7, t, s) for _, t, s in other] + [(None, t, s) for _, t, s in nameless]
+    rows += [(7, "", "f"), (7, "", "f"), (None, None, "f")]
+    left = [(r["doc_id"], r["text"]) for r in N.keep_one(table(rows)).collect()]
+    texts = [{t for _, t, _ in group} for group in (near, other, nameless)]
+    assert [sum(t in group for _, t in left) for group in texts] == [1, 1, 1]
+    assert {i for i, t in left if t in texts[0] | texts[1]} == {7}
+    assert sorted((x for x in left if not x[1]), key=str) == [(7, ""), (None, None)]

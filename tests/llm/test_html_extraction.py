@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from panelwright.llm import html_extraction as H
@@ -58,3 +60,39 @@ def test_hosts_agree_on_a_path(spark):
     assert text[11] == {""} and text[12] == {"Other"}
     assert got.count() == len(rows)
     assert H.extracted(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+LONG = "A sentence of the long part of the article. " * 12
+WHOLE = [
+    ('<div class=x><h1>Title</h1><p>Intro</p><section><p>{}</p></section><p>End</p></div><div class="teaser">T</div>', "Title\nIntro\n{}\nEnd"),
+    ("<div class=x><section class=s1><p>{}</p></section><section class=s2><p>Short</p></section></div>", "{}\nShort"),
+    ('<div class="page-with-sidebar"><article><p>{}</p><div class="comment-list">no</div></article><div class="sidebar">S</div></div>', "{}"),
+    ('<div id="main-form-wrapper"><p>{}</p><p>End</p></div>', "{}\nEnd"),
+    ('<form id=f><div class="content"><p>{}</p><form><p>Mail</p></form></div></form>', "{}"),
+    ('<article><p>{}</p><table class="share-price-table"><tr><td>7</table><div class="search-results">R</div></article>', "{}\n7\nR"),
+    ('<article></article><div class="ad"><p>{}</p></div>', ""),
+    ('<div class="story"><p>{}</p></div><p>Stray</p><div class="teaser"><p>More</p></div>', "{}"),
+    ("<article><p title='it \">{}</p></article>", "{}"),
+    ("<article><p>&#" + "9" * 5000 + "; {}</p></article>", "� {}"),
+]
+
+
+@pytest.mark.parametrize("body, want", WHOLE)
+def test_nothing_of_an_article_is_lost(body, want):
+    parsed = H.read(page(body.replace("{}", LONG)))
+    assert H.main_text(parsed, H.best_path(parsed)[0]) == want.replace("{}", LONG.strip())
+
+
+HOSTILE = ["<div>x", "<div>", "<a ", '<a "', "<a '\"", "<a href='", "<!", "<!-- ", "<p><span>", "<span><li></li>", "<div></x>", "</", "<script", "<td><b>x", "& &#x", "<div class=a1 ", "<script> </script "]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_hostile_pages_end_in_time_proportional_to_length(piece):
+    seconds = []
+    for size in (250_000, 1_000_000):
+        source = "<article><p>Text</p>" + piece * (size // len(piece))
+        start = time.perf_counter()
+        parsed = H.read(source)
+        assert H.main_text(parsed, H.best_path(parsed)[0]).startswith("Text")
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] < 15 and seconds[1] < 10 * seconds[0] + 1

@@ -28,8 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import picked
-from panelwright.llm.url_filters import host_of
+from panelwright.llm.common import host_of, picked
 from panelwright.runtime import stage
 
 # Elements by their role in HTML, and words that mark parts around an article.

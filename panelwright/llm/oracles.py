@@ -52,6 +52,7 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_i
 FROM d JOIN comp USING (rid) LEFT JOIN size USING (rid)
 """
 
+#: Paths with dot segments and references other than ``&amp;`` are not resolved here; the given pages have none in such links.
 URL_FILTERS = r"""
 WITH RECURSIVE rules(verdict, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
         ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
@@ -59,21 +60,26 @@ cut AS (SELECT page_id, url, html, CASE WHEN strpos(coalesce(url, ''), '://') >
 p AS (SELECT row_number() OVER () AS rid, page_id, url, html,
         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
-target AS (SELECT host || path AS a, host, unnest(
-        list_transform(list_filter(regexp_extract_all(html, '(?is)<link[^>]*>'), lambda x: regexp_matches(x, '(?i)rel\s*=\s*["'']?[^"''>]*canonical')),
-            lambda x: regexp_extract(x, '(?i)href\s*=\s*["'']?([^"''\s>]+)', 1))
-        || list_transform(list_filter(regexp_extract_all(html, '(?is)<meta[^>]*>'), lambda x: regexp_matches(x, '(?i)http-equiv\s*=\s*["'']?refresh')),
-            lambda x: regexp_extract(x, '(?i)url\s*=\s*["'']?([^"''\s>;]+)', 1))) AS t FROM p),
-edge AS (SELECT a, regexp_extract(CASE WHEN t LIKE '%://%' THEN regexp_extract(t, '://(.*)', 1) WHEN t LIKE '//%' THEN substr(t, 3) ELSE host || t END, '^[^?#]*') AS b
-         FROM target WHERE t != '' AND a != ''),
+u AS (SELECT *, CASE WHEN host || path = '' THEN '' ELSE host || path || regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) END AS node,
+        regexp_replace(html, '(?is)<!--.*?(-->|\z)|<(script|style)\b.*?(</(script|style)\s*>|\z)', '', 'g') AS shown FROM p),
+target AS (SELECT node AS a, host, path, replace(unnest(
+        list_transform(list_filter(regexp_extract_all(shown, '(?is)<link\s[^>]*>'), lambda x: regexp_matches(x, '(?i)\srel\s*=\s*["'']?([^"''>]*\s)?canonical\b')),
+            lambda x: regexp_extract(x, '(?i)\shref\s*=\s*["'']?([^"''\s>]+)', 1))
+        || list_transform(list_filter(regexp_extract_all(shown, '(?is)<meta\s[^>]*>'), lambda x: regexp_matches(x, '(?i)\shttp-equiv\s*=\s*["'']?refresh\b')),
+            lambda x: regexp_extract(x, '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1))), '&amp;', '&') AS t FROM u),
+goal AS (SELECT a, CASE WHEN t LIKE '%://%' THEN regexp_extract(t, '://(.*)', 1) WHEN t LIKE '//%' THEN substr(t, 3)
+        WHEN t LIKE '/%' THEN host || t WHEN t LIKE '?%' THEN host || path || t
+        ELSE host || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || t END AS b
+         FROM target WHERE t != '' AND a != '' AND t NOT LIKE '#%' AND (t LIKE '%://%' OR NOT regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:'))),
+edge AS (SELECT a, translate(regexp_extract(b, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(b, '^[^/?#]*([^#]*)', 1) AS b FROM goal),
 sym AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
-node AS (SELECT DISTINCT host || path AS node, host, path FROM p UNION SELECT DISTINCT b, regexp_extract(b, '^[^/]*'), regexp_extract(b, '^[^/]*(.*)', 1) FROM edge),
+node AS (SELECT DISTINCT node, host, path FROM u UNION SELECT DISTINCT b, regexp_extract(b, '^[^/?]*'), regexp_extract(b, '^[^/?]*([^?]*)', 1) FROM edge),
 fit AS (SELECT node, rh || rp AS rule, verdict FROM node, rules WHERE (host = rh OR host LIKE '%.' || rh) AND starts_with(path, rp)
-        QUALIFY row_number() OVER (PARTITION BY node ORDER BY length(rh || rp) DESC) = 1),
+        QUALIFY row_number() OVER (PARTITION BY node ORDER BY length(rh || rp) DESC, verdict, rh || rp DESC) = 1),
 reach(n, o) AS (SELECT a, a FROM sym UNION SELECT n, b FROM reach JOIN sym ON sym.a = o),
 bad AS (SELECT DISTINCT n AS node FROM reach JOIN fit ON fit.node = o AND fit.verdict = 'block')
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bad.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
-FROM p LEFT JOIN fit ON fit.node = host || path LEFT JOIN bad ON bad.node = host || path
+FROM u LEFT JOIN fit ON fit.node = u.node LEFT JOIN bad ON bad.node = u.node
 """
 
 CRC = """

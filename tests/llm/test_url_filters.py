@@ -18,6 +18,13 @@ def parts(url):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut]), path
 
 
+def whole(url):
+    """Host, path and query."""
+    host, path = parts(url)
+    rest = (url or "").split("#", 1)[0]
+    return host + path + ("?" + rest.split("?", 1)[1] if "?" in rest and host + path else "")
+
+
 def ruled(host, path):
     fits = [r for r in RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
     return max(fits, key=lambda r: len(r.host + r.path)) if fits else None
@@ -27,19 +34,18 @@ def brute(pages, links):
     groups = UnionFind()
     blocked = set()
     for a, b in links:
-        a, b = "".join(parts(a)), "".join(parts(b))
+        a, b = whole(a), whole(b)
         if a and b:
             groups.union(a, b)
     for x in list(groups.parent):
-        host, path = (x + "/").split("/", 1)[0], x[len((x + "/").split("/", 1)[0]) :]
-        rule = ruled(host, path)
+        rule = ruled(*parts("x://" + x))
         if rule and rule.verdict == "block":
             blocked.add(groups.find(x))
     out = []
     for i, url, _ in pages:
         host, path = parts(url)
         rule = ruled(host, path)
-        node = host + path
+        node = whole(url)
         bad = node in groups.parent and groups.find(node) in blocked
         out.append((i, host, path, rule.host + rule.path if rule else None, rule.verdict if rule else "block" if bad else "allow"))
     return sorted(out, key=str)
@@ -66,10 +72,21 @@ PAGES = [
     (12, "http://example.com/en", None),
     (None, "ftp://User@H.COM:80/p", None),
     (13, "http:///only", None),
+    (30, "http://v.org/view?id=1", canonical("http://n.net/es/9")),
+    (31, "http://v.org/view?id=2", None),
+    (32, "http://v.org/view?id=1#part", None),
+    (33, "http://v.org/list", canonical("?id=3&amp;s=1")),
+    (34, "http://v.org/list?id=3&s=1", canonical("view?id=1")),
+    (35, "http://w.org/a", "<!-- " + canonical("http://n.net/es/9") + "--><script>'<link rel=canonical href=http://n.net/es/9>'</script>"),
+    (36, "http://w.org/b", canonical("mailto:x@n.net") + canonical("http://[") + canonical("#top") + "<link rel=canonical href=http://n.net/es/9"),
+    (37, "http://w.org/c", '<link title="a > b" rel="alternate Canonical" href="http://n.net/es/&#57;">'),
+    (38, "http://w.org/d", '<link rel="canonical-no" href="http://n.net/es/9"><link data-rel="canonical" href="http://n.net/es/9">'),
 ]
 LINKS = [
-    ("http://a.org/x", "https://example.com/en/1"), ("https://a.org/y", "https://a.org/x"), ("https://b.org/", "https://a.org/y"),
-    ("https://shop.com/z", "https://a.org/x"), ("http://n.net/de/1", "http://n.net/de/../es/1"), ("http://m.net/d", "http://n.net/es/1"),
+    ("http://a.org/x?q=1", "https://example.com/en/1"), ("https://a.org/y", "https://a.org/x"), ("https://b.org/", "https://a.org/y"),
+    ("https://shop.com/z", "https://a.org/x"), ("http://n.net/de/1", "http://n.net/es/1"), ("http://m.net/d", "http://n.net/es/1"),
+    ("http://v.org/view?id=1", "http://n.net/es/9"), ("http://v.org/list", "http://v.org/list?id=3&s=1"), ("http://v.org/list?id=3&s=1", "http://v.org/view?id=1"),
+    ("http://w.org/c", "http://n.net/es/9"),
 ]
 
 
@@ -84,7 +101,7 @@ def test_verdicts_match_brute_force(spark):
 
 
 def test_given_redirects_join_in(spark):
-    more = [("http://b.org/", "http://k.org/1"), (None, "http://k.org/2"), ("http://k.org/1", "http://k.org/3")]
+    more = [("http://a.org/x", "https://a.org/x?q=1"), ("http://b.org/", "http://k.org/1"), (None, "http://k.org/2"), ("http://k.org/1", "http://k.org/3")]
     pages = [*PAGES, (20, "https://k.org/3", None), (21, "https://k.org/2", None)]
     redirects = spark.createDataFrame(more, "from_url string, to_url string")
     got = U.verdicts(frame(spark, pages), U.rule_table(spark, RULES), redirects)
@@ -95,3 +112,10 @@ def test_given_redirects_join_in(spark):
 def test_empty_tables(spark):
     assert U.verdicts(frame(spark, PAGES).limit(0), U.rule_table(spark, RULES)).count() == 0
     assert {r["verdict"] for r in U.verdicts(frame(spark, PAGES), U.rule_table(spark, RULES).limit(0)).collect()} == {"allow"}
+
+
+def test_allow_goes_before_block_among_equal_rules(spark):
+    rules = [U.Rule(v, "t.org", "/p") for v in ("block", "allow")] + [U.Rule("allow", "org", "/ab"), U.Rule("block", "u.org", "/")]
+    pages = [(1, "http://t.org/p", None), (2, "http://u.org/ab", None), (3, "http://u.org/", None)]
+    got = U.verdicts(frame(spark, pages), U.rule_table(spark, rules)).collect()
+    assert sorted((r["page_id"], r["rule"], r["verdict"]) for r in got) == [(1, "t.org/p", "allow"), (2, "org/ab", "allow"), (3, "u.org/", "block")]

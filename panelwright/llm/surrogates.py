@@ -6,7 +6,8 @@ stay; card and IBAN check digits are right again, addresses keep their range, na
 and script. The same value has the same surrogate everywhere (coreference): family names are replaced
 word by word, so that "Mr Smith" and "Mr John Smith" share theirs, and hex keys alike wherever they
 stand. A name that a title announces is replaced wherever else its document holds it, in full or as
-the family name. Persons that no title announces in their document are not found.
+the family name. Names are whole words of any script, with inner capitals, apostrophes, particles
+("van", which stay) or in capitals only. Persons that no title announces in their document are not found.
 
 Distinctness is checked over the whole corpus: surrogates that two values share, or that some
 document holds as a real value, are drawn again with the next attempt until none is left. From
@@ -49,16 +50,22 @@ NAMES = {
     ("m", "latin"): "Adam Alan Bruno Carl David Eric Felix Frank Georg Hugo Ivan Jan Karl Leo Luis Marco Martin Max Nico Oscar Paul Peter Simon Thomas Viktor".split(),
     ("f", "cyrillic"): "Анна Вера Дарья Елена Ирина Лидия Мария Нина Ольга Полина Раиса София".split(),
     ("m", "cyrillic"): "Антон Борис Виктор Глеб Иван Карл Лев Максим Никита Олег Павел Роман".split(),
+    ("f", "greek"): "Άννα Βασιλική Δήμητρα Ειρήνη Ελένη Ζωή Κατερίνα Μαρία Νίκη Σοφία".split(),
+    ("m", "greek"): "Αλέξης Γιώργος Δημήτρης Θωμάς Κώστας Λουκάς Μάρκος Νίκος Πέτρος Στέφανος".split(),
 }
 TITLES = {
     "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Sir": "m", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mademoiselle": "f",
     "Señor": "m", "Señora": "f", "Señorita": "f", "Don": "m", "Doña": "f", "господин": "m", "госпожа": "f",
     "Lord": "m", "Lady": "f", "Signor": "m", "Signora": "f", "Dr": "x", "Dra": "f", "Doctor": "x", "Doktor": "x", "Prof": "x", "Professor": "x",
-    "доктор": "x", "профессор": "x",
+    "доктор": "x", "профессор": "x", "κύριος": "m", "κυρία": "f",
 }
-SYLLABLES = {"latin": "ba be bo da de do fa ga go ka ke ko la le lo ma me mo na ne no ra re ro sa se so ta te to va vi zo".split(), "cyrillic": "ба бе бо ва ве во да де до ка ке ко ла ле ло ма ме мо на не но ра ре ро са се со та те то".split()}
+SYLLABLES = {"latin": "ba be bo da de do fa ga go ka ke ko la le lo ma me mo na ne no ra re ro sa se so ta te to va vi zo".split(), "cyrillic": "ба бе бо ва ве во да де до ка ке ко ла ле ло ма ме мо на не но ра ре ро са се со та те то".split(), "greek": "βα βε βο δα δε δο κα κε κο λα λε λο μα με μο να νε νο πα πε πο ρα ρε ρο σα σε σο τα τε".split()}
+#: Words inside names that stay as they are.
+PARTICLES = frozenset("al bin da das de del della den der di do dos du el ibn la las le los ten ter van von y zu".split())
 
-CAPITAL, SMALL = "A-ZÀ-ÖØ-ÞА-ЯЁ", "a-zß-öø-ÿа-яё"
+MARKS = "".join(c for c in map(chr, range(0x300, 0x3000)) if unicodedata.category(c).startswith("M"))
+#: A whole word of any script with its marks, hyphens and apostrophes.
+WORD = rf"[^\W\d_](?:[^\W\d_]|['’ʼ\u200c\u200d{MARKS}-])*+(?!\w)"
 PATTERNS = {
     "email": re.compile(r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
@@ -70,10 +77,10 @@ PATTERNS = {
     "secret": re.compile(r"(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api_key))(?:\s*[=:]\s*)[\"']?([^\s\"',;]{6,})"),
     "hex_key": re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9])"),
     "national": re.compile(r"(?<![\w+.-])(?:\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}([.-])\d{3}\1\d{4}|0\d{1,4}[ /-]\d{3,4}[ -]?\d{3,4})(?![\w-]|\.\d)"),
-    "person": re.compile(rf"(?<!\w)(?:(?:{'|'.join(TITLES)})\.? )+((?:[{CAPITAL}][{SMALL}'’-]+)(?: [{CAPITAL}][{SMALL}'’-]+){{0,2}})"),
+    "person": re.compile(rf"(?<!\w)(?:(?:{'|'.join(TITLES)})\.? )+(?=((?:[^\W\d_]\. |{WORD} ){{0,6}}{WORD}))"),
 }
-NAME_WORD = re.compile(rf"(?<!\w)[{CAPITAL}][{SMALL}'’-]+")
-POSSESSIVE = re.compile("(?:['’]s)?['’-]*$")
+NAME_WORD = re.compile(rf"(?<!\w){WORD}")
+POSSESSIVE = re.compile("(?:['’][sS])?['’-]*$")
 #: Country codes of one and two digits; all others have three.
 COUNTRY = re.compile(r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
 #: What a text must hold for a kind to be looked for.
@@ -98,6 +105,26 @@ def _valid(kind: str, value: str) -> bool:
     return True
 
 
+def _of_name(word: str) -> bool:
+    """Whether a word can be a name: it holds a capital, or begins with a letter of a script without case."""
+    return any(c.isupper() or c.istitle() for c in word) or not word[0].islower()
+
+
+def _name_length(words: str) -> int:
+    """Length of the name at the beginning of some words: up to three words of a name, with particles before them."""
+    length, at, names = 0, 0, 0
+    for word in words.split(" "):
+        at += len(word)
+        if _of_name(word):
+            length, names = at, names + 1
+        elif word not in PARTICLES:
+            break
+        if names == 3 or not word.endswith(".") and POSSESSIVE.search(word).start() < len(word):
+            break
+        at += 1
+    return length if not words[:length].endswith(".") else length - 1
+
+
 def entities(text: str | None) -> list[tuple[int, int, str]]:
     """Spans (start, end, kind) in order, not overlapping; the first kind above wins, mentions of names found come last."""
     if not text:
@@ -117,6 +144,9 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
             start, end = m.span(1 if kind in ("secret", "person") else 0)
             kind_found = "phone" if kind == "national" else kind
             if kind == "person":
+                end = start + _name_length(text[start:end])
+                if end == start:
+                    continue
                 end = start + POSSESSIVE.search(text[start:end]).start()
                 genders = [TITLES[t.rstrip(".")] for t in text[m.start() : start].split()]
                 kind_found = f"person_{next((g for g in genders if g != 'x'), 'x')}"
@@ -128,8 +158,8 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
     for start, end, kind in taken:
         if kind.startswith("person_"):
             name = text[start:end]
-            for form in (name, name.split(" ")[-1]):
-                forms = named.setdefault(form.split(" ")[0], {})
+            for form in {name, name.split(" ")[-1], name.upper(), name.split(" ")[-1].upper()}:
+                forms = named.setdefault(form.split(" ")[0].rstrip("."), {})
                 if forms.get(form, "person_x") == "person_x":
                     forms[form] = kind
     if named:
@@ -233,6 +263,8 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
         return plain[:4] + _alike(plain[4:], stream)
     if kind == "hex_key" or kind == "secret" and re.fullmatch(r"[0-9a-f]+", plain):
         return "".join("0123456789abcdef"[stream.below(16)] for _ in plain + "0" * more)
+    if kind == "family" and not _script(plain):
+        return _neighbours(plain + plain[-1] * more, stream)
     if kind == "family":
         syllables = SYLLABLES[_script(plain)]
         return "".join(syllables[stream.below(len(syllables))] for _ in range(3 + min(attempt, 2) + more)).capitalize()
@@ -240,12 +272,31 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
 
 
 def _script(name: str) -> str:
-    return "cyrillic" if re.search("[а-яёА-ЯЁ]", name) else "latin"
+    """Script of a name that has names and syllables of its own; empty for others."""
+    found = {unicodedata.name(c, "").split(" ")[0].lower() for c in name if c.isalpha()}
+    return next((script for script in SYLLABLES if script in found), "")
+
+
+def _neighbours(name: str, stream: Stream) -> str:
+    """Every letter replaced by one of its kind near it in its script; marks go."""
+    out = []
+    for c in name:
+        kind = unicodedata.category(c)
+        near = [x for x in map(chr, range(ord(c) & ~63, (ord(c) & ~63) + 64)) if unicodedata.category(x) == kind] if c.isalpha() else [c]
+        out.append("" if kind.startswith("M") else near[stream.below(len(near))])
+    return "".join(out)
+
+
+def _plain(word: str) -> str:
+    """A word of a name in its usual spelling, where it stands in capitals only."""
+    return word.title() if len(word) > 1 and word.isupper() else word
 
 
 def _given(kind: str, value: str, attempt: int, key: bytes) -> str:
     """Given name that stands for the first word of a full name, seeded by that word; in a wider format several."""
     given, script = value.split(" ")[0], _script(value)
+    if not script:
+        return _neighbours(given + given[-1] * max(0, attempt - OWN_FORMAT + 1), Stream("given", given, attempt, key))
     known = [g for g in "fm" if given in NAMES[g, script]]
     genders = [kind[-1]] if kind[-1] in "fm" else known or ["f", "m"]
     names = [n for g in genders for n in NAMES[g, script]]
@@ -256,8 +307,8 @@ def _given(kind: str, value: str, attempt: int, key: bytes) -> str:
 def units(kind: str, value: str) -> list[tuple[str, str]]:
     """What surrogates are drawn for, as (kind, canonical value): the value itself, or the parts of a person's name."""
     if kind.startswith("person_"):
-        given, *rest = value.split(" ")
-        return [*([(kind, value)] if rest else []), *(("family", w) for w in rest or [given])]
+        given, *rest = words = [_plain(w) for w in value.split(" ") if w not in PARTICLES]
+        return [*([(kind, " ".join(words))] if rest else []), *(("family", w) for w in rest or [given])]
     if kind == "secret" and re.fullmatch("[0-9a-f]+", value):
         kind = "hex_key"
     return [(kind, canonical(kind, value))]
@@ -272,7 +323,10 @@ def replacement(kind: str, value: str, attempts: dict[tuple[str, str], int], key
             out.append(_given(*unit, attempt, key))
         else:
             out.append(surrogate(unit[0], unit[1] if unit[0] == "family" else value, attempt, key))
-    return " ".join(out)
+    if not kind.startswith("person_"):
+        return out[0]
+    names, words = iter(out), value.split(" ")
+    return " ".join(w if w in PARTICLES else next(names).upper() if _plain(w) != w else next(names) for w in words)
 
 
 def replaced(text: str | None, attempts: dict[tuple[str, str], int], key: bytes = KEY) -> tuple[str | None, list[str]]:

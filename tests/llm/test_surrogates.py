@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -141,3 +142,48 @@ def test_full_names_of_one_family_stay_distinct(spark):
     got = [r["text"] for r in S.pseudonymized(frame(spark, [f"{('Mr', 'Dr')[k % 2]}. {g} Smith" for k, g in enumerate(given)])).collect()]
     got = [t[4:] for t in got]
     assert len(set(got)) == len(given) and len({t.split(" ")[-1] for t in got}) == 1
+
+
+NAMES_OF = [
+    ("Dvořák", "Mr"), ("O'Brien", "Mr"), ("McDonald", "Mrs"), ("de Gaulle", "Mr"), ("SMITH", "Mr"), ("Łukasz Nowak", "Herr"), ("d'Artagnan", "Monsieur"),
+    ("J. Smith", "Mr"), ("Παπαδόπουλος", "κύριος"), ("Ludwig van Beethoven", "Dr."), ("Петров-Водкин", "господин"), ("Şükrü Öztürk", "Prof."),
+    ("Dvor\u030ca\u0301k", "Mr"), ("李明", "Dr"), ("नरेन्द्र", "Mr"), ("Ó Súilleabháin", "Ms"), ("JEAN-LUC PICARD", "Sir"), ("MacLeod Ross", "Lord"),
+]
+
+
+@pytest.mark.parametrize("name, title", NAMES_OF)
+def test_nothing_of_a_found_name_is_left(name, title):
+    text = f"Then {title} {name} came. He knew {name.split(' ')[-1]}'s plan and {name} left it."
+    new, kinds = S.replaced(text, {})
+    assert len(kinds) == 3 and new.startswith(f"Then {title} ") and new.endswith(" left it.") and "'s plan and" in new
+    for word in name.split(" "):
+        if word not in S.PARTICLES:
+            stem = re.sub(r"\W", "", word)
+            assert all(stem[k : k + 4] not in re.sub(r"\W", "", new) for k in range(len(stem) - 3))
+    first, family = re.search(rf"{re.escape(title)} (.+?) came\. He knew (.+?)'s plan", new).groups()
+    assert first.split(" ")[-1] == family and f"and {first} left" in new
+    assert S._script(family) == S._script(name)
+    assert family.isupper() == name.split(" ")[-1].isupper()
+    assert [w for w in first.split(" ") if w in S.PARTICLES] == [w for w in name.split(" ") if w in S.PARTICLES]
+
+
+def test_capitals_are_the_same_name_and_parts_of_words_stay():
+    new, _ = S.replaced("Mr Smith, Mr SMITH and John Smithson. Mr in a hurry, Dr Smith2 and Mr X. We left.", {})
+    a, b = re.match(r"Mr (\w+), Mr (\w+) and John Smithson", new).groups()
+    assert a.upper() == b and "Mr in a hurry" in new and "Dr Smith2" in new
+
+
+def test_random_names_leave_no_part():
+    rng = random.Random(11)
+    letters = {"latin": "abcdeghilmnorstuvzčřžşğłőåø", "greek": "αβγδεζθκλμνοπρστυφω", "cyrillic": "абвгдежзиклмнопрстуфчшыэюяїєљ"}
+    for _ in range(600):
+        of = letters[rng.choice(sorted(letters))]
+        word = "".join(rng.choice(of) for _ in range(rng.randint(4, 12))).capitalize()
+        if rng.random() < 0.3:
+            word = word[:2] + rng.choice(["", "'", "-"]) + word[2:].capitalize()
+        if rng.random() < 0.2:
+            word = word.upper()
+        new, kinds = S.replaced(f"today Mr {word} said no; {word} left", {})
+        assert len(kinds) == 2 and new.startswith("today Mr ") and new.endswith(" left") and " said no; " in new
+        out = new.split(" ")[2]
+        assert word not in new and word[-4:] not in out and new == f"today Mr {out} said no; {out} left"

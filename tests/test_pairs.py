@@ -43,3 +43,14 @@ def test_fewer_pairs_than_asked_for(spark):
     df = spark.createDataFrame(data, "b long, p long")
     assert rows(top_pairs(df, "b", "p", 10)) == [(5, 6, 1)]
     assert top_pairs(df.limit(0), "b", "p", 10).count() == 0
+
+
+@pytest.mark.parametrize("seeds", [2, 5, 64])
+def test_tasks_follow_the_number_of_pairs(spark, seeds, monkeypatch):
+    monkeypatch.setattr(pairs, "TASK_PAIRS", 10)
+    monkeypatch.setattr(pairs, "SEEDS", seeds)
+    rng = random.Random(4)
+    data = [(b, rng.randrange(15)) for b in range(60) for _ in range(rng.randrange(1, 9))] + [(b, p) for b in range(60) for p in (90, 91)]
+    got = top_pairs(spark.createDataFrame(data, "b long, p long"), "b", "p", 20)
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got) == brute(data, 20)

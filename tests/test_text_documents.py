@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 from helpers import rows
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from panelwright.operators.contracts import ingest_quality
@@ -117,6 +118,15 @@ def test_classifier_end_to_end(spark):
     assert wide.columns == ["doc_id", *[f"e{k:03d}" for k in range(8)]] and wide.count() == 60
 
 
+def test_classifier_of_two_classes_after_an_observation(spark):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    data = [(i, [float(i % 2), float(i % 3)], "train" if i < 40 else "test", "no" if i % 2 else "yes") for i in range(60)]
+    embedded = spark.createDataFrame(data, "doc_id long, e array<double>, split string, label string")
+    made = X.train_classifier(embedded, "label")
+    assert rows(made, "doc_id", "split", "actual", "pred") == [(i, split, label, label) for i, _, split, label in data]
+
+
 # -- documents ----------------------------------------------------------------------------------------
 
 

@@ -87,6 +87,34 @@ def test_svd_matches_numpy(spark):
     assert np.allclose(np.array([got[i] for i in range(120)]), dense @ basis)
 
 
+@pytest.mark.parametrize("cells", [2_000_000, 1])
+def test_products_of_few_rows_at_a_time(spark, monkeypatch, cells):
+    from panelwright.functions import estimators
+
+    monkeypatch.setattr(estimators, "_CELLS", cells)
+    rng = np.random.default_rng(1)
+    data = [(i, [], []) if i % 7 == 0 else (i, [i % 11, i % 11 + i % 3, 30], rng.random(3).tolist()) for i in range(150)]
+    dense, basis = np.zeros((150, 40)), rng.random((40, 5))
+    for i, idx, val in data:
+        np.add.at(dense[i], idx, val)  # a column may come twice
+    df = spark.createDataFrame(data, "doc_id long, idx array<int>, val array<double>").repartition(3)
+    shared = spark.sparkContext.broadcast(basis)
+    projected = {r.doc_id: r.e for r in df.mapInPandas(estimators.row_product(shared), "doc_id long, e array<double>").collect()}
+    assert np.allclose([projected[i] for i in range(150)], dense @ basis)
+    total = np.zeros_like(basis)
+    for r in df.select("idx", "val").mapInArrow(estimators.gram_product(shared), "t int, z array<double>").collect():
+        total[r.t] += r.z
+    assert np.allclose(total, dense.T @ dense @ basis)
+
+
+def test_repeated_passes_take_one_task_a_core(spark):
+    from panelwright.runtime import one_task_a_core
+
+    cores = spark.sparkContext.defaultParallelism
+    assert one_task_a_core(spark.range(0, 100, 1, 5 * cores)).rdd.getNumPartitions() == cores
+    assert one_task_a_core(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 1
+
+
 def test_split_keeps_families_together(corpus, spark):
     assert rows(X.check_split(corpus, "family")) == [(True, 0)]
     leaky = spark.createDataFrame([(1, "train"), (1, "test"), (2, "test")], "family int, split string")

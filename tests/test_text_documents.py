@@ -115,6 +115,15 @@ def test_repeated_passes_take_one_task_a_core(spark):
     assert one_task_a_core(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 1
 
 
+def test_classifiers_read_rows_made_once(spark):
+    from panelwright.catalog import text as C
+
+    model = X.TextModel(X.group_split(spark.createDataFrame(TEXTS, "doc_id long, text string, family int, topic string"), F.col("family")), dimensions=2)
+    made = C.labelled(spark, "/root/testdata/sf0.001", model)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count() == len(TEXTS) and "Join" not in plan
+
+
 def test_split_keeps_families_together(corpus, spark):
     assert rows(X.check_split(corpus, "family")) == [(True, 0)]
     leaky = spark.createDataFrame([(1, "train"), (1, "test"), (2, "test")], "family int, split string")
